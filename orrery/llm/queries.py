@@ -22,7 +22,7 @@ WITH w AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents
 ), g AS (
   SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 1 THEN ws
-    ELSE list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1]) END)) AS grams
+    ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END)) AS grams
   FROM w WHERE len(ws) > 0
 ), reps AS (SELECT grams, min(doc_id) AS rep, len(grams) AS size FROM g GROUP BY grams),
 t AS (SELECT rep, size, unnest(grams) AS gram FROM reps),
