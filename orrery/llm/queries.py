@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
+from . import decontaminate, langid, mixing
 from .ngram_join import ngram_jaccard_join
 
 
@@ -13,6 +14,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -36,6 +50,9 @@ SELECT r.rep, g.doc_id, 1.0 FROM g JOIN reps r ON g.grams = r.grams WHERE g.doc_
 """
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
+    "op4_language_id": op4_language_id,
+    "op6_decontamination": op6_decontamination,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "pipeline": corpus_pipeline.run,
 }
