@@ -1,23 +1,60 @@
 """Documents to token files: five stages, each written as Parquet and reread.
 
-Every stage takes ``(spark, docs, sf_dir)``. All but the last return the
-columns of ``documents``.
+Every stage takes ``(spark, docs, sf_dir)`` and works on all rows its
+predecessor kept. All but the last return the columns of ``documents``; the last
+returns the index of the token files it wrote.
+
+Rows with a NULL doc_id or repeated rows pass through the stages as the
+operators' docstrings say: NULL and wordless texts are dropped by the first
+stage, whose language cannot be told. SQL can express neither the classifiers
+nor the byte-pair encoding, so there is no ``ORACLE_SQL``; the tests hold each
+stage against a brute-force version.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orrery.llm import decontaminate, langid, mixing, token_files
 from orrery.llm._store import staged
 from orrery.llm.ngram_join import drop_near_duplicates
 
+#: Vocabulary of the token files.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is ambiguous go."""
+    return langid.drop_ambiguous(docs)
+
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies stays."""
     return drop_near_duplicates(docs)
 
 
-STAGES = [("ngram_jaccard_join", deduplicate)]
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or dropped by their mixing rates."""
+    return mixing.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of what is left."""
+    return token_files.write_tokens(docs, TOKENIZER)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_jaccard_join", deduplicate),
+    ("decontamination", decontaminate_benchmark),
+    ("mixing", mix_domains),
+    ("token_files", write_token_files),
+]
 ORACLE_SQL = None
 
 

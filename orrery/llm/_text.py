@@ -15,7 +15,7 @@ _M = np.uint64(0xFF51AFD7ED558CCD)
 class WordCache(dict):
     """word -> 64-bit hash; emptied when ``limit`` words are held."""
 
-    limit = 1_000_000
+    limit = 250_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.limit:

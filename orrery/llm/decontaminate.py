@@ -157,14 +157,18 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, text_c
     """
     sc, out = docs.sparkSession.sparkContext, docs
     for chunk in _chunks(benchmark, "item_id", "text"):
-        shared = sc.broadcast(chunk)
-        held: dict[int, Matcher] = {}
+        out = out.where(~_holds_item(sc.broadcast(chunk), rate)(F.col(text_col)))
+    return out
 
-        @F.pandas_udf("boolean")
-        def leaks(texts: pd.Series, shared=shared, held=held) -> pd.Series:
-            if 0 not in held:
-                held[0] = Matcher(shared.value, rate)
-            return pd.Series([bool(held[0].matches(t, first=True)) for t in texts], dtype=bool)
 
-        out = out.where(~leaks(F.col(text_col)))
-    return out
+def _holds_item(shared, rate: float):
+    """Function of a text column: whether a text holds an item of the chunk."""
+    held: list[Matcher] = []
+
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        if not held:
+            held.append(Matcher(shared.value, rate))
+        return pd.Series([bool(held[0].matches(t, first=True)) for t in texts], dtype=bool)
+
+    return holds

@@ -170,7 +170,9 @@ def identify(docs: DataFrame, model: LanguageModel, margin: float = 0.15, far: f
                 out = identify_texts(shared.value, part["text"].tolist(), margin, far)
                 yield pd.concat([part[["doc_id"]].reset_index(drop=True), out], axis=1)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, predicted string, loss double, gap double, ambiguous boolean")
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))  # a NULL would make pandas' integers floats
+    out = rows.mapInPandas(run, "doc_id string, predicted string, loss double, gap double, ambiguous boolean")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def is_rejected(model: LanguageModel, spark, margin: float = 0.15, far: float = 0.69):

@@ -7,9 +7,10 @@ of x's tokens are missing from the other set. Tokens whose corpus count lies
 far above the sketch's mean are *frequent* and belong to one of ``GROUPS``
 two-token classes; all others form the single-token class. The prefix is
 extended until ``sum over classes of (tokens in the prefix - (k - 1))`` reaches
-|x| - a + 1: then two similar sets share a single rare token or a pair of
-frequent tokens of one class, and only those are indexed. Candidates that pass
-the length and positional filters are verified on whole sets.
+|x| - a + SHARED: then two similar sets share at least SHARED signatures, each a
+single rare token or a pair of frequent tokens of one class, and only those are
+indexed. Pairs that share as many and pass the length and positional filters are
+verified on whole sets.
 
 Small sets cannot afford the extension of every class; sets below ``_small``
 index plain single-token prefixes instead, and so do, in addition, all sets
@@ -41,7 +42,8 @@ from ._store import dropped, staged
 from ._text import WordCache, mix, ngram_set, overlap, word_hashes
 
 GROUPS = 8
-PER_BUCKET = 4_000_000
+SHARED = 3
+PER_BUCKET = 1_500_000
 PAIRS_PER_SLICE = 200_000
 BROADCAST_ROWS = 1_000_000
 _EPS = 1e-9
@@ -59,7 +61,7 @@ def least_overlap(size: int, t: float) -> int:
 def _small(t: float) -> int:
     """Smallest size at which every class can be extended."""
     size = 1
-    while least_overlap(size, t) < GROUPS + 1:
+    while least_overlap(size, t) < GROUPS + SHARED:
         size += 1
     return size
 
@@ -77,6 +79,7 @@ def signatures(tokens: np.ndarray, levels: np.ndarray, frequent: int, t: float)
         hs.append(mix(tokens[:need] + np.uint64(1)))
         ps.append(np.arange(need))
     if size >= small:
+        need += SHARED - 1
         first = int(np.searchsorted(level, frequent))
         if first >= need:
             hs.append(tokens[:need])
@@ -115,14 +118,16 @@ def _profile(n: int):
     return run
 
 
-def _index(n: int, t: float, shared, frequent: int, buckets: int):
+def _index(sets, t: float, shared, frequent: int, buckets: int):
+    """``sets(text, cache)`` gives the token sets of a text; equal ones of a task are sent once."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, levels = WordCache(), shared.value
         hs: list[np.ndarray] = []
         ps: list[np.ndarray] = []
         sids: list[int] = []
         sizes: list[int] = []
-        held = 0
+        held, known = 0, set()
 
         def flush() -> pd.DataFrame:
             h, p = np.concatenate(hs), np.concatenate(ps).astype(np.uint32)
@@ -140,14 +145,17 @@ def _index(n: int, t: float, shared, frequent: int, buckets: int):
             return pd.DataFrame(out, columns=["bucket", "h", "d", "p", "sids", "sizes"])
 
         for pdf in batches:
-            for text in pdf["text"]:
-                s = ngram_set(word_hashes(text, cache), n)
-                if not len(s):
+            for s in (s for text in pdf["text"] for s in sets(text, cache)):
+                sid = xxhash.xxh64_intdigest(s.tobytes())
+                if sid in known:
                     continue
+                if len(known) >= 400_000:
+                    known.clear()
+                known.add(sid)
                 h, p = signatures(s, levels, frequent, t)
                 hs.append(h)
                 ps.append(p)
-                sids.append(xxhash.xxh64_intdigest(s.tobytes()))
+                sids.append(sid)
                 sizes.append(len(s))
                 held += len(h)
                 if held >= 1_500_000:
@@ -159,7 +167,7 @@ def _index(n: int, t: float, shared, frequent: int, buckets: int):
     return run
 
 
-def _run_pairs(starts: np.ndarray, lengths: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _run_pairs(starts: np.ndarray, lengths: np.ndarray, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All index pairs within runs, ``most`` or so at a time."""
     for length in np.unique(lengths):
         own = starts[lengths == length]
@@ -193,21 +201,34 @@ def _candidates(t: float):
         h, d, p = h[new], d[new], p[new]
         starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         lengths = np.diff(np.concatenate((starts, [len(h)])))
-        found, held, seen = [], 0, np.empty(0, np.uint64)
+        small = _small(t)
+        found, held, seen, times = [], 0, np.empty(0, np.uint64), np.empty(0, np.int64)
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            key = np.concatenate([seen, *found])
+            n = np.concatenate([times, np.ones(len(key) - len(times), np.int64)])
+            at = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], key[at][1:] != key[at][:-1]))) if len(key) else np.empty(0, np.int64)
+            return key[at][first], np.add.reduceat(n[at], first) if len(key) else times
+
         for i, j in _run_pairs(starts[lengths > 1], lengths[lengths > 1]):
             a, b = d[i], d[j]
             sa, sb = size[a], size[b]
             need = np.ceil(t / (1 + t) * (sa + sb) - _EPS)
-            ok = (np.minimum(sa, sb) >= need) & (1 + np.minimum(sa - p[i], sb - p[j]) - 1 >= need)
+            pi, pj = p[i], p[j]
+            ok = (np.minimum(sa, sb) >= need) & (np.minimum(pi, pj) + np.minimum(sa - pi, sb - pj) >= need)
             a, b = a[ok], b[ok]
             found.append((np.minimum(a, b).astype(np.uint64) << np.uint64(32)) | np.maximum(a, b).astype(np.uint64))
             held += len(a)
-            if held > 4_000_000:
-                seen, found, held = np.unique(np.concatenate([seen, *found])), [], 0
-        seen = np.unique(np.concatenate([seen, *found]))
-        a, b = uniq[(seen >> np.uint64(32)).astype(np.int64)], uniq[(seen & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+            if held > 2_000_000:
+                seen, times = merged()
+                found, held = [], 0
+        seen, times = merged()
+        ia, ib = (seen >> np.uint64(32)).astype(np.int64), (seen & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        times[np.minimum(size[ia], size[ib]) < small] = SHARED
+        a, b = uniq[ia], uniq[ib]
         a, b = a.view(np.int64), b.view(np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "n": times})
 
     return run
 
@@ -232,6 +253,31 @@ def _verify(n: int, t: float):
     return run
 
 
+def _gram_sets(n: int):
+    def sets(text: str, cache: WordCache) -> list[np.ndarray]:
+        s = ngram_set(word_hashes(text, cache), n)
+        return [s] if len(s) else []
+
+    return sets
+
+
+def candidate_pairs(rows: DataFrame, sets, t: float, levels: np.ndarray, frequent: int, prefixes: int) -> DataFrame:
+    """Distinct (a, b) of set hashes, a < b, that may have Jaccard >= ``t``; ``rows`` has ``text``."""
+    shared = rows.sparkSession.sparkContext.broadcast(levels)
+    index = rows.select("text").mapInPandas(_index(sets, t, shared, frequent, max(1, -(-prefixes // PER_BUCKET))), "bucket int, h binary, d binary, p binary, sids binary, sizes binary")
+    met = index.groupBy("bucket").applyInPandas(_candidates(t), "a long, b long, n long")
+    return staged(met.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED).select("a", "b"), "candidates")
+
+
+def placed_pairs(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with the place (g, k) to verify them: g is the smallest
+    neighbour of a, k a slice of at most about PAIRS_PER_SLICE pairs."""
+    label = pairs.select(F.col("a").alias("s"), F.col("a").alias("o")).union(pairs.select("b", "a")).groupBy("s").agg(F.min("o").alias("g"))
+    placed = pairs.join(label, pairs.a == label.s).select("a", "b", "g")
+    slices = F.ceil(F.count("*").over(W.partitionBy("g")) / PAIRS_PER_SLICE)
+    return staged(placed.withColumn("k", F.pmod(F.xxhash64("a"), slices)), "placed")
+
+
 def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.6, n: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs of documents whose word ``n``-gram sets have Jaccard >= ``threshold``.
 
@@ -241,28 +287,21 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.6, n: int = 2, id_c
     from these. NULL ids, NULL texts and texts without a word are in no pair;
     rows that repeat an id and its text count once; an empty table gives no
     pairs; other columns are ignored. A text below ``n`` words is one gram.
-    ``threshold`` lies in (0.5, 1]. Sets are told apart by 64-bit hashes.
+    ``threshold`` lies in (0, 1]. Sets are told apart by 64-bit hashes.
     """
-    if not 0.5 < threshold <= 1:
-        raise ValueError("threshold must lie in (0.5, 1]")
-    spark, t = docs.sparkSession, float(threshold)
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must lie in (0, 1]")
+    t = float(threshold)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     profile = staged(docs.mapInPandas(_profile(n), "id long, size int, sid long, slice int, blob binary"), "jaccard-profile")
     known = profile.where("slice < 0").select("id", "size", "sid").distinct()
     reps = known.groupBy("sid").agg(F.min("id").alias("rep"))
-    totals = known.agg(F.sum("size"), F.sum(F.ceil(F.col("size") * (1 - t)) + 1)).first()
+    totals = known.agg(F.sum("size"), F.sum(F.ceil(F.col("size") * (1 - t)) + SHARED)).first()
     grams, prefixes = (int(x or 0) for x in totals)
     levels = _sketch.classes(profile.where("slice >= 0"))
     frequent = int(round(2 * math.log2(4 * grams / _sketch.WIDTH + 1024)))
-    shared = spark.sparkContext.broadcast(levels)
-    index = docs.select("text").mapInPandas(_index(n, t, shared, frequent, max(1, -(-prefixes // PER_BUCKET))), "bucket int, h binary, d binary, p binary, sids binary, sizes binary")
-    pairs = staged(index.groupBy("bucket").applyInPandas(_candidates(t), "a long, b long").distinct(), "jaccard-candidates")
-    shared.unpersist()
-    # candidates meet at the smallest neighbour of their first set
-    label = pairs.select(F.col("a").alias("s"), F.col("a").alias("o")).union(pairs.select("b", "a")).groupBy("s").agg(F.min("o").alias("g"))
-    placed = pairs.join(label, pairs.a == label.s).select("a", "b", "g")
-    slices = F.ceil(F.count("*").over(W.partitionBy("g")) / PAIRS_PER_SLICE)
-    placed = staged(placed.withColumn("k", F.pmod(F.xxhash64("a"), slices)), "jaccard-placed")
+    pairs = candidate_pairs(docs, _gram_sets(n), t, levels, frequent, prefixes)
+    placed = placed_pairs(pairs)
     members = placed.select("g", "k", F.col("a").alias("sid")).union(placed.select("g", "k", "b")).distinct()
     members = staged(members.join(reps, "sid").select("sid", "g", "k", F.col("rep").alias("id")), "jaccard-members")
     sets = docs.join(sized(members, members.count()), "id").select("g", "k", "sid", "text")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, langid, mixing
+from . import ann, chat_format, decontaminate, langid, line_dedup, mixing, token_files, toxicity, url_trust
 from .ngram_join import ngram_jaccard_join
 
 
@@ -14,6 +14,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Seeds of the link graph: sites known to be good and bad.
+TRUSTED = ("tionsh.example.net", "ththth.example.org", "thther.example.org", "ththon.example.com", "ththan.example.net")
+BLOCKED = tuple(f"{name}.example.{tld}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for tld in ("com", "net", "org"))
+
+
+def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.filter_urls(table(spark, sf_dir, "pages"), TRUSTED, BLOCKED)
+
+
+def _op1() -> str:
+    host = lambda c: f"nullif(rtrim(lower(regexp_extract(trim({c}), '{url_trust.HOST}', 1)), '.'), '')"
+    parts = [
+        "s AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, '{h}' AS host" for k, hs in (("trust", TRUSTED), ("distrust", BLOCKED)) for h in hs) + ")",
+        f"p AS (SELECT page_id, url, {host('url')} AS host, html FROM pages)",
+        "l AS (SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(html, '" + url_trust.HREF.replace("'", "''") + f"', 1), lambda x: {host('x')}))) AS dst FROM p WHERE host IS NOT NULL)",
+        "k AS (SELECT src, dst, count(*) AS n FROM l WHERE dst IS NOT NULL AND dst <> src GROUP BY ALL)",
+        "nodes AS (SELECT host FROM p WHERE host IS NOT NULL UNION SELECT dst FROM k UNION SELECT host FROM s)",
+        r"up AS (SELECT host AS src, regexp_extract(host, '^[^.]+\.(.+\..+)$', 1) AS dst, 1 AS n FROM nodes)",
+        "e AS (SELECT src, dst, sum(n) AS n FROM (SELECT * FROM k UNION ALL SELECT * FROM up WHERE dst IN (SELECT host FROM nodes)) GROUP BY ALL)",
+        "b AS (SELECT 'trust' AS kind, src, dst, n FROM e UNION ALL SELECT 'distrust', dst, src, n FROM e)",
+        "w AS MATERIALIZED (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS w FROM b)",
+        "r0 AS (SELECT kind, host, 1.0::DOUBLE AS v FROM s)",
+    ]
+    for i in range(url_trust.STEPS):
+        parts.append(f"r{i + 1} AS MATERIALIZED (SELECT kind, host, sum(v) AS v FROM (SELECT * FROM r0 UNION ALL SELECT kind, dst, {url_trust.DAMPING} * v * w FROM w JOIN r{i} r USING (kind) WHERE w.src = r.host) GROUP BY ALL)")
+    last = f"r{url_trust.STEPS}"
+    score = lambda k: f"round(coalesce((SELECT v FROM {last} WHERE kind = '{k}' AND host = p.host), 0), 9)"
+    return f"WITH {', '.join(parts)}, o AS (SELECT page_id, url, host, {score('trust')} AS trust, {score('distrust')} AS distrust FROM p) SELECT *, NOT (distrust >= 0.05 AND distrust > trust) AS keep FROM o"
+
+
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search_all(table(spark, sf_dir, "embeddings"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,6 +69,40 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_tokens(table(spark, sf_dir, "documents"), corpus_pipeline.TOKENIZER)
+
+
+_OP8 = r"""
+WITH l AS (
+  SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)
+), w AS (
+  SELECT doc_id, line_no, list_sort(list_distinct(regexp_extract_all(lower(line), '[\p{L}\p{N}_]+'))) AS ws FROM l
+), f AS (
+  SELECT ws, len(ws) AS size, min((doc_id, line_no)) AS f, row_number() OVER (ORDER BY min((doc_id, line_no))) AS s
+  FROM w WHERE len(ws) > 0 GROUP BY ws
+), t AS (SELECT s, size, unnest(ws) AS word FROM f),
+near AS (
+  SELECT a.s AS a, b.s AS b, count(*) / (a.size + b.size - count(*)) AS jaccard
+  FROM t a JOIN t b ON a.word = b.word AND a.s < b.s AND a.size >= 0.8 * b.size - 1e-9 AND b.size >= 0.8 * a.size - 1e-9
+  GROUP BY a.s, b.s, a.size, b.size HAVING count(*) / (a.size + b.size - count(*)) >= 0.8 - 1e-9
+), best AS (SELECT b, min(a) AS a, arg_min(jaccard, a) AS jaccard FROM near GROUP BY b),
+m AS (
+  SELECT f.ws, coalesce(g.f, f.f) AS m, coalesce(best.jaccard, 1.0) AS jaccard
+  FROM f LEFT JOIN best ON best.b = f.s LEFT JOIN f g ON g.s = best.a
+)
+SELECT DISTINCT w.doc_id, w.line_no, m.m[1] AS kept_doc_id, m.m[2] AS kept_line_no, round(m.jaccard, 6) AS jaccard
+FROM w JOIN m ON w.ws = m.ws WHERE m.m < (w.doc_id, w.line_no)
+"""
+
 _OP3 = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents
@@ -50,10 +122,16 @@ SELECT r.rep, g.doc_id, 1.0 FROM g JOIN reps r ON g.grams = r.grams WHERE g.doc_
 """
 
 QUERIES = {
+    "op1_url_trust": op1_url_trust,
+    "op7_ann": op7_ann,
+    "op9_chat_format": op9_chat_format,
     "op2_mixing": op2_mixing,
     "op4_language_id": op4_language_id,
     "op6_decontamination": op6_decontamination,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op5_toxicity": op5_toxicity,
+    "op8_line_dedup": op8_line_dedup,
+    "op10_token_files": op10_token_files,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op3_ngram_jaccard_join": _OP3}
+ORACLES = {"op1_url_trust": _op1(), "op3_ngram_jaccard_join": _OP3, "op8_line_dedup": _OP8}

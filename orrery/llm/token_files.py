@@ -115,8 +115,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id
             if sink is not None:
                 sink.close()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    index = staged(rows.mapInPandas(encode, "doc_id long, file string, shard int, row long, local long, n_tokens long"), "token-index")
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))  # a NULL would make pandas' integers floats
+    index = staged(rows.mapInPandas(encode, "doc_id string, file string, shard int, row long, local long, n_tokens long"), "token-index")
     totals = index.groupBy("shard", "file").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs"))
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     based = totals.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("token_base"), F.coalesce(F.sum("n_docs").over(before), F.lit(0)).alias("doc_base"), "n_tokens", "n_docs", F.lit(dtype).alias("dtype"))
@@ -135,7 +135,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id
         fs.move(f"{at}/{name}.{TaskContext.get().taskAttemptId()}", f"{at}/{name}")
         return pdf
 
-    done = staged(placed.groupBy("file").applyInPandas(offsets, placed.schema), "token-offsets")
+    written = placed.groupBy("file").applyInPandas(offsets, placed.schema)
+    done = staged(written.withColumn("doc_id", F.col("doc_id").cast("long")), "token-offsets")
     named = {r[0] for r in bases.select("file").collect()}
     for status in hadoop.listStatus(path):
         name = status.getPath().getName()
