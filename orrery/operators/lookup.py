@@ -67,7 +67,7 @@ def count(entries: DataFrame) -> DataFrame:
 
 
 def collection_info(entries: DataFrame, collection: str | None = None) -> DataFrame:
-    """Per collection: entries, dimensions, bytes of contents and of vectors.
+    """Per collection: entries, dimensions (0 without vectors), bytes of contents and of vectors.
 
     A named collection that does not exist raises KeyError.
     """
@@ -75,7 +75,7 @@ def collection_info(entries: DataFrame, collection: str | None = None) -> DataFr
     size = F.octet_length("content")
     out = _of(entries, collection).groupBy("collection").agg(
         F.count("*").alias("vectors"),
-        F.max(F.when(dims > 0, dims)).alias("dimensions"),
+        F.max(F.when(dims > 0, dims).otherwise(0)).alias("dimensions"),
         F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("content_size"),
         F.coalesce(F.sum(F.when(dims > 0, dims * 4)), F.lit(0)).cast("long").alias("vector_size"),
     )

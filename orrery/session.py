@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +30,26 @@ def session(app: str = "orrery", cores: int | None = None, **conf: str) -> Spark
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """URI of the folder all executors share: ``spark.checkpoint.dir``.
+
+    A local-mode session without the setting gets a temporary folder of its own;
+    on a cluster that raises ValueError.
+    """
+    conf = spark.sparkContext.getConf()
+    found = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if conf.get("spark.master", "").split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="orrery-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(made)
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_dir(spark)}/orrery/{name}-{uuid.uuid4().hex}"
