@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import cosine_to, matrix, unit
 
@@ -69,6 +70,7 @@ def batch_topk(entries: DataFrame, queries: DataFrame, top: int = DEFAULT_TOP, *
     """
     kind = entries.schema[key].dataType
     schema = f"query_id {queries.schema[qid].dataType.simpleString()}, key {kind.simpleString()}, score double"
+    id_type = to_arrow_type(queries.schema[qid].dataType)
     found: DataFrame | None = None
     rows = entries.select(F.col(key).alias("key"), F.col(vec).alias("vec")).where(F.col(vec).isNotNull())
     for ids, q in _query_blocks(queries, qid, qvec):
@@ -86,7 +88,7 @@ def batch_topk(entries: DataFrame, queries: DataFrame, top: int = DEFAULT_TOP, *
                 # every score equal to the k-th stays, for the tie-break by key
                 cut = -np.partition(-score, k - 1, axis=0)[k - 1]
                 i, j = np.nonzero((score >= cut) & np.isfinite(score))
-                yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(j)), b.column(0).take(pa.array(at[i])), pa.array(score[i, j])], names=["query_id", "key", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, id_type).take(pa.array(j)), b.column(0).take(pa.array(at[i])), pa.array(score[i, j])], names=["query_id", "key", "score"])
 
         part = rows.mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
