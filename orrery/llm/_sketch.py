@@ -34,14 +34,14 @@ class Counter:
         self.n = 0
 
     def add(self, h: np.ndarray) -> None:
-        self.held.append(h)
+        self.held.append(bucket(h).astype(np.int32))
         self.n += len(h)
-        if self.n >= 2_000_000:
+        if self.n >= 4_000_000:
             self.flush()
 
     def flush(self) -> None:
         if self.n:
-            self.table += np.bincount(bucket(np.concatenate(self.held)), minlength=WIDTH).astype(np.uint32)
+            self.table += np.bincount(np.concatenate(self.held), minlength=WIDTH).astype(np.uint32)
             self.held, self.n = [], 0
 
     def rows(self) -> Iterator[tuple[int, bytes]]:

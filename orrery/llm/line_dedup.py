@@ -15,35 +15,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _sketch
 from ._store import dropped, staged
-from ._text import WordCache, overlap, word_hashes
-from .ngram_join import _EPS, SHARED, candidate_pairs, placed_pairs, sized
+from ._text import gram_blocks, set_ids
+from .ngram_join import SHARED, candidate_pairs, placed_pairs, sized, verify
 
 
-def line_sets(text: str, cache: WordCache) -> list[np.ndarray]:
-    """Word sets of the lines that have words."""
-    return [np.unique(h) for h in (word_hashes(x, cache) for x in text.split("\n")) if len(h)]
+def line_sets(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of the word sets of the lines that have words."""
+    for _, _, grams, sizes in gram_blocks([line for text in texts for line in text.split("\n")], 1):
+        yield grams, sizes[sizes > 0]
 
 
 def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cache, counts = WordCache(), _sketch.Counter()
+    counts = _sketch.Counter()
     for pdf in batches:
-        ids, at, sizes, sids = [], [], [], []
-        for i, text in zip(pdf["id"], pdf["text"]):
-            for k, line in enumerate(text.split("\n")):
-                s = np.unique(word_hashes(line, cache))
-                if len(s):
-                    counts.add(s)
-                    ids.append(i)
-                    at.append(k)
-                    sizes.append(len(s))
-                    sids.append(xxhash.xxh64_intdigest(s.tobytes()))
-        yield pd.DataFrame({"id": ids, "line": at, "size": sizes, "sid": np.array(sids, np.uint64).view(np.int64), "slice": -1, "blob": None})
+        lines = [text.split("\n") for text in pdf["text"]]
+        n = np.array([len(x) for x in lines], np.int64)
+        ids = np.repeat(pdf["id"].to_numpy(), n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        for first, last, grams, sizes in gram_blocks([line for x in lines for line in x], 1):
+            counts.add(grams)
+            own = np.flatnonzero(sizes)
+            yield pd.DataFrame({"id": ids[first:last][own], "line": at[first:last][own].astype(np.int32), "size": sizes[own].astype(np.int32), "sid": set_ids(grams, sizes[own]), "slice": -1, "blob": None})
     rows = list(counts.rows())
     yield pd.DataFrame({"id": 0, "line": 0, "size": 0, "sid": 0, "slice": [r[0] for r in rows], "blob": [r[1] for r in rows]})
 
@@ -54,27 +51,12 @@ def _pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for text, wanted in zip(pdf["text"], pdf["wanted"]):
             lines = text.split("\n")
-            out += [(w["g"], w["k"], w["sid"], lines[w["line"]]) for w in wanted if w["line"] < len(lines)]
-        yield pd.DataFrame(out, columns=["g", "k", "sid", "text"])
+            out += [(w["slot"], w["sid"], lines[w["line"]]) for w in wanted if w["line"] < len(lines)]
+        yield pd.DataFrame(out, columns=["slot", "sid", "text"])
 
 
 def _verify(t: float):
-    def run(pairs: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
-        cache, own = WordCache(), {}
-        for sid, text in zip(lines["sid"], lines["text"]):
-            s = np.unique(word_hashes(text, cache))
-            if np.array([xxhash.xxh64_intdigest(s.tobytes())], np.uint64).view(np.int64)[0] == sid:
-                own[sid] = s
-        out = []
-        for a, b in zip(pairs["a"], pairs["b"]):
-            x, y = own[a], own[b]
-            both = overlap(x, y)
-            j = both / (len(x) + len(y) - both)
-            if j >= t - _EPS:
-                out.append((a, b, j))
-        return pd.DataFrame(out, columns=["a", "b", "jaccard"]).astype({"a": "int64", "b": "int64", "jaccard": "float64"})
-
-    return run
+    return lambda pairs, lines: verify(pairs, lines, lambda texts: gram_blocks(texts, 1), t)
 
 
 def repeated_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,11 +80,11 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_i
     prefixes = int(firsts.agg(F.sum(F.ceil(F.col("size") * (1 - t)) + SHARED)).first()[0] or 0)
     pairs = candidate_pairs(docs, line_sets, t, levels, 256, prefixes)
     placed = placed_pairs(pairs)
-    members = placed.select("g", "k", F.col("a").alias("sid")).union(placed.select("g", "k", "b")).distinct()
-    wanted = members.join(firsts, "sid").groupBy(F.col("f.id").alias("id")).agg(F.collect_list(F.struct("g", "k", "sid", F.col("f.line").alias("line"))).alias("wanted"))
+    members = placed.select("slot", F.col("a").alias("sid")).union(placed.select("slot", "b")).distinct()
+    wanted = members.join(firsts, "sid").groupBy(F.col("f.id").alias("id")).agg(F.collect_list(F.struct("slot", "sid", F.col("f.line").alias("line"))).alias("wanted"))
     wanted = staged(wanted, "line-wanted")
-    texts = docs.join(sized(wanted, wanted.count()), "id").select("text", "wanted").mapInPandas(_pick, "g long, k long, sid long, text string")
-    checked = staged(placed.groupBy("g", "k").cogroup(texts.groupBy("g", "k")).applyInPandas(_verify(t), "a long, b long, jaccard double"), "line-pairs")
+    texts = docs.join(sized(wanted, wanted.count()), "id").select("text", "wanted").mapInPandas(_pick, "slot int, sid long, text string")
+    checked = staged(placed.groupBy("slot").cogroup(texts.groupBy("slot")).applyInPandas(_verify(t), "a long, b long, jaccard double"), "line-pairs")
     both = checked.select(F.col("a").alias("sid"), F.col("b").alias("other"), "jaccard").union(checked.select("b", "a", "jaccard"))
     near = both.join(firsts.select(F.col("sid").alias("other"), F.col("f").alias("of")), "other").groupBy("sid").agg(F.min(F.struct("of", "jaccard")).alias("near"))
     best = firsts.join(near, "sid", "left").where("n > 1 OR near IS NOT NULL")

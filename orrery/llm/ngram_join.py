@@ -18,11 +18,14 @@ long enough to be their partners. No posting list is capped.
 
 At scale. Signatures travel as packed 12-byte entries in blobs, one per map
 flush and hash bucket; the number of buckets follows the number of signatures.
-Sets are verified where their group's candidates meet, in slices of bounded
-pair count, so a set is shipped once per slice and not once per pair. Equal
-sets are one entry everywhere; they are reported by the star from their
-smallest id. The pairs among *near* copies are the result and quadratic in the
-size of a group of them.
+A near copy shares signatures with its partners in nearly every bucket. So that
+not each of these reports the pair, a set's entry carries its LOW smallest
+signatures: where those of a pair meet, the smallest one they share is known to
+every bucket, and its bucket alone reports the pair. Pairs are verified where
+their group's candidates meet, in slices of bounded pair count, so a set is
+shipped once per slice and not once per pair. Equal sets are one entry
+everywhere; they are reported by the star from their smallest id. The pairs
+among *near* copies are the result and quadratic in the size of a group of them.
 """
 
 from __future__ import annotations
@@ -32,19 +35,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _sketch
 from ._store import dropped, staged
-from ._text import WordCache, mix, ngram_set, overlap, word_hashes
+from ._text import gram_blocks, mix, overlaps, set_ids
 
 GROUPS = 8
 SHARED = 3
+LOW = 3
 PER_BUCKET = 1_500_000
-PAIRS_PER_SLICE = 200_000
+PAIRS_PER_SLICE = 1_500_000
+PAIRS_PER_SLOT = 200_000
 BROADCAST_ROWS = 1_000_000
 _EPS = 1e-9
 
@@ -66,52 +70,58 @@ def _small(t: float) -> int:
     return size
 
 
-def signatures(tokens: np.ndarray, levels: np.ndarray, frequent: int, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, position) of the signatures of a set of at least one token."""
-    size = len(tokens)
-    level = levels[_sketch.bucket(tokens)]
-    order = np.lexsort((tokens, level))
-    tokens, level = tokens[order], level[order]
-    need = size - least_overlap(size, t) + 1
+def signatures(tokens: np.ndarray, sizes: np.ndarray, levels: np.ndarray, frequent: int, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, position, number of the set) of the signatures of sets of ``sizes`` >= 1 tokens each."""
+    # a token's level before its hash is the global order
+    k = (levels[_sketch.bucket(tokens)].astype(np.uint64) << np.uint64(56)) | (tokens >> np.uint64(8))
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        if b - a > 1:
+            k[a:b].sort()
+    pos = np.arange(len(k)) - np.repeat(starts, sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    need = sizes - np.maximum(1, np.ceil(t * sizes - _EPS)).astype(np.int64) + 1
     small = _small(t)
-    hs, ps = [], []
-    if size <= (small - 1) / t + _EPS:
-        hs.append(mix(tokens[:need] + np.uint64(1)))
-        ps.append(np.arange(need))
-    if size >= small:
-        need += SHARED - 1
-        first = int(np.searchsorted(level, frequent))
-        if first >= need:
-            hs.append(tokens[:need])
-            ps.append(np.arange(need))
-        else:
-            group = (tokens[first:] & np.uint64(GROUPS - 1)).astype(np.int64)
-            gain = np.ones(size - first, np.int64)
-            gain[np.unique(group, return_index=True)[1]] = 0
-            end = int(np.searchsorted(np.cumsum(gain), need - first)) + 1
-            hs.append(tokens[:first])
-            ps.append(np.arange(first))
-            for g in np.unique(group[:end]):
-                own = np.sort(tokens[first : first + end][group[:end] == g])
-                i, j = np.triu_indices(len(own), 1)
-                hs.append(mix(own[i] * np.uint64(3) + mix(own[j])))
-                ps.append(np.zeros(len(i), np.int64))
-    return np.concatenate(hs), np.concatenate(ps)
+    first = np.add.reduceat(k < np.uint64(frequent << 56), starts, dtype=np.int64) if frequent < 256 else sizes
+    plain = np.flatnonzero(pos < np.where(sizes <= (small - 1) / t + _EPS, need, 0)[owner])
+    need = need + SHARED - 1
+    large = sizes >= small
+    rare = np.flatnonzero(pos < np.where(large, np.minimum(first, need), 0)[owner])
+    hs, ps, ds = [mix(k[plain] + np.uint64(1)), mix(k[rare])], [pos[plain], pos[rare]], [owner[plain], owner[rare]]
+    for d in np.flatnonzero(large & (first < need)).tolist():
+        f, own = int(first[d]), k[starts[d] + first[d] : ends[d]]
+        group = (own & np.uint64(GROUPS - 1)).astype(np.int64)
+        gain = np.ones(len(own), np.int64)
+        gain[np.unique(group, return_index=True)[1]] = 0
+        end = int(np.searchsorted(np.cumsum(gain), need[d] - f)) + 1
+        for g in np.unique(group[:end]):
+            x = np.sort(own[:end][group[:end] == g])
+            i, j = np.triu_indices(len(x), 1)
+            hs.append(mix(x[i] * np.uint64(3) + mix(x[j])))
+            ps.append(np.zeros(len(i), np.int64))
+            ds.append(np.full(len(i), d))
+    return np.concatenate(hs), np.concatenate(ps), np.concatenate(ds)
+
+
+def lowest(h: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """n x LOW: the smallest hashes of each set, the greatest number where it has fewer."""
+    order = np.lexsort((h, d))
+    ends = np.searchsorted(d[order], np.arange(n), "right")
+    starts = np.searchsorted(d[order], np.arange(n))
+    at = starts[:, None] + np.arange(LOW)
+    return np.where(at < ends[:, None], h[order][np.minimum(at, len(h) - 1)], np.uint64(0xFFFFFFFFFFFFFFFF))
 
 
 def _profile(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, counts = WordCache(), _sketch.Counter()
+        counts = _sketch.Counter()
         for pdf in batches:
-            ids, sizes, sids = [], [], []
-            for i, text in zip(pdf["id"], pdf["text"]):
-                s = ngram_set(word_hashes(text, cache), n)
-                if len(s):
-                    counts.add(s)
-                    ids.append(i)
-                    sizes.append(len(s))
-                    sids.append(xxhash.xxh64_intdigest(s.tobytes()))
-            yield pd.DataFrame({"id": ids, "size": sizes, "sid": np.array(sids, np.uint64).view(np.int64), "slice": -1, "blob": None})
+            ids = pdf["id"].to_numpy()
+            for first, last, grams, sizes in gram_blocks(pdf["text"].tolist(), n):
+                counts.add(grams)
+                own = np.flatnonzero(sizes)
+                yield pd.DataFrame({"id": ids[first:last][own], "size": sizes[own].astype(np.int32), "sid": set_ids(grams, sizes[own]), "slice": -1, "blob": None})
         rows = list(counts.rows())
         yield pd.DataFrame({"id": 0, "size": 0, "sid": 0, "slice": [r[0] for r in rows], "blob": [r[1] for r in rows]})
 
@@ -119,49 +129,43 @@ def _profile(n: int):
 
 
 def _index(sets, t: float, shared, frequent: int, buckets: int):
-    """``sets(text, cache)`` gives the token sets of a text; equal ones of a task are sent once."""
+    """``sets(texts)`` gives blocks (tokens, sizes) of the sets of texts; equal ones of a task are sent once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, levels = WordCache(), shared.value
-        hs: list[np.ndarray] = []
-        ps: list[np.ndarray] = []
-        sids: list[int] = []
-        sizes: list[int] = []
-        held, known = 0, set()
+        levels = shared.value
+        held: list[tuple] = []
+        n_sets, n_entries, known = 0, 0, set()
 
         def flush() -> pd.DataFrame:
-            h, p = np.concatenate(hs), np.concatenate(ps).astype(np.uint32)
-            d = np.repeat(np.arange(len(hs)), [len(x) for x in hs])
-            b = (h % np.uint64(buckets)).astype(np.int64)
+            h, p, d, sid, size, low = (np.concatenate(x) for x in zip(*held))
+            b = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             at = np.argsort(b, kind="stable")
             ends = np.searchsorted(b[at], np.arange(buckets + 1))
-            sid, size = np.array(sids, np.uint64), np.array(sizes, np.uint32)
             out = []
             for k in range(buckets):
                 own = at[ends[k] : ends[k + 1]]
                 if len(own):
                     docs, local = np.unique(d[own], return_inverse=True)
-                    out.append((k, (h[own] >> np.uint64(32)).astype(np.uint32).tobytes(), local.astype(np.uint32).tobytes(), p[own].tobytes(), sid[docs].tobytes(), size[docs].tobytes()))
-            return pd.DataFrame(out, columns=["bucket", "h", "d", "p", "sids", "sizes"])
+                    out.append((k, mix(h[own]).astype(np.uint32).tobytes(), local.astype(np.uint32).tobytes(), p[own].tobytes(), sid[docs].tobytes(), size[docs].tobytes(), low[docs].tobytes()))
+            return pd.DataFrame(out, columns=["bucket", "h", "d", "p", "sids", "sizes", "low"])
 
         for pdf in batches:
-            for s in (s for text in pdf["text"] for s in sets(text, cache)):
-                sid = xxhash.xxh64_intdigest(s.tobytes())
-                if sid in known:
-                    continue
+            for tokens, sizes in sets(pdf["text"].tolist()):
+                sids = set_ids(tokens, sizes)
                 if len(known) >= 400_000:
                     known.clear()
-                known.add(sid)
-                h, p = signatures(s, levels, frequent, t)
-                hs.append(h)
-                ps.append(p)
-                sids.append(sid)
-                sizes.append(len(s))
-                held += len(h)
-                if held >= 1_500_000:
+                new = np.array([not (s in known or known.add(s)) for s in sids.tolist()], bool)
+                tokens, sizes, sids = tokens[np.repeat(new, sizes)], sizes[new], sids[new]
+                if not len(sizes):
+                    continue
+                h, p, d = signatures(tokens, sizes, levels, frequent, t)
+                held.append((h, p.astype(np.uint32), d + n_sets, sids, sizes.astype(np.uint32), lowest(h, d, len(sizes))))
+                n_sets += len(sizes)
+                n_entries += len(h)
+                if n_entries >= 1_500_000:
                     yield flush()
-                    hs, ps, sids, sizes, held = [], [], [], [], 0
-        if hs:
+                    held, n_sets, n_entries = [], 0, 0
+        if held:
             yield flush()
 
     return run
@@ -184,13 +188,24 @@ def _run_pairs(starts: np.ndarray, lengths: np.ndarray, most: int = 500_000) ->
                     yield np.full(len(j), s + i), s + j
 
 
-def _candidates(t: float):
+def first_common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row by row the smallest number of both, the greatest number if there is none."""
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+    out = np.full(len(x), none)
+    for i in range(LOW):
+        for j in range(LOW):
+            out = np.minimum(out, np.where(x[:, i] == y[:, j], x[:, i], none))
+    return out
+
+
+def _candidates(t: float, buckets: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [[np.frombuffer(x, np.uint32) for x in pdf[c]] for c in ("h", "d", "p", "sizes")]
-        sids = [np.frombuffer(x, np.uint64) for x in pdf["sids"]]
+        sids = [np.frombuffer(x, np.int64) for x in pdf["sids"]]
         base = np.concatenate(([0], np.cumsum([len(x) for x in sids])))
         uniq, first, doc = np.unique(np.concatenate(sids), return_index=True, return_inverse=True)
         size = np.concatenate(parts[3])[first].astype(np.int64)
+        low = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["low"]]).reshape(-1, LOW)[first]
         h = np.concatenate(parts[0])
         d = doc[np.concatenate([x.astype(np.int64) + b for x, b in zip(parts[1], base)])]
         p = np.concatenate(parts[2])
@@ -205,11 +220,13 @@ def _candidates(t: float):
         found, held, seen, times = [], 0, np.empty(0, np.uint64), np.empty(0, np.int64)
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            key = np.concatenate([seen, *found])
-            n = np.concatenate([times, np.ones(len(key) - len(times), np.int64)])
+            key, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            if not len(seen) or not len(key):
+                return (key, n) if len(key) else (seen, times)
+            key, n = np.concatenate([seen, key]), np.concatenate([times, n])
             at = np.argsort(key, kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], key[at][1:] != key[at][:-1]))) if len(key) else np.empty(0, np.int64)
-            return key[at][first], np.add.reduceat(n[at], first) if len(key) else times
+            first = np.flatnonzero(np.concatenate(([True], key[at][1:] != key[at][:-1])))
+            return key[at][first], np.add.reduceat(n[at], first)
 
         for i, j in _run_pairs(starts[lengths > 1], lengths[lengths > 1]):
             a, b = d[i], d[j]
@@ -220,43 +237,60 @@ def _candidates(t: float):
             a, b = a[ok], b[ok]
             found.append((np.minimum(a, b).astype(np.uint64) << np.uint64(32)) | np.maximum(a, b).astype(np.uint64))
             held += len(a)
-            if held > 2_000_000:
+            if held > max(2_000_000, len(seen)):
                 seen, times = merged()
                 found, held = [], 0
         seen, times = merged()
         ia, ib = (seen >> np.uint64(32)).astype(np.int64), (seen & np.uint64(0xFFFFFFFF)).astype(np.int64)
         times[np.minimum(size[ia], size[ib]) < small] = SHARED
-        a, b = uniq[ia], uniq[ib]
-        a, b = a.view(np.int64), b.view(np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "n": times})
+        shared = first_common(low[ia], low[ib])
+        known = shared != np.uint64(0xFFFFFFFFFFFFFFFF)
+        ours = ~known | ((shared >> np.uint64(32)) % np.uint64(buckets) == np.uint64(pdf["bucket"].iloc[0]))
+        times[known] = SHARED
+        a, b = uniq[ia[ours]], uniq[ib[ours]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "n": times[ours]})
 
     return run
 
 
-def _verify(n: int, t: float):
-    def run(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-        cache = WordCache()
-        own = {}
-        for sid, text in zip(sets["sid"], sets["text"]):
-            s = ngram_set(word_hashes(text, cache), n)
-            if np.array([xxhash.xxh64_intdigest(s.tobytes())], np.uint64).view(np.int64)[0] == sid:
-                own[sid] = s
-        out = []
-        for a, b in zip(pairs["a"], pairs["b"]):
-            x, y = own[a], own[b]
-            both = overlap(x, y)
-            j = both / (len(x) + len(y) - both)
-            if j >= t - _EPS:
-                out.append((a, b, j))
-        return pd.DataFrame(out, columns=["a", "b", "jaccard"]).astype({"a": "int64", "b": "int64", "jaccard": "float64"})
+def verify(pairs: pd.DataFrame, sets: pd.DataFrame, blocks, t: float) -> pd.DataFrame:
+    """The (a, b, jaccard) of ``pairs`` with Jaccard >= ``t``; ``sets`` has sid and
+    text, ``blocks(texts)`` gives (first, last + 1, tokens, sizes) with a set per text."""
+    wanted = sets["sid"].to_numpy()
+    tokens, sizes, sids = [], [], []
+    for first, last, grams, n in blocks(sets["text"].tolist()):
+        own = np.flatnonzero(n)
+        sid = np.zeros(last - first, np.int64)
+        sid[own] = set_ids(grams, n[own])
+        right = (sid == wanted[first:last]) & (n > 0)  # a row may repeat an id with another text
+        tokens.append(grams[np.repeat(right, n)])
+        sizes.append(n[right])
+        sids.append(sid[right])
+    empty = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "jaccard": np.zeros(0)})
+    if not len(pairs) or not sids:
+        return empty
+    tokens, sizes, sids = np.concatenate(tokens), np.concatenate(sizes), np.concatenate(sids)
+    starts = np.cumsum(sizes) - sizes
+    uniq, at = np.unique(sids, return_index=True)
+    starts, sizes = starts[at], sizes[at]
+    a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    ia, ib = np.searchsorted(uniq, a), np.searchsorted(uniq, b)
+    both = overlaps(tokens, starts, sizes, ia, ib)
+    j = both / (sizes[ia] + sizes[ib] - both)
+    ok = j >= t - _EPS
+    return pd.DataFrame({"a": a[ok], "b": b[ok], "jaccard": j[ok]})
 
-    return run
+
+def _verify(n: int, t: float):
+    return lambda pairs, sets: verify(pairs, sets, lambda texts: gram_blocks(texts, n), t)
 
 
 def _gram_sets(n: int):
-    def sets(text: str, cache: WordCache) -> list[np.ndarray]:
-        s = ngram_set(word_hashes(text, cache), n)
-        return [s] if len(s) else []
+    def sets(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _, _, grams, sizes in gram_blocks(texts, n):
+            yield grams, sizes[sizes > 0]
 
     return sets
 
@@ -264,18 +298,22 @@ def _gram_sets(n: int):
 def candidate_pairs(rows: DataFrame, sets, t: float, levels: np.ndarray, frequent: int, prefixes: int) -> DataFrame:
     """Distinct (a, b) of set hashes, a < b, that may have Jaccard >= ``t``; ``rows`` has ``text``."""
     shared = rows.sparkSession.sparkContext.broadcast(levels)
-    index = rows.select("text").mapInPandas(_index(sets, t, shared, frequent, max(1, -(-prefixes // PER_BUCKET))), "bucket int, h binary, d binary, p binary, sids binary, sizes binary")
-    met = index.groupBy("bucket").applyInPandas(_candidates(t), "a long, b long, n long")
+    buckets = max(1, -(-prefixes // PER_BUCKET))
+    index = rows.select("text").mapInPandas(_index(sets, t, shared, frequent, buckets), "bucket int, h binary, d binary, p binary, sids binary, sizes binary, low binary")
+    met = index.groupBy("bucket").applyInPandas(_candidates(t, buckets), "a long, b long, n long")
     return staged(met.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED).select("a", "b"), "candidates")
 
 
 def placed_pairs(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with the place (g, k) to verify them: g is the smallest
-    neighbour of a, k a slice of at most about PAIRS_PER_SLICE pairs."""
+    """``pairs`` with the ``slot`` to verify them in. Those whose first has the same
+    smallest neighbour go together, in slices of at most about PAIRS_PER_SLICE;
+    a slot has several such groups."""
+    spark = pairs.sparkSession
     label = pairs.select(F.col("a").alias("s"), F.col("a").alias("o")).union(pairs.select("b", "a")).groupBy("s").agg(F.min("o").alias("g"))
     placed = pairs.join(label, pairs.a == label.s).select("a", "b", "g")
     slices = F.ceil(F.count("*").over(W.partitionBy("g")) / PAIRS_PER_SLICE)
-    return staged(placed.withColumn("k", F.pmod(F.xxhash64("a"), slices)), "placed")
+    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // PAIRS_PER_SLOT))
+    return staged(placed.select("a", "b", F.pmod(F.xxhash64("g", F.pmod(F.xxhash64("a"), slices)), F.lit(slots)).cast("int").alias("slot")), "placed")
 
 
 def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.6, n: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,10 +340,10 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.6, n: int = 2, id_c
     frequent = int(round(2 * math.log2(4 * grams / _sketch.WIDTH + 1024)))
     pairs = candidate_pairs(docs, _gram_sets(n), t, levels, frequent, prefixes)
     placed = placed_pairs(pairs)
-    members = placed.select("g", "k", F.col("a").alias("sid")).union(placed.select("g", "k", "b")).distinct()
-    members = staged(members.join(reps, "sid").select("sid", "g", "k", F.col("rep").alias("id")), "jaccard-members")
-    sets = docs.join(sized(members, members.count()), "id").select("g", "k", "sid", "text")
-    checked = placed.groupBy("g", "k").cogroup(sets.groupBy("g", "k")).applyInPandas(_verify(n, t), "a long, b long, jaccard double")
+    members = placed.select("slot", F.col("a").alias("sid")).union(placed.select("slot", "b")).distinct()
+    members = staged(members.join(reps, "sid").select("sid", "slot", F.col("rep").alias("id")), "jaccard-members")
+    sets = docs.join(sized(members, members.count()), "id").select("slot", "sid", "text")
+    checked = placed.groupBy("slot").cogroup(sets.groupBy("slot")).applyInPandas(_verify(n, t), "a long, b long, jaccard double")
     ra, rb = reps.select(F.col("sid").alias("a"), F.col("rep").alias("ra")), reps.select(F.col("sid").alias("b"), F.col("rep").alias("rb"))
     near = checked.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("doc_id_a"), F.greatest("ra", "rb").alias("doc_id_b"), "jaccard")
     same = known.join(reps, "sid").where("id <> rep").select(F.col("rep").alias("doc_id_a"), F.col("id").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
