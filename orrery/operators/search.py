@@ -47,53 +47,92 @@ def filter_only(entries: DataFrame, where: Column | None) -> DataFrame:
     return scan(entries, where).withColumn("score", F.lit(0.0))
 
 
-def _query_blocks(queries: DataFrame, qid: str, vec: str) -> list[tuple[list, np.ndarray]]:
-    """Blocks of at most QUERY_BLOCK queries of each length."""
-    out: dict[int, list] = {}
-    for r in queries.select(qid, vec).where(F.col(vec).isNotNull()).toLocalIterator():
-        out.setdefault(len(r[1]), []).append((r[0], r[1]))
-    blocks = []
-    for _, rows in sorted(out.items()):
-        for a in range(0, len(rows), QUERY_BLOCK):
-            part = rows[a : a + QUERY_BLOCK]
-            blocks.append(([r[0] for r in part], unit(np.array([r[1] for r in part], np.float64))))
-    return blocks
+def _best(q: np.ndarray, x: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of q, cosine) of the best ``top`` rows for each query; both are of unit rows.
 
-
-def batch_topk(entries: DataFrame, queries: DataFrame, top: int = DEFAULT_TOP, *, key: str = "key", vec: str = "embedding", qid: str = "query_id", qvec: str = "embedding") -> DataFrame:
-    """(query_id, rank, key, score) of every query.
-
-    Each Arrow batch of entries is scored against a block of queries by one
-    matrix product and keeps ``top`` per query, so only tasks x queries x top
-    rows are shuffled to the final ranking. Blocks bound what a task is sent;
-    each block is another scan.
+    Every score equal to the last one stays, for the tie-break by key.
     """
-    kind = entries.schema[key].dataType
-    schema = f"query_id {queries.schema[qid].dataType.simpleString()}, key {kind.simpleString()}, score double"
-    id_type = to_arrow_type(queries.schema[qid].dataType)
+    score = x @ q.T
+    score = np.where(np.isnan(score), -np.inf, score)
+    k = min(top, len(x))
+    cut = -np.partition(-score, k - 1, axis=0)[k - 1]
+    i, j = np.nonzero((score >= cut) & np.isfinite(score))
+    return i, j, score[i, j]
+
+
+def _few(rows: DataFrame, queries: DataFrame, top: int, schema: str, id_type: pa.DataType) -> DataFrame:
+    """At most QUERY_BLOCK queries: sent to the tasks, one scan per vector length."""
+    by_size: dict[int, list] = {}
+    for r in queries.collect():
+        by_size.setdefault(len(r[1]), []).append((r[0], r[1]))
     found: DataFrame | None = None
-    rows = entries.select(F.col(key).alias("key"), F.col(vec).alias("vec")).where(F.col(vec).isNotNull())
-    for ids, q in _query_blocks(queries, qid, qvec):
-        shared = entries.sparkSession.sparkContext.broadcast((ids, q))
+    for _, asked in sorted(by_size.items()):
+        shared = rows.sparkSession.sparkContext.broadcast(([r[0] for r in asked], unit(np.array([r[1] for r in asked], np.float64))))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
             for b in batches:
                 x, at = matrix(b.column(1), q.shape[1])
-                score = unit(x) @ q.T
-                score = np.where(np.isnan(score), -np.inf, score)
-                k = min(top, len(x))
-                if k <= 0:
-                    continue
-                # every score equal to the k-th stays, for the tie-break by key
-                cut = -np.partition(-score, k - 1, axis=0)[k - 1]
-                i, j = np.nonzero((score >= cut) & np.isfinite(score))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, id_type).take(pa.array(j)), b.column(0).take(pa.array(at[i])), pa.array(score[i, j])], names=["query_id", "key", "score"])
+                if len(x):
+                    i, j, score = _best(q, unit(x), top)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, id_type).take(pa.array(j)), b.column(0).take(pa.array(at[i])), pa.array(score)], names=["query_id", "key", "score"])
 
         part = rows.mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
-    if found is None or top <= 0:
+    return rows.sparkSession.createDataFrame([], schema) if found is None else found
+
+
+def _packed(rows: DataFrame, kind: str) -> DataFrame:
+    """(ids, dims, vecs) blocks of at most QUERY_BLOCK / 4 vectors of one length; NULL values make no vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = np.unique(np.asarray(b.column(1).value_lengths().fill_null(0)))
+            for dims in sizes[sizes > 0].tolist():
+                x, at = matrix(b.column(1), dims)
+                for k in range(0, len(x), QUERY_BLOCK // 4):
+                    ids = b.column(0).take(pa.array(at[k : k + QUERY_BLOCK // 4])).to_pylist()
+                    yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(b.column(0).type)), pa.array([dims], pa.int32()), pa.array([x[k : k + QUERY_BLOCK // 4].tobytes()], pa.binary())], names=["ids", "dims", "vecs"])
+
+    return rows.mapInArrow(run, f"ids array<{kind}>, dims int, vecs binary")
+
+
+def _many(rows: DataFrame, queries: DataFrame, top: int, schema: str, key_kind: str, id_kind: str) -> DataFrame:
+    """Blocks of queries meet blocks of entries in a Cartesian product of their partitions; nothing is collected or broadcast."""
+    asked = _packed(queries, id_kind).withColumnsRenamed({"ids": "q_ids", "dims": "q_dims", "vecs": "q_vecs"})
+    pairs = asked.hint("shuffle_replicate_nl").join(_packed(rows, key_kind), F.expr("q_dims - dims = 0"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            for k in range(len(t)):
+                r = {n: t.column(n)[k] for n in t.column_names}
+                dims = r["dims"].as_py()
+                q, x = (unit(np.frombuffer(r[n].as_py(), np.float64).reshape(-1, dims)) for n in ("q_vecs", "vecs"))
+                i, j, score = _best(q, x, top)
+                yield pa.RecordBatch.from_arrays([r["q_ids"].values.take(pa.array(j)), r["ids"].values.take(pa.array(i)), pa.array(score)], names=["query_id", "key", "score"])
+
+    return pairs.mapInArrow(run, schema)
+
+
+def batch_topk(entries: DataFrame, queries: DataFrame, top: int = DEFAULT_TOP, *, key: str = "key", vec: str = "embedding", qid: str = "query_id", qvec: str = "embedding") -> DataFrame:
+    """(query_id, rank, key, score) of every query.
+
+    Each batch or block of entries is scored against a block of queries by one
+    matrix product and keeps ``top`` per query, so only those rows are shuffled to
+    the final ranking. Up to QUERY_BLOCK queries are sent to the tasks; more of
+    them stay distributed and meet the entries block by block.
+    """
+    kind, id_kind = entries.schema[key].dataType.simpleString(), queries.schema[qid].dataType.simpleString()
+    schema = f"query_id {id_kind}, key {kind}, score double"
+    rows = entries.select(F.col(key).alias("key"), F.col(vec).alias("vec")).where(F.col(vec).isNotNull())
+    asked = queries.select(F.col(qid).alias("key"), F.col(qvec).alias("vec")).where(F.col(qvec).isNotNull())
+    if top <= 0:
         found = entries.sparkSession.createDataFrame([], schema)
+    elif asked.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
+        found = _few(rows, asked, top, schema, to_arrow_type(queries.schema[qid].dataType))
+    else:
+        found = _many(rows, asked, top, schema, kind, id_kind)
     by = W.partitionBy("query_id").orderBy(F.desc("score"), "key")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top).select("query_id", "rank", "key", "score")
 

@@ -68,6 +68,16 @@ def test_odd_rows_are_never_hits(spark):
     assert search.exact_topk(rows.limit(0), [1.0, 0.0]).count() == 0
 
 
+def test_many_queries_meet_entries_by_blocks(spark, planes, monkeypatch):
+    rows = planes.union(spark.createDataFrame([(900, [1.0]), (901, None), (902, [2.0])], planes.schema))
+    few = search.batch_topk(rows, rows, 5, qid="key").orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(search, "QUERY_BLOCK", 64)
+    many = search.batch_topk(rows, rows, 5, qid="key")
+    assert "CartesianProduct" in many._jdf.queryExecution().executedPlan().toString()
+    many = many.orderBy("query_id", "rank").collect()
+    assert [r[:3] for r in few] == [r[:3] for r in many] and len(few) == 180 * 5 + 4
+
+
 def test_min_score_applies_after_the_ranking(circle):
     assert search.exact_topk(circle, [1.0, 0.0], 5, min_score=0.9999).count() == 1
 
