@@ -7,7 +7,7 @@ of x's tokens are missing from the other set. Tokens whose corpus count lies
 far above the sketch's mean are *frequent* and belong to one of ``GROUPS``
 two-token classes; all others form the single-token class. The prefix is
 extended until ``sum over classes of (tokens in the prefix - (k - 1))`` reaches
-|x| - a + SHARED: then two similar sets share at least SHARED signatures, each a
+|x| - a + m: then two similar sets share at least m signatures, each a
 single rare token or a pair of frequent tokens of one class, and only those are
 indexed. Pairs that share as many and pass the length and positional filters are
 verified on whole sets.
@@ -20,8 +20,8 @@ At scale. Signatures travel as packed 12-byte entries in blobs, one per map
 flush and hash bucket; the number of buckets follows the number of signatures.
 A near copy shares signatures with its partners in nearly every bucket. So that
 not each of these reports the pair, a set's entry carries its LOW smallest
-signatures: where those of a pair meet, the smallest one they share is known to
-every bucket, and its bucket alone reports the pair. Pairs are verified where
+signatures: where a pair has two of those in common, the smallest one it shares is
+known to every bucket, and its bucket alone reports the pair. Pairs are verified where
 their group's candidates meet, in slices of bounded pair count, so a set is
 shipped once per slice and not once per pair. Equal sets are one entry
 everywhere; they are reported by the star from their smallest id. The pairs
@@ -44,7 +44,7 @@ from ._store import dropped, staged
 from ._text import gram_blocks, mix, overlaps, set_ids
 
 GROUPS = 8
-SHARED = 3
+SHARED, SHARED_GRAMS = 3, 6
 LOW = 3
 PER_BUCKET = 1_500_000
 PAIRS_PER_SLICE = 1_500_000
@@ -62,16 +62,17 @@ def least_overlap(size: int, t: float) -> int:
     return max(1, math.ceil(t * size - _EPS))
 
 
-def _small(t: float) -> int:
+def _small(t: float, m: int) -> int:
     """Smallest size at which every class can be extended."""
     size = 1
-    while least_overlap(size, t) < GROUPS + SHARED:
+    while least_overlap(size, t) < GROUPS + m:
         size += 1
     return size
 
 
-def signatures(tokens: np.ndarray, sizes: np.ndarray, levels: np.ndarray, frequent: int, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, position, number of the set) of the signatures of sets of ``sizes`` >= 1 tokens each."""
+def signatures(tokens: np.ndarray, sizes: np.ndarray, levels: np.ndarray, frequent: int, t: float, m: int = SHARED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, position, number of the set) of the signatures of sets of ``sizes`` >= 1
+    tokens each, of which similar ones share ``m`` if both have ``_small`` tokens, else one."""
     # a token's level before its hash is the global order
     k = (levels[_sketch.bucket(tokens)].astype(np.uint64) << np.uint64(56)) | (tokens >> np.uint64(8))
     ends = np.cumsum(sizes)
@@ -82,10 +83,10 @@ def signatures(tokens: np.ndarray, sizes: np.ndarray, levels: np.ndarray, freque
     pos = np.arange(len(k)) - np.repeat(starts, sizes)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     need = sizes - np.maximum(1, np.ceil(t * sizes - _EPS)).astype(np.int64) + 1
-    small = _small(t)
+    small = _small(t, m)
     first = np.add.reduceat(k < np.uint64(frequent << 56), starts, dtype=np.int64) if frequent < 256 else sizes
     plain = np.flatnonzero(pos < np.where(sizes <= (small - 1) / t + _EPS, need, 0)[owner])
-    need = need + SHARED - 1
+    need = need + m - 1
     large = sizes >= small
     rare = np.flatnonzero(pos < np.where(large, np.minimum(first, need), 0)[owner])
     hs, ps, ds = [mix(k[plain] + np.uint64(1)), mix(k[rare])], [pos[plain], pos[rare]], [owner[plain], owner[rare]]
@@ -128,7 +129,7 @@ def _profile(n: int):
     return run
 
 
-def _index(sets, t: float, shared, frequent: int, buckets: int):
+def _index(sets, t: float, shared, frequent: int, buckets: int, m: int):
     """``sets(texts)`` gives blocks (tokens, sizes) of the sets of texts; equal ones of a task are sent once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,7 +159,7 @@ def _index(sets, t: float, shared, frequent: int, buckets: int):
                 tokens, sizes, sids = tokens[np.repeat(new, sizes)], sizes[new], sids[new]
                 if not len(sizes):
                     continue
-                h, p, d = signatures(tokens, sizes, levels, frequent, t)
+                h, p, d = signatures(tokens, sizes, levels, frequent, t, m)
                 held.append((h, p.astype(np.uint32), d + n_sets, sids, sizes.astype(np.uint32), lowest(h, d, len(sizes))))
                 n_sets += len(sizes)
                 n_entries += len(h)
@@ -189,16 +190,18 @@ def _run_pairs(starts: np.ndarray, lengths: np.ndarray, most: int = 500_000) ->
 
 
 def first_common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Row by row the smallest number of both, the greatest number if there is none."""
+    """Row by row the smallest number of both, the greatest number where they have fewer than two."""
     none = np.uint64(0xFFFFFFFFFFFFFFFF)
-    out = np.full(len(x), none)
+    out, n = np.full(len(x), none), np.zeros(len(x), np.int8)
     for i in range(LOW):
         for j in range(LOW):
-            out = np.minimum(out, np.where(x[:, i] == y[:, j], x[:, i], none))
-    return out
+            same = (x[:, i] == y[:, j]) & (x[:, i] != none)
+            out = np.minimum(out, np.where(same, x[:, i], none))
+            n += same
+    return np.where(n >= 2, out, none)
 
 
-def _candidates(t: float, buckets: int):
+def _candidates(t: float, buckets: int, m: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [[np.frombuffer(x, np.uint32) for x in pdf[c]] for c in ("h", "d", "p", "sizes")]
         sids = [np.frombuffer(x, np.int64) for x in pdf["sids"]]
@@ -216,7 +219,7 @@ def _candidates(t: float, buckets: int):
         h, d, p = h[new], d[new], p[new]
         starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         lengths = np.diff(np.concatenate((starts, [len(h)])))
-        small = _small(t)
+        small = _small(t, m)
         found, held, seen, times = [], 0, np.empty(0, np.uint64), np.empty(0, np.int64)
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -242,11 +245,11 @@ def _candidates(t: float, buckets: int):
                 found, held = [], 0
         seen, times = merged()
         ia, ib = (seen >> np.uint64(32)).astype(np.int64), (seen & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        times[np.minimum(size[ia], size[ib]) < small] = SHARED
+        times[np.minimum(size[ia], size[ib]) < small] = m
         shared = first_common(low[ia], low[ib])
         known = shared != np.uint64(0xFFFFFFFFFFFFFFFF)
         ours = ~known | ((shared >> np.uint64(32)) % np.uint64(buckets) == np.uint64(pdf["bucket"].iloc[0]))
-        times[known] = SHARED
+        times[known] = m
         a, b = uniq[ia[ours]], uniq[ib[ours]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "n": times[ours]})
 
@@ -295,13 +298,13 @@ def _gram_sets(n: int):
     return sets
 
 
-def candidate_pairs(rows: DataFrame, sets, t: float, levels: np.ndarray, frequent: int, prefixes: int) -> DataFrame:
-    """Distinct (a, b) of set hashes, a < b, that may have Jaccard >= ``t``; ``rows`` has ``text``."""
+def candidate_pairs(rows: DataFrame, sets, t: float, levels: np.ndarray, frequent: int, prefixes: int, m: int = SHARED) -> DataFrame:
+    """Distinct (a, b) of set hashes, a < b, that may have Jaccard >= ``t`` as they share ``m`` signatures; ``rows`` has ``text``."""
     shared = rows.sparkSession.sparkContext.broadcast(levels)
     buckets = max(1, -(-prefixes // PER_BUCKET))
-    index = rows.select("text").mapInPandas(_index(sets, t, shared, frequent, buckets), "bucket int, h binary, d binary, p binary, sids binary, sizes binary, low binary")
-    met = index.groupBy("bucket").applyInPandas(_candidates(t, buckets), "a long, b long, n long")
-    return staged(met.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED).select("a", "b"), "candidates")
+    index = rows.select("text").mapInPandas(_index(sets, t, shared, frequent, buckets, m), "bucket int, h binary, d binary, p binary, sids binary, sizes binary, low binary")
+    met = index.groupBy("bucket").applyInPandas(_candidates(t, buckets, m), "a long, b long, n long")
+    return staged(met.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= m).select("a", "b"), "candidates")
 
 
 def placed_pairs(pairs: DataFrame) -> DataFrame:
@@ -334,11 +337,11 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.6, n: int = 2, id_c
     profile = staged(docs.mapInPandas(_profile(n), "id long, size int, sid long, slice int, blob binary"), "jaccard-profile")
     known = profile.where("slice < 0").select("id", "size", "sid").distinct()
     reps = known.groupBy("sid").agg(F.min("id").alias("rep"))
-    totals = known.agg(F.sum("size"), F.sum(F.ceil(F.col("size") * (1 - t)) + SHARED)).first()
+    totals = known.agg(F.sum("size"), F.sum(F.ceil(F.col("size") * (1 - t)) + SHARED_GRAMS)).first()
     grams, prefixes = (int(x or 0) for x in totals)
     levels = _sketch.classes(profile.where("slice >= 0"))
     frequent = int(round(2 * math.log2(4 * grams / _sketch.WIDTH + 1024)))
-    pairs = candidate_pairs(docs, _gram_sets(n), t, levels, frequent, prefixes)
+    pairs = candidate_pairs(docs, _gram_sets(n), t, levels, frequent, prefixes, SHARED_GRAMS)
     placed = placed_pairs(pairs)
     members = placed.select("slot", F.col("a").alias("sid")).union(placed.select("slot", "b")).distinct()
     members = staged(members.join(reps, "sid").select("sid", "slot", F.col("rep").alias("id")), "jaccard-members")

@@ -88,8 +88,8 @@ def test_join_equals_brute_force(spark, monkeypatch, n, t, groups):
     assert got == brute_pairs(rows, n, t)
 
 
-@pytest.mark.parametrize("frequent", [256, 8, 1])
-def test_similar_sets_share_signatures(frequent):
+@pytest.mark.parametrize(("frequent", "m"), [(256, 3), (8, 6), (1, 6)])
+def test_similar_sets_share_signatures(frequent, m):
     rng = np.random.default_rng(3)
     levels = rng.integers(0, 12, 1 << 22).astype(np.uint8)
     for t in (0.5, 0.6, 0.8):
@@ -103,8 +103,8 @@ def test_similar_sets_share_signatures(frequent):
             both = len(np.intersect1d(x, y))
             if both / (len(x) + len(y) - both) < t:
                 continue
-            h, _, d = ngram_join.signatures(np.concatenate([x, y]), np.array([len(x), len(y)]), levels, frequent, t)
-            need = 1 if min(len(x), len(y)) < ngram_join._small(t) else ngram_join.SHARED
+            h, _, d = ngram_join.signatures(np.concatenate([x, y]), np.array([len(x), len(y)]), levels, frequent, t, m)
+            need = 1 if min(len(x), len(y)) < ngram_join._small(t, m) else m
             assert len(np.intersect1d(h[d == 0], h[d == 1])) >= need
 
 
