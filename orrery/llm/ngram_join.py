@@ -62,10 +62,10 @@ def least_overlap(size: int, t: float) -> int:
     return max(1, math.ceil(t * size - _EPS))
 
 
-def _small(t: float, m: int) -> int:
-    """Smallest size at which every class can be extended."""
+def _small(t: float, m: int, frequent: int) -> int:
+    """Smallest size at which every class can be extended; without frequent tokens there is one class."""
     size = 1
-    while least_overlap(size, t) < GROUPS + m:
+    while least_overlap(size, t) < m + (GROUPS if frequent < 256 else 0):
         size += 1
     return size
 
@@ -83,7 +83,7 @@ def signatures(tokens: np.ndarray, sizes: np.ndarray, levels: np.ndarray, freque
     pos = np.arange(len(k)) - np.repeat(starts, sizes)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     need = sizes - np.maximum(1, np.ceil(t * sizes - _EPS)).astype(np.int64) + 1
-    small = _small(t, m)
+    small = _small(t, m, frequent)
     first = np.add.reduceat(k < np.uint64(frequent << 56), starts, dtype=np.int64) if frequent < 256 else sizes
     plain = np.flatnonzero(pos < np.where(sizes <= (small - 1) / t + _EPS, need, 0)[owner])
     need = need + m - 1
@@ -201,7 +201,7 @@ def first_common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(n >= 2, out, none)
 
 
-def _candidates(t: float, buckets: int, m: int):
+def _candidates(t: float, buckets: int, m: int, frequent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [[np.frombuffer(x, np.uint32) for x in pdf[c]] for c in ("h", "d", "p", "sizes")]
         sids = [np.frombuffer(x, np.int64) for x in pdf["sids"]]
@@ -219,7 +219,7 @@ def _candidates(t: float, buckets: int, m: int):
         h, d, p = h[new], d[new], p[new]
         starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         lengths = np.diff(np.concatenate((starts, [len(h)])))
-        small = _small(t, m)
+        small = _small(t, m, frequent)
         found, held, seen, times = [], 0, np.empty(0, np.uint64), np.empty(0, np.int64)
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -303,7 +303,7 @@ def candidate_pairs(rows: DataFrame, sets, t: float, levels: np.ndarray, frequen
     shared = rows.sparkSession.sparkContext.broadcast(levels)
     buckets = max(1, -(-prefixes // PER_BUCKET))
     index = rows.select("text").mapInPandas(_index(sets, t, shared, frequent, buckets, m), "bucket int, h binary, d binary, p binary, sids binary, sizes binary, low binary")
-    met = index.groupBy("bucket").applyInPandas(_candidates(t, buckets, m), "a long, b long, n long")
+    met = index.groupBy("bucket").applyInPandas(_candidates(t, buckets, m, frequent), "a long, b long, n long")
     return staged(met.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= m).select("a", "b"), "candidates")
 
 

@@ -104,7 +104,7 @@ def test_similar_sets_share_signatures(frequent, m):
             if both / (len(x) + len(y) - both) < t:
                 continue
             h, _, d = ngram_join.signatures(np.concatenate([x, y]), np.array([len(x), len(y)]), levels, frequent, t, m)
-            need = 1 if min(len(x), len(y)) < ngram_join._small(t, m) else m
+            need = 1 if min(len(x), len(y)) < ngram_join._small(t, m, frequent) else m
             assert len(np.intersect1d(h[d == 0], h[d == 1])) >= need
 
 
