@@ -298,10 +298,10 @@ def _gram_sets(n: int):
     return sets
 
 
-def candidate_pairs(rows: DataFrame, sets, t: float, levels: np.ndarray, frequent: int, prefixes: int, m: int = SHARED) -> DataFrame:
+def candidate_pairs(rows: DataFrame, sets, t: float, levels: np.ndarray, frequent: int, prefixes: int, m: int = SHARED, per_bucket: int = PER_BUCKET) -> DataFrame:
     """Distinct (a, b) of set hashes, a < b, that may have Jaccard >= ``t`` as they share ``m`` signatures; ``rows`` has ``text``."""
     shared = rows.sparkSession.sparkContext.broadcast(levels)
-    buckets = max(1, -(-prefixes // PER_BUCKET))
+    buckets = max(1, -(-prefixes // per_bucket))
     index = rows.select("text").mapInPandas(_index(sets, t, shared, frequent, buckets, m), "bucket int, h binary, d binary, p binary, sids binary, sizes binary, low binary")
     met = index.groupBy("bucket").applyInPandas(_candidates(t, buckets, m, frequent), "a long, b long, n long")
     return staged(met.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= m).select("a", "b"), "candidates")
