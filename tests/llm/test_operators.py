@@ -321,6 +321,24 @@ def test_inner_product_search(spark, monkeypatch):
     assert [(r["query_id"], r["vec_id"]) for r in ann.search_all(ties, 2).orderBy("query_id", "rank").collect()] == [(0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1), (3, 0), (3, 1), (4, 0), (4, 1)]
 
 
+def test_copies_beyond_the_reranked_rows_are_found(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 400)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((1000, 32))
+    x[:500] = x[0] + 0.02 * rng.standard_normal((500, 32))  # near copies, more than ``rerank`` in a block
+    x[500:700] = x[500]  # equal vectors
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    ids = rng.permutation(1000)
+    vectors = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>").coalesce(1)
+    got = {}
+    for r in ann.search_all(vectors).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    s = np.einsum("qd,rd->qr", x.astype(np.float64), x.astype(np.float64))
+    np.fill_diagonal(s, -np.inf)
+    hits = [len(set(got[ids[q]]) & set(ids[np.lexsort((ids, -s[q]))[:10]])) / 10 for q in range(1000)]
+    assert [np.mean(hits[a:b]) for a, b in ((0, 500), (500, 700), (700, 1000))] == [1, 1, 1]
+
+
 def test_anisotropic_codes_keep_inner_products_better():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((2000, 16)).astype(np.float32)
