@@ -5,7 +5,8 @@ k-means whose steps are sums over all vectors). A search reads the ``n_probe``
 lists nearest to the query and ranks their entries by exact cosine, so probing
 all lists is exact search. A filter applies before probing: lists are added in
 order of distance until they hold ``top`` matches, so a selective filter still
-fills the result.
+fills the result. ``nearest`` needs no ``n_probe``: it leaves out only lists whose
+radius shows that they hold no hit, so it is exact.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from ..functions.vectors import cosine_to, matrix, unit
 from .search import DEFAULT_TOP, exact_topk
 
 THRESHOLD = 100_001
+N_PROBE = 8
 STEPS = 6
 MOST_LISTS = 1 << 14
 
@@ -33,6 +35,27 @@ class IvfIndex:
 
     def __init__(self, table: DataFrame, centers: np.ndarray, vec: str) -> None:
         self.table, self.centers, self.vec = table, centers, vec
+        self._radii: np.ndarray | None = None
+
+    def radii(self) -> np.ndarray:
+        """Angle from each center to the farthest entry of its list, found once; pi where the center has no direction."""
+        if self._radii is None:
+            centers = self.centers
+
+            def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                out = np.full(len(centers), np.inf)
+                for b in batches:
+                    x, rows = matrix(b.column(1), centers.shape[1])
+                    at = np.asarray(b.column(0))[rows]
+                    np.minimum.at(out, at, (unit(x) * centers[at]).sum(1))
+                own = np.flatnonzero(np.isfinite(out))
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(out[own])], names=["list", "c"])
+
+            got = np.ones(len(centers))  # one row per list
+            for i, c in self.table.select("list", self.vec).mapInArrow(least, "list long, c double").groupBy("list").agg(F.min("c")).collect():
+                got[i] = c
+            self._radii = np.where(np.linalg.norm(centers, axis=1) > 0.5, np.arccos(np.clip(got, -1, 1)), np.pi)
+        return self._radii
 
     def ranked(self, query: Sequence[float]) -> list[int]:
         """Lists from the nearest to the farthest."""
@@ -95,7 +118,7 @@ def build(entries: DataFrame, n_lists: int | None = None, *, vec: str = "embeddi
     return IvfIndex(rows.withColumn("list", _nearest(centers)(F.col(vec))).where("list IS NOT NULL"), centers, vec)
 
 
-def probe(index: IvfIndex, query: Sequence[float], top: int = DEFAULT_TOP, n_probe: int = 8, *, where: Column | None = None, min_score: float | None = None, key: str = "key") -> DataFrame:
+def probe(index: IvfIndex, query: Sequence[float], top: int = DEFAULT_TOP, n_probe: int = N_PROBE, *, where: Column | None = None, min_score: float | None = None, key: str = "key") -> DataFrame:
     """Hits of one query among its nearest lists, as ``search.exact_topk`` returns them."""
     rows = index.table if where is None else index.table.where(where)
     if top <= 0 or not len(query) or not len(index.centers):
@@ -111,6 +134,26 @@ def probe(index: IvfIndex, query: Sequence[float], top: int = DEFAULT_TOP, n_pro
     return hits if min_score is None else hits.where(F.col("score") >= min_score)
 
 
+def nearest(index: IvfIndex, query: Sequence[float], top: int = DEFAULT_TOP, *, where: Column | None = None, min_score: float | None = None, key: str = "key") -> DataFrame:
+    """As ``probe``, with as many lists as hold any of the ``top`` hits: equal to ``search.exact_topk``.
+
+    A first probe gives a floor for the last hit's score. An entry of a list is no
+    nearer to the query than the list's center less the list's radius, so lists
+    out of reach of the floor are left out. Without structure in the vectors that
+    may be none.
+    """
+    order = index.ranked(query) if len(query) == index.centers.shape[1] else []
+    n_probe = len(order)
+    if top > 0 and n_probe > N_PROBE:
+        first = [r[0] for r in probe(index, query, top, where=where, key=key).select("score").collect()]
+        if len(first) == top:
+            q = unit(np.asarray(query, np.float64)[None])[0]
+            away = np.arccos(np.clip(index.centers @ q, -1, 1)) - index.radii()
+            fine = away <= np.arccos(np.clip(first[-1], -1, 1)) + 1e-6
+            n_probe = max(k + 1 for k, i in enumerate(order) if fine[i] or k < N_PROBE)
+    return probe(index, query, top, n_probe, where=where, min_score=min_score, key=key)
+
+
 def probe_batch(index: IvfIndex, queries: DataFrame, top: int = DEFAULT_TOP, n_probe: int = 8, *, key: str = "key", qid: str = "query_id", qvec: str = "embedding") -> DataFrame:
     """(query_id, rank, key, score) of every query: queries meet the entries of their lists there."""
     centers, n_probe = index.centers, max(1, n_probe)
@@ -153,17 +196,21 @@ class LazySearch:
     """Exact search until ``threshold`` entries are held, then an index, built once; it does not go back.
 
     All entries count, those without a vector too. The count is taken at a search.
+    Hits are the exact ones on both sides of the threshold, unless a search names
+    the ``n_probe`` lists to read.
     """
 
     def __init__(self, entries: DataFrame, threshold: int = THRESHOLD, *, key: str = "key", vec: str = "embedding", n_lists: int | None = None) -> None:
         self.entries, self.threshold, self.key, self.vec, self.n_lists = entries, threshold, key, vec, n_lists
         self.index: IvfIndex | None = None
 
-    def search(self, query: Sequence[float], top: int = DEFAULT_TOP, n_probe: int = 8, *, where: Column | None = None, min_score: float | None = None) -> DataFrame:
+    def search(self, query: Sequence[float], top: int = DEFAULT_TOP, n_probe: int | None = None, *, where: Column | None = None, min_score: float | None = None) -> DataFrame:
         if self.index is None and self.entries.count() >= self.threshold:
             self.index = build(self.entries, self.n_lists, vec=self.vec)
         if self.index is None:
             return exact_topk(self.entries, query, top, where=where, min_score=min_score, key=self.key, vec=self.vec)
+        if n_probe is None:
+            return nearest(self.index, query, top, where=where, min_score=min_score, key=self.key)
         return probe(self.index, query, top, n_probe, where=where, min_score=min_score, key=self.key)
 
 

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,21 @@ def test_lazy_search_switches_once(planes):
     assert small.index is None
 
 
+def test_lazy_search_stays_exact_beyond_the_threshold(spark, planes):
+    x = np.random.default_rng(0).standard_normal((1500, 32))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key int, embedding array<float>").cache()
+    lazy = ivf.LazySearch(rows, threshold=1500)
+    for q in (0, 1, 2):
+        exact = [h["key"] for h in search.exact_topk(rows, x[q].tolist()).collect()]
+        assert [h["key"] for h in lazy.search(x[q].tolist()).collect()] == exact
+    assert lazy.index is not None and len(lazy.index.centers) > ivf.N_PROBE
+    where = F.col("key") % 100 == 7
+    exact = [h["key"] for h in search.exact_topk(rows, x[0].tolist(), where=where).collect()]
+    assert [h["key"] for h in lazy.search(x[0].tolist(), where=where).collect()] == exact
+    near = ivf.LazySearch(planes, threshold=180, n_lists=24)
+    assert [h["key"] for h in near.search(_query(3)).collect()] == [h["key"] for h in search.exact_topk(planes, _query(3)).collect()]
+
+
 def test_names_are_trimmed_and_distinct_regardless_of_case():
     assert search.distinct_names(["A", " a ", "", "b", "  ", "B"]) == ["A", "b"]
 
