@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,6 +254,33 @@ def test_rates_match_targets_and_brute_force(spark):
     assert np.allclose(totals, found.totals)
 
 
+def test_rates_match_targets_of_a_rare_domain(spark):
+    rng = np.random.default_rng(2)
+    n, rare = 40_000, 4
+    p = np.column_stack([rng.uniform(0.9, 1, n), np.zeros(n), 10 ** rng.uniform(-9, -6, n)])
+    p[: n // 20, 0] = rng.uniform(0, 0.1, n // 20)
+    p[-rare:] = [0.02, 0.01, 0.97]
+    p[:, 1] = 1 - p[:, 0] - p[:, 2]
+    tokens = rng.integers(50, 400, n)
+    tokens[-rare:] = 10
+    table = spark.createDataFrame(pd.DataFrame({"doc_id": np.arange(n), "n_tokens": tokens, **{f"p_{d}": p[:, k] for k, d in enumerate(mixing.DOMAINS)}}))
+    found = mixing.fit_rates(table)
+    got = mixing.rated(table, found).toPandas()
+    totals = (got["rate"] * got["n_tokens"]).to_numpy() @ got[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy()
+    assert np.abs(totals - found.targets).max() <= 1.01e-4 * found.targets.sum() and np.allclose(totals, found.totals)
+    assert totals[2] == pytest.approx(found.targets[2], rel=0.01)
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    rows = [(i, 10, 0.8, 0.2, 0.0) for i in range(50)]
+    table = spark.createDataFrame(rows, "doc_id long, n_tokens long, p_clean double, p_low double, p_toxic double")
+    with pytest.warns(UserWarning, match="out of reach"):
+        found = mixing.fit_rates(table, {"clean": 0.6, "low": 0.3, "toxic": 0.1}, 500.0)
+    # one rate for all: least sum of squares over targets
+    rate = (300 / 300 * 0.8 + 150 / 150 * 0.2) / (0.8 * 0.8 / 300 + 0.2 * 0.2 / 150) / 500
+    assert np.allclose(found.totals, np.array([0.8, 0.2, 0]) * 500 * rate, rtol=1e-4)
+
+
 def test_mixing_of_odd_rows(spark):
     rows = [(i, ("good words here " if i % 3 else "bad junk junk ") * (1 + i % 5)) for i in range(60)] + [(100, None), (101, ""), (None, "good words"), (5, "good words")]
     docs = docs_of(spark, rows)
