@@ -5,8 +5,8 @@ of pages that have the link; links within a host are none. A host also has an
 edge to its parent domain where that is itself a host of a page, a link's target
 or a seed ("www.a.org" to "a.org"). Trust is personalised PageRank from the
 trusted seeds along the edges; distrust the same from the blocked seeds against
-them, so a host that links to blocked ones inherits from them. ``STEPS`` rounds
-leave a rest below ``DAMPING ** STEPS`` of the mass. Mass of hosts without
+them, so a host that links to blocked ones inherits from them. Rounds go on
+until all later ones together can change no score by ``REST``. Mass of hosts without
 out-edges returns to the seeds, which is a common factor and drops out.
 
 Ranks hold reached hosts only. Edges are partitioned by source once; a round
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from ._store import dropped, staged
 from .ngram_join import sized
 
-DAMPING, STEPS, CUT = 0.85, 12, 4
+DAMPING, CUT, REST = 0.85, 4, 1e-6
+#: Rounds of the DuckDB oracle, which has no loop to a limit.
+STEPS = 12
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+)"
 HREF = r"""(?i)<a\s[^>]*href\s*=\s*["']?([^"'\s>]*)"""
 
@@ -65,15 +67,18 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     table = staged(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("w")), "host-edges")
     held = table.repartition(parts, "kind", "src").persist()  # rebuilt from the table if an executor is lost
     own = seeds.select("kind", "host", F.lit(1.0).alias("v"))
-    ranks, last = own, None
-    for step in range(1, STEPS + 1):
-        moved = ranks.select("kind", F.col("host").alias("src"), "v").join(held, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (DAMPING * F.col("v") * F.col("w")).alias("v"))
-        ranks = own.union(moved).groupBy("kind", "host").agg(F.sum("v").alias("v"))
-        if step % CUT == 0:
-            ranks = staged(ranks, "host-ranks")
-            if last is not None:
-                dropped(last)
-            last = ranks
+    ranks, last, before, rest = own, None, float(seeds.count()), 1.0
+    while rest > REST:
+        for _ in range(CUT):
+            moved = ranks.select("kind", F.col("host").alias("src"), "v").join(held, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (DAMPING * F.col("v") * F.col("w")).alias("v"))
+            ranks = own.union(moved).groupBy("kind", "host").agg(F.sum("v").alias("v"))
+        ranks = staged(ranks, "host-ranks")
+        if last is not None:
+            dropped(last)
+        last = ranks
+        # scores only grow, and what CUT rounds add is at most DAMPING ** CUT of what the CUT before them did
+        now = float(ranks.agg(F.sum("v")).first()[0] or 0)
+        before, rest = now, (now - before) * DAMPING**CUT / (1 - DAMPING**CUT)
     held.unpersist()
     dropped(table)
     return ranks.select("kind", "host", F.col("v").alias("score"))

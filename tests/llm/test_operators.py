@@ -421,6 +421,18 @@ def test_trust_and_distrust(spark):
     assert [r[0] for r in hosts] == ["a.org", "b.org", None, None]
 
 
+def test_distrust_reaches_the_end_of_a_chain_and_of_a_cycle(spark):
+    def page(i, host, to):
+        return (i, f"https://{host}/p{i}", f'<a href="http://{to}/x">l</a>')
+
+    rows = [page(i, f"h{i}.org", f"h{i + 1}.org" if i < 15 else "bad.org") for i in range(1, 16)] + [page(20, "a.org", "b.org"), page(21, "b.org", "a.org")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in url_trust.filter_urls(pages, ["a.org"], ["bad.org"]).collect()}
+    for i in range(1, 16):
+        assert got[i]["distrust"] == pytest.approx(0.85 ** (16 - i), abs=1e-6) and not got[i]["keep"]
+    assert got[20]["trust"] == pytest.approx(1 / (1 - 0.85**2), abs=1e-5)
+
+
 # -- 5: toxicity ----------------------------------------------------------
 
 
