@@ -79,6 +79,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id
     gives no rows. ``tokenizer`` is the path of a ``.tiktoken`` vocabulary on the
     driver; ``out`` a folder (URI) all executors can write, by default a new one
     in the shared folder. Ids are uint16 where all fit, else uint32.
+
+    In a text of LONGEST characters or more, a run of at least LONGEST letters,
+    digits, punctuation or white space is encoded in pieces of LONGEST characters
+    and apart from the space before it. Ids of such a run differ from those the
+    tokenizer gives the uncut text; they decode to the same text.
     """
     spark = docs.sparkSession
     ranks = load_ranks(tokenizer)
