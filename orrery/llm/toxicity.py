@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ._store import staged
 from ._text import words
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 H, DW, DC = 12, 12, 12
 WORD_ROWS, CHAR_ROWS = 1 << 15, 1 << 14
 BLOCK = 2048

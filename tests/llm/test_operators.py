@@ -466,6 +466,14 @@ def test_windows_cover_the_text():
         assert covered.all() and (np.diff(s) > 0).all()
 
 
+def test_passages_of_half_a_window_lie_whole_in_one():
+    for n in (40, 57, 200, 333):
+        s = toxicity.window_starts(n)
+        for size in range(1, toxicity.WINDOW // 2 + 1):
+            for a in range(n - size + 1):
+                assert ((s <= a) & (a + size <= s + toxicity.WINDOW)).any()
+
+
 def test_toxicity_on_odd_rows_and_held_out(spark):
     rng = random.Random(3)
     rows = []
