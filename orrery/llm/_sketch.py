@@ -3,7 +3,8 @@
 Every token of every row is counted, in one of ``WIDTH`` hashed buckets. The
 counts order tokens by rarity for prefix filters, which are exact under any
 total order: a shared bucket costs speed, never a result. The table that is
-broadcast has ``WIDTH`` bytes whatever the corpus holds.
+broadcast has ``WIDTH`` bytes whatever the corpus holds; a task sends only the
+buckets it met.
 """
 
 from __future__ import annotations
@@ -15,10 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS = 22
+from ._codec import framed, planes, unframed, unplaned
+
+BITS = 24
 WIDTH = 1 << BITS
 SLICES = 64
 _PER = WIDTH // SLICES
+HELD = 1_000_000
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
@@ -29,37 +33,37 @@ class Counter:
     """Counts in one task; ``rows`` gives them as (slice, blob)."""
 
     def __init__(self) -> None:
-        self.table = np.zeros(WIDTH, np.uint32)
         self.held: list[np.ndarray] = []
         self.n = 0
+        self.at, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def add(self, h: np.ndarray) -> None:
         self.held.append(bucket(h).astype(np.int32))
         self.n += len(h)
-        if self.n >= 4_000_000:
+        if self.n >= max(HELD, len(self.at)):
             self.flush()
 
     def flush(self) -> None:
-        if self.n:
-            self.table += np.bincount(np.concatenate(self.held), minlength=WIDTH).astype(np.uint32)
-            self.held, self.n = [], 0
+        if not self.n:
+            return
+        at = np.sort(np.concatenate(self.held))
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        at, count = at[first], np.diff(np.append(first, len(at)))
+        if len(self.at):
+            at, count = np.concatenate([self.at, at]), np.concatenate([self.count, count])
+            order = np.argsort(at, kind="stable")
+            at, count = at[order], count[order]
+            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            at, count = at[first], np.add.reduceat(count, first)
+        self.at, self.count, self.held, self.n = at, count, [], 0
 
     def rows(self) -> Iterator[tuple[int, bytes]]:
         self.flush()
-        for s in range(SLICES):
-            part = self.table[s * _PER : (s + 1) * _PER]
-            if part.any():
-                yield s, _pack(part)
-
-
-def _pack(part: np.ndarray) -> bytes:
-    most = part.max()
-    kind = np.uint8 if most < 256 else np.uint16 if most < 65536 else np.uint32
-    return bytes([np.dtype(kind).itemsize]) + part.astype(kind).tobytes()
-
-
-def _unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, {1: np.uint8, 2: np.uint16, 4: np.uint32}[blob[0]], offset=1)
+        ends = np.searchsorted(self.at, np.arange(1, SLICES + 1) * _PER)
+        for s, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+            if b > a:
+                own = self.at[a:b]
+                yield s, framed([planes(np.diff(own, prepend=s * _PER)), planes(self.count[a:b])])
 
 
 def classes(parts: DataFrame) -> np.ndarray:
@@ -72,8 +76,8 @@ def classes(parts: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for pdf in batches:
             for s, blob in zip(pdf["slice"], pdf["blob"]):
-                sums.setdefault(s, np.zeros(_PER, np.float64))
-                sums[s] += _unpack(blob)
+                gaps, counts = map(unplaned, unframed(blob))
+                sums.setdefault(s, np.zeros(_PER, np.int64))[np.cumsum(gaps)] += counts
         if sums:
             levels = [np.round(2 * np.log2(v + 1)).astype(np.uint8).tobytes() for v in sums.values()]
             yield pd.DataFrame({"slice": list(sums), "blob": levels})

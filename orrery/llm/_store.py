@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -55,3 +56,11 @@ def dropped(*dfs: DataFrame) -> None:
 def delete(spark: SparkSession, uri: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def released() -> None:
+    """Gives memory that a task has freed back to the system, as its worker lives on."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

@@ -16,16 +16,14 @@ Small sets cannot afford the extension of every class; sets below ``_small``
 index plain single-token prefixes instead, and so do, in addition, all sets
 long enough to be their partners. No posting list is capped.
 
-At scale. Signatures travel as packed 12-byte entries in blobs, one per map
-flush and hash bucket; the number of buckets follows the number of signatures.
-A near copy shares signatures with its partners in nearly every bucket. So that
-not each of these reports the pair, a set's entry carries its LOW smallest
-signatures: where a pair has two of those in common, the smallest one it shares is
-known to every bucket, and its bucket alone reports the pair. Pairs are verified where
-their group's candidates meet, in slices of bounded pair count, so a set is
-shipped once per slice and not once per pair. Equal sets are one entry
-everywhere; they are reported by the star from their smallest id. The pairs
-among *near* copies are the result and quadratic in the size of a group of them.
+At scale. Signatures travel as one blob per map flush and hash bucket; the number
+of buckets follows the number of signatures. A bucket's pairs go, as runs of ranks
+in a table of its sets, to the reducer of the pair's first set, where the shares
+of all buckets are added up; dense runs, as among near copies, take about a byte a
+pair. Pairs are verified where their group's candidates meet, in slices of bounded
+pair count, so a set is shipped once per slice and not once per pair. Equal sets are
+one entry everywhere. ``jaccard_classes`` reports a row per document: a slice sends
+on a count of links per set and a spanning forest, never its pairs.
 """
 
 from __future__ import annotations
@@ -40,13 +38,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _sketch
-from ._store import dropped, staged
+from ._codec import framed, planes, unframed, unplaned
+from ._store import dropped, released, staged
 from ._text import gram_blocks, mix, overlaps, set_ids
 
 GROUPS = 8
 SHARED, SHARED_GRAMS = 3, 6
-LOW = 3
-PER_BUCKET = 1_500_000
+PER_BUCKET, PER_FLUSH = 1_500_000, 1_500_000
 PAIRS_PER_SLICE = 1_500_000
 PAIRS_PER_SLOT = 200_000
 BROADCAST_ROWS = 1_000_000
@@ -105,15 +103,6 @@ def signatures(tokens: np.ndarray, sizes: np.ndarray, levels: np.ndarray, freque
     return np.concatenate(hs), np.concatenate(ps), np.concatenate(ds)
 
 
-def lowest(h: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
-    """n x LOW: the smallest hashes of each set, the greatest number where it has fewer."""
-    order = np.lexsort((h, d))
-    ends = np.searchsorted(d[order], np.arange(n), "right")
-    starts = np.searchsorted(d[order], np.arange(n))
-    at = starts[:, None] + np.arange(LOW)
-    return np.where(at < ends[:, None], h[order][np.minimum(at, len(h) - 1)], np.uint64(0xFFFFFFFFFFFFFFFF))
-
-
 def _profile(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = _sketch.Counter()
@@ -138,17 +127,19 @@ def _index(sets, t: float, shared, frequent: int, buckets: int, m: int):
         n_sets, n_entries, known = 0, 0, set()
 
         def flush() -> pd.DataFrame:
-            h, p, d, sid, size, low = (np.concatenate(x) for x in zip(*held))
+            h, p, d, sid, size = (np.concatenate(x) for x in zip(*held))
             b = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-            at = np.argsort(b, kind="stable")
+            at = np.argsort(b * len(sid) + d)
+            h, p, d = mix(h[at]).astype("<u4"), p[at], d[at]
             ends = np.searchsorted(b[at], np.arange(buckets + 1))
             out = []
             for k in range(buckets):
-                own = at[ends[k] : ends[k + 1]]
-                if len(own):
-                    docs, local = np.unique(d[own], return_inverse=True)
-                    out.append((k, mix(h[own]).astype(np.uint32).tobytes(), local.astype(np.uint32).tobytes(), p[own].tobytes(), sid[docs].tobytes(), size[docs].tobytes(), low[docs].tobytes()))
-            return pd.DataFrame(out, columns=["bucket", "h", "d", "p", "sids", "sizes", "low"])
+                own = slice(ends[k], ends[k + 1])
+                if ends[k] < ends[k + 1]:
+                    first = np.flatnonzero(np.concatenate(([True], d[own][1:] != d[own][:-1])))
+                    docs = d[own][first]
+                    out.append((k, h[own].tobytes(), planes(p[own]), planes(np.diff(np.append(first, ends[k + 1] - ends[k]))), sid[docs].tobytes(), planes(size[docs])))
+            return pd.DataFrame(out, columns=["bucket", "h", "p", "n", "sids", "sizes"])
 
         for pdf in batches:
             for tokens, sizes in sets(pdf["text"].tolist()):
@@ -160,14 +151,16 @@ def _index(sets, t: float, shared, frequent: int, buckets: int, m: int):
                 if not len(sizes):
                     continue
                 h, p, d = signatures(tokens, sizes, levels, frequent, t, m)
-                held.append((h, p.astype(np.uint32), d + n_sets, sids, sizes.astype(np.uint32), lowest(h, d, len(sizes))))
+                held.append((h, p.astype(np.uint32), d + n_sets, sids, sizes))
                 n_sets += len(sizes)
                 n_entries += len(h)
-                if n_entries >= 1_500_000:
+                if n_entries >= PER_FLUSH:
                     yield flush()
                     held, n_sets, n_entries = [], 0, 0
         if held:
             yield flush()
+        held.clear()
+        released()
 
     return run
 
@@ -189,47 +182,32 @@ def _run_pairs(starts: np.ndarray, lengths: np.ndarray, most: int = 500_000) ->
                     yield np.full(len(j), s + i), s + j
 
 
-def first_common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Row by row the smallest number of both, the greatest number where they have fewer than two."""
-    none = np.uint64(0xFFFFFFFFFFFFFFFF)
-    out, n = np.full(len(x), none), np.zeros(len(x), np.int8)
-    for i in range(LOW):
-        for j in range(LOW):
-            same = (x[:, i] == y[:, j]) & (x[:, i] != none)
-            out = np.minimum(out, np.where(same, x[:, i], none))
-            n += same
-    return np.where(n >= 2, out, none)
+def _candidates(t: float, m: int, frequent: int, reducers: int):
+    """A bucket's blobs -> per reducer the pairs that share a signature here and how many."""
 
-
-def _candidates(t: float, buckets: int, m: int, frequent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [[np.frombuffer(x, np.uint32) for x in pdf[c]] for c in ("h", "d", "p", "sizes")]
-        sids = [np.frombuffer(x, np.int64) for x in pdf["sids"]]
-        base = np.concatenate(([0], np.cumsum([len(x) for x in sids])))
-        uniq, first, doc = np.unique(np.concatenate(sids), return_index=True, return_inverse=True)
-        size = np.concatenate(parts[3])[first].astype(np.int64)
-        low = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["low"]]).reshape(-1, LOW)[first]
-        h = np.concatenate(parts[0])
-        d = doc[np.concatenate([x.astype(np.int64) + b for x, b in zip(parts[1], base)])]
-        p = np.concatenate(parts[2])
-        at = np.argsort((h.astype(np.uint64) << np.uint64(32)) | d.astype(np.uint64))
-        h, d, p = h[at], d[at], p[at].astype(np.int64)
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])  # equal sets are one entry
-        h, d, p = h[new], d[new], p[new]
+        sids = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["sids"]])
+        uniq, first, doc = np.unique(sids, return_index=True, return_inverse=True)
+        size = np.concatenate([unplaned(x) for x in pdf["sizes"]])[first]
+        d = np.repeat(doc, np.concatenate([unplaned(x) for x in pdf["n"]]))
+        h = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["h"]])
+        p = np.concatenate([unplaned(x) for x in pdf["p"]]).astype(np.int32)
+        key = (h.astype(np.uint64) << np.uint64(32)) | d.astype(np.uint64)
+        at = np.argsort(key)
+        key, p = key[at], p[at]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]  # equal sets are one entry
+        key, p = key[new], p[new]
+        h, d = (key >> np.uint64(32)).astype(np.uint32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
         starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         lengths = np.diff(np.concatenate((starts, [len(h)])))
         small = _small(t, m, frequent)
         found, held, seen, times = [], 0, np.empty(0, np.uint64), np.empty(0, np.int64)
+        del sids, doc, key, at, new
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             key, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            if not len(seen) or not len(key):
-                return (key, n) if len(key) else (seen, times)
-            key, n = np.concatenate([seen, key]), np.concatenate([times, n])
-            at = np.argsort(key, kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], key[at][1:] != key[at][:-1])))
-            return key[at][first], np.add.reduceat(n[at], first)
+            return added(np.concatenate([seen, key]), np.concatenate([times, n]))
 
         for i, j in _run_pairs(starts[lengths > 1], lengths[lengths > 1]):
             a, b = d[i], d[j]
@@ -240,18 +218,70 @@ def _candidates(t: float, buckets: int, m: int, frequent: int):
             a, b = a[ok], b[ok]
             found.append((np.minimum(a, b).astype(np.uint64) << np.uint64(32)) | np.maximum(a, b).astype(np.uint64))
             held += len(a)
-            if held > max(2_000_000, len(seen)):
+            if held > max(1_000_000, len(seen)):
                 seen, times = merged()
                 found, held = [], 0
         seen, times = merged()
+        found.clear()
         ia, ib = (seen >> np.uint64(32)).astype(np.int64), (seen & np.uint64(0xFFFFFFFF)).astype(np.int64)
         times[np.minimum(size[ia], size[ib]) < small] = m
-        shared = first_common(low[ia], low[ib])
-        known = shared != np.uint64(0xFFFFFFFFFFFFFFFF)
-        ours = ~known | ((shared >> np.uint64(32)) % np.uint64(buckets) == np.uint64(pdf["bucket"].iloc[0]))
-        times[known] = m
-        a, b = uniq[ia[ours]], uniq[ib[ours]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "n": times[ours]})
+        to = (mix(uniq.view(np.uint64)) % np.uint64(reducers)).astype(np.int64)[ia]
+        order = np.argsort(to, kind="stable")
+        ends = np.searchsorted(to[order], np.arange(reducers + 1))
+        out = []
+        for r in np.flatnonzero(np.diff(ends)).tolist():
+            own = order[ends[r] : ends[r + 1]]
+            out.append((r, pair_blob(uniq, ia[own], ib[own], np.minimum(times[own], m))))
+        released()
+        return pd.DataFrame(out, columns=["reducer", "blob"])
+
+    return run
+
+
+def added(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their numbers."""
+    if not len(key):
+        return key, n
+    at = np.argsort(key, kind="stable")
+    key = key[at]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], np.add.reduceat(n[at], first)
+
+
+def pair_blob(names: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> bytes:
+    """Pairs of numbers a < b of sorted ``names``, ordered by (a, b): a table of the names in use and runs of ranks in it."""
+    used = np.unique(np.concatenate([a, b]))
+    a, b = np.searchsorted(used, a), np.searchsorted(used, b)
+    first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+    before = np.concatenate(([0], b[:-1]))
+    before[first] = a[first]
+    return framed([names[used].tobytes(), planes(np.diff(a[first], prepend=0)), planes(np.diff(np.append(first, len(a)))), planes(b - before), planes(n)])
+
+
+def blob_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names of a, names of b, n) of a ``pair_blob``."""
+    names, a, runs, gaps, n = unframed(blob)
+    names, runs, gaps = np.frombuffer(names, np.int64), unplaned(runs), unplaned(gaps)
+    a = np.repeat(np.cumsum(unplaned(a)), runs)
+    total = np.cumsum(gaps)
+    first = np.cumsum(runs) - runs
+    b = total - np.repeat(total[first] - gaps[first], runs) + a
+    return names[a], names[b], unplaned(n)
+
+
+def _merged(m: int):
+    """Blobs of a reducer -> its pairs that share ``m`` signatures in all."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, n = (np.concatenate(x) for x in zip(*map(blob_pairs, pdf["blob"])))
+        names, ranks = np.unique(np.concatenate([a, b]), return_inverse=True)
+        key = (ranks[: len(a)].astype(np.uint64) << np.uint64(32)) | ranks[len(a) :].astype(np.uint64)
+        key, n = added(key, n)
+        key = key[n >= m]
+        out = pd.DataFrame({"a": names[(key >> np.uint64(32)).astype(np.int64)], "b": names[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)]})
+        del a, b, n, ranks, key
+        released()
+        return out
 
     return run
 
@@ -290,6 +320,25 @@ def _verify(n: int, t: float):
     return lambda pairs, sets: verify(pairs, sets, lambda texts: gram_blocks(texts, n), t)
 
 
+def linked(found: pd.DataFrame) -> pd.DataFrame:
+    """Verified pairs -> per set its links among them and the least set that they connect it to."""
+    names, ranks = np.unique(np.concatenate([found["a"].to_numpy(), found["b"].to_numpy()]), return_inverse=True)
+    a, b = ranks[: len(found)], ranks[len(found) :]
+    root = np.arange(len(names))
+    while len(a):
+        ra, rb = root[a], root[b]
+        if (ra == rb).all():
+            break
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (root[root] != root).any():
+            root = root[root]
+    return pd.DataFrame({"sid": names, "links": np.bincount(ranks, minlength=len(names)), "root": names[root]})
+
+
+def _linked(n: int, t: float):
+    return lambda pairs, sets: linked(_verify(n, t)(pairs, sets))
+
+
 def _gram_sets(n: int):
     def sets(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for _, _, grams, sizes in gram_blocks(texts, n):
@@ -300,11 +349,12 @@ def _gram_sets(n: int):
 
 def candidate_pairs(rows: DataFrame, sets, t: float, levels: np.ndarray, frequent: int, prefixes: int, m: int = SHARED, per_bucket: int = PER_BUCKET) -> DataFrame:
     """Distinct (a, b) of set hashes, a < b, that may have Jaccard >= ``t`` as they share ``m`` signatures; ``rows`` has ``text``."""
-    shared = rows.sparkSession.sparkContext.broadcast(levels)
-    buckets = max(1, -(-prefixes // per_bucket))
-    index = rows.select("text").mapInPandas(_index(sets, t, shared, frequent, buckets, m), "bucket int, h binary, d binary, p binary, sids binary, sizes binary, low binary")
-    met = index.groupBy("bucket").applyInPandas(_candidates(t, buckets, m, frequent), "a long, b long, n long")
-    return staged(met.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= m).select("a", "b"), "candidates")
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(levels)
+    buckets, reducers = max(1, -(-prefixes // per_bucket)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = rows.select("text").mapInPandas(_index(sets, t, shared, frequent, buckets, m), "bucket int, h binary, p binary, n binary, sids binary, sizes binary")
+    met = index.groupBy("bucket").applyInPandas(_candidates(t, m, frequent, reducers), "reducer int, blob binary")
+    return staged(met.groupBy("reducer").applyInPandas(_merged(m), "a long, b long"), "candidates")
 
 
 def placed_pairs(pairs: DataFrame) -> DataFrame:
@@ -319,6 +369,31 @@ def placed_pairs(pairs: DataFrame) -> DataFrame:
     return staged(placed.select("a", "b", F.pmod(F.xxhash64("g", F.pmod(F.xxhash64("a"), slices)), F.lit(slots)).cast("int").alias("slot")), "placed")
 
 
+def _gathered(docs: DataFrame, t: float, n: int):
+    """(id, size, sid of each document; smallest id of each sid; pairs to verify by slot; texts of their sets by slot; tables to drop)"""
+    profile = staged(docs.mapInPandas(_profile(n), "id long, size int, sid long, slice int, blob binary"), "jaccard-profile")
+    known = staged(profile.where("slice < 0").select("id", "size", "sid").distinct(), "jaccard-known")
+    totals = known.agg(F.sum("size"), F.sum(F.ceil(F.col("size") * (1 - t)) + SHARED_GRAMS)).first()
+    grams, prefixes = (int(x or 0) for x in totals)
+    levels = _sketch.classes(profile.where("slice >= 0"))
+    dropped(profile)
+    reps = staged(known.groupBy("sid").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "jaccard-reps")
+    frequent = int(round(2 * math.log2(4 * grams / _sketch.WIDTH + 1024)))
+    pairs = candidate_pairs(docs, _gram_sets(n), t, levels, frequent, prefixes, SHARED_GRAMS)
+    placed = placed_pairs(pairs)
+    dropped(pairs)
+    members = placed.select("slot", F.col("a").alias("sid")).union(placed.select("slot", "b")).distinct()
+    members = staged(members.join(reps, "sid").select("sid", "slot", F.col("rep").alias("id")), "jaccard-members")
+    sets = docs.join(sized(members, members.count()), "id").select("slot", "sid", "text")
+    return known, reps, placed, sets, (known, reps, placed, members)
+
+
+def _prepared(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must lie in (0, 1]")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+
+
 def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.6, n: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs of documents whose word ``n``-gram sets have Jaccard >= ``threshold``.
 
@@ -330,28 +405,45 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.6, n: int = 2, id_c
     pairs; other columns are ignored. A text below ``n`` words is one gram.
     ``threshold`` lies in (0, 1]. Sets are told apart by 64-bit hashes.
     """
-    if not 0 < threshold <= 1:
-        raise ValueError("threshold must lie in (0, 1]")
     t = float(threshold)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    profile = staged(docs.mapInPandas(_profile(n), "id long, size int, sid long, slice int, blob binary"), "jaccard-profile")
-    known = profile.where("slice < 0").select("id", "size", "sid").distinct()
-    reps = known.groupBy("sid").agg(F.min("id").alias("rep"))
-    totals = known.agg(F.sum("size"), F.sum(F.ceil(F.col("size") * (1 - t)) + SHARED_GRAMS)).first()
-    grams, prefixes = (int(x or 0) for x in totals)
-    levels = _sketch.classes(profile.where("slice >= 0"))
-    frequent = int(round(2 * math.log2(4 * grams / _sketch.WIDTH + 1024)))
-    pairs = candidate_pairs(docs, _gram_sets(n), t, levels, frequent, prefixes, SHARED_GRAMS)
-    placed = placed_pairs(pairs)
-    members = placed.select("slot", F.col("a").alias("sid")).union(placed.select("slot", "b")).distinct()
-    members = staged(members.join(reps, "sid").select("sid", "slot", F.col("rep").alias("id")), "jaccard-members")
-    sets = docs.join(sized(members, members.count()), "id").select("slot", "sid", "text")
+    known, reps, placed, sets, held = _gathered(_prepared(docs, t, id_col, text_col), t, n)
     checked = placed.groupBy("slot").cogroup(sets.groupBy("slot")).applyInPandas(_verify(n, t), "a long, b long, jaccard double")
     ra, rb = reps.select(F.col("sid").alias("a"), F.col("rep").alias("ra")), reps.select(F.col("sid").alias("b"), F.col("rep").alias("rb"))
     near = checked.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("doc_id_a"), F.greatest("ra", "rb").alias("doc_id_b"), "jaccard")
     same = known.join(reps, "sid").where("id <> rep").select(F.col("rep").alias("doc_id_a"), F.col("id").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
     out = staged(near.union(same).groupBy("doc_id_a", "doc_id_b").agg(F.round(F.max("jaccard"), 6).alias("jaccard")), "jaccard")
-    dropped(profile, pairs, placed, members)
+    dropped(*held)
+    return out
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = 0.6, n: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same join in a row per document: (doc_id, class_id, copy_of, copies, links).
+
+    ``links`` is the number of other gram sets with Jaccard >= ``threshold`` to the
+    document's, each counted whatever the size of its group; ``copy_of`` the smallest
+    id with an equal set and ``copies`` how many ids have it; ``class_id`` the smallest
+    id that links and equal sets lead to. A document without links or equals is
+    a class of its own, and so is one whose text is NULL or has no word, with 0
+    ``copies``. NULL ids have no row; rows that repeat an id are one: with several
+    texts it has the sets of all of them, its ``copy_of`` is the least and its ``links``
+    their sum. An empty table gives no rows; other columns are ignored.
+    """
+    t = float(threshold)
+    known, reps, placed, sets, held = _gathered(_prepared(docs, t, id_col, text_col), t, n)
+    found = placed.groupBy("slot").cogroup(sets.groupBy("slot")).applyInPandas(_linked(n, t), "sid long, links long, root long")
+    found = staged(found, "jaccard-links")
+    rep = reps.select("sid", "rep")
+    edges = found.where("sid <> root").select("sid", "root").distinct()
+    edges = edges.join(rep, "sid").select("root", F.col("rep").alias("doc_id_b")).join(rep.withColumnRenamed("sid", "root"), "root").select(F.col("rep").alias("doc_id_a"), "doc_id_b")
+    same = known.join(rep, "sid").where("id <> rep").select(F.col("rep").alias("doc_id_a"), F.col("id").alias("doc_id_b"))
+    groups = duplicate_groups(edges.union(same))
+    per = known.join(reps, "sid").join(found.groupBy("sid").agg(F.sum("links").alias("links")), "sid", "left")
+    per = per.groupBy("id").agg(F.min("rep").alias("copy_of"), F.sum("copies").alias("copies"), F.coalesce(F.sum("links"), F.lit(0)).alias("links"))
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    out = ids.join(per, ids["doc_id"] == per["id"], "left").join(groups, "doc_id", "left")
+    first = F.coalesce("copy_of", "doc_id")
+    out = staged(out.select("doc_id", F.least(F.coalesce("group_id", "doc_id"), first).alias("class_id"), first.alias("copy_of"), F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links")), "jaccard-classes")
+    dropped(*held, found)
     return out
 
 
@@ -383,11 +475,12 @@ def duplicate_groups(pairs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.6, n: int = 2) -> DataFrame:
-    """``docs`` without all but the smallest doc_id of each group of copies.
+    """``docs`` without all but the smallest doc_id of each class of ``jaccard_classes``.
 
-    Groups are the connected components of ``ngram_jaccard_join``. Rows with a
-    NULL doc_id or without words are kept. Rows that repeat a doc_id are kept
-    or dropped together. Columns are those of ``docs``.
+    Rows with a NULL doc_id or without words are kept. Rows that repeat a doc_id
+    are kept or dropped together. Columns are those of ``docs``.
     """
-    gone = staged(duplicate_groups(ngram_jaccard_join(docs, threshold, n)).where("doc_id <> group_id").select(F.col("doc_id").alias("__gone")), "gone")
-    return docs.join(sized(gone, gone.count()), docs["doc_id"] == gone["__gone"], "left_anti")
+    classes = jaccard_classes(docs, threshold, n)
+    gone = staged(classes.where("doc_id <> class_id").select("doc_id"), "gone")
+    dropped(classes)
+    return docs.alias("l").join(sized(gone, gone.count()).alias("r"), F.expr("l.doc_id = r.doc_id"), "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from . import ann, chat_format, decontaminate, langid, line_dedup, mixing, token_files, toxicity, url_trust
-from .ngram_join import ngram_jaccard_join
+from .ngram_join import jaccard_classes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,21 +104,23 @@ FROM w JOIN m ON w.ws = m.ws WHERE m.m < (w.doc_id, w.line_no)
 """
 
 _OP3 = r"""
-WITH w AS (
+WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents
 ), g AS (
   SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 1 THEN ws
     ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END)) AS grams
   FROM w WHERE len(ws) > 0
-), reps AS (SELECT grams, min(doc_id) AS rep, len(grams) AS size FROM g GROUP BY grams),
+), reps AS (SELECT grams, min(doc_id) AS rep, count(*) AS copies, len(grams) AS size FROM g GROUP BY grams),
 t AS (SELECT rep, size, unnest(grams) AS gram FROM reps),
 near AS (
-  SELECT a.rep AS doc_id_a, b.rep AS doc_id_b, count(*) / (a.size + b.size - count(*)) AS jaccard
-  FROM t a JOIN t b ON a.gram = b.gram AND a.rep < b.rep GROUP BY a.rep, b.rep, a.size, b.size
-)
-SELECT doc_id_a, doc_id_b, round(jaccard, 6) AS jaccard FROM near WHERE jaccard >= 0.6 - 1e-9
-UNION
-SELECT r.rep, g.doc_id, 1.0 FROM g JOIN reps r ON g.grams = r.grams WHERE g.doc_id <> r.rep
+  SELECT a.rep AS x, b.rep AS y FROM t a JOIN t b ON a.gram = b.gram AND a.rep <> b.rep
+  GROUP BY a.rep, b.rep, a.size, b.size HAVING count(*) / (a.size + b.size - count(*)) >= 0.6 - 1e-9
+), reach AS (
+  SELECT rep AS x, rep AS root FROM reps UNION SELECT near.y, reach.root FROM reach JOIN near ON near.x = reach.x
+), cl AS (SELECT x, min(root) AS root FROM reach GROUP BY x),
+deg AS (SELECT x, count(*) AS links FROM near GROUP BY x)
+SELECT d.doc_id, coalesce(cl.root, d.doc_id) AS class_id, coalesce(r.rep, d.doc_id) AS copy_of, coalesce(r.copies, 0) AS copies, coalesce(deg.links, 0) AS links
+FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN reps r ON r.grams = g.grams LEFT JOIN cl ON cl.x = r.rep LEFT JOIN deg ON deg.x = r.rep
 """
 
 QUERIES = {
