@@ -7,15 +7,16 @@ the vector, which is what shifts large inner products, costs ``eta`` times the
 orthogonal part. Codes are chosen by coordinate descent over the subspaces and
 codewords by the weighted least squares of each, from sums over *all* vectors.
 
-Every vector is a query. A pair of blocks is one task's unit: the queries'
+A block of queries and a block of vectors are a task's unit: the queries'
 tables of 16 products per subspace are scanned over the other block's codes (two
 codes a byte, so a scan adds one table row per byte for a slab of queries). The
 best ``rerank`` of the block by these sums give a floor for the k-th best exact
 product; then every row that its sum and the Cauchy-Schwarz bound of its
 residual, ``|q| |r|``, let reach the floor is reranked, however many they are,
 so near copies that the codes cannot tell apart are all seen. The blocks' bests
-are merged. Data have no structure that all of them must have, so no list is
-skipped: the scan is quadratic in the rows, at 16 bytes a vector.
+are merged, so the result is that of brute force however rows lie in blocks. Data
+have no structure that all of them must have, so no list is skipped: every query
+scans every vector, at half a byte per two dimensions.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._store import dropped, staged
@@ -213,29 +215,40 @@ def _scan(books: np.ndarray, k: int, rerank: int, dims: int):
     return run
 
 
-def search_all(vectors: DataFrame, k: int = 10, eta: float = 4.0, rerank: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` other rows of greatest inner product, for every row.
+_FOUND = "query_id long, rank int, vec_id long, score double"
 
-    Equal to brute force in double precision, whatever the codes miss: ``rerank``
+
+def _vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, vec), one row per id."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL AND size(vec) > 0 AND NOT exists(vec, v -> v IS NULL)")
+    if rows.groupBy("id").count().where("count > 1").limit(1).count():
+        rows = rows.groupBy("id").agg(F.min("vec").alias("vec"))
+    return rows
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, eta: float = 4.0, rerank: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` rows of ``vectors`` of greatest inner product with each row of ``queries``.
+
+    A row is not its own neighbour: one of the query's id is left out. Equal to
+    brute force in double precision, whatever the codes miss: ``rerank``
     (rows of a query in each block of at most 4096 that set its floor) only
     decides how many rows need an exact product. Rows with a NULL id, a NULL vector, a value that
-    is NULL or not finite, or a length other than the most frequent (the greater
+    is NULL or not finite, or a length other than the most frequent of ``vectors`` (the greater
     one of a tie) take no part. Rows repeating an id are one, that of the vector
-    that sorts first. Ties of score go to the smaller id. Fewer than two rows give
-    no result; other columns are ignored.
+    that sorts first. Ties of score go to the smaller id. Empty tables, or no other
+    row than the query's own, give no result; other columns are ignored.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL AND size(vec) > 0 AND NOT exists(vec, v -> v IS NULL)")
-    spark = vectors.sparkSession
+    rows, asked, spark = _vectors(vectors, id_col, vec_col), _vectors(queries, id_col, vec_col), vectors.sparkSession
     top = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    schema = "query_id long, rank int, vec_id long, score double"
     if top is None:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], _FOUND)
     dims = top["d"]
-    if rows.groupBy("id").count().where("count > 1").limit(1).count():
-        rows = rows.groupBy("id").agg(F.min("vec").alias("vec"))
     raw = staged(rows.mapInPandas(_blocks(dims), "n int, ids binary, vecs binary"), "ann-raw")
-    if raw.limit(1).count() == 0:
-        return spark.createDataFrame([], schema)
+    wanted = asked.repartition(max(1, asked.count() // BLOCK))  # full blocks of queries
+    wanted = staged(wanted.mapInPandas(_blocks(dims), "n int, ids binary, vecs binary"), "ann-queries")
+    if not raw.limit(1).count() or not wanted.limit(1).count():
+        dropped(raw, wanted)
+        return spark.createDataFrame([], _FOUND)
     books = train(raw, dims, eta)
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,10 +262,10 @@ def search_all(vectors: DataFrame, k: int = 10, eta: float = 4.0, rerank: int =
             yield pdf.assign(codes=out)
 
     blocks = staged(raw.mapInPandas(coded, "n int, ids binary, vecs binary, codes binary"), "ann-blocks")
-    pairs = blocks.select(F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")).hint("shuffle_replicate_nl").crossJoin(blocks.select("ids", "vecs", "codes"))
+    pairs = blocks.select("ids", "vecs", "codes").hint("shuffle_replicate_nl").crossJoin(wanted.select(F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")))
     found = pairs.mapInPandas(_scan(books, k, rerank, dims), "query_id long, vec_id long, score double")
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
-    out = found.groupBy("query_id").agg(best.alias("near")).select("query_id", F.posexplode("near").alias("rank", "n"))
-    out = staged(out.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("n.vec_id").alias("vec_id"), F.round(-F.col("n.s"), 6).alias("score")), "ann")
-    dropped(raw, blocks)
+    by = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # a task sends on its best k of a query
+    out = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    out = staged(out.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score")), "ann")
+    dropped(raw, wanted, blocks)
     return out

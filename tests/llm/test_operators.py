@@ -332,7 +332,7 @@ def test_inner_product_search(spark, monkeypatch):
     rows = [(i, v.tolist(), 1.0) for i, v in enumerate(x)] + [(None, x[0].tolist(), 1.0), (1000, None, 1.0), (1001, [1.0], 1.0), (1002, [float("nan")] * 33, 1.0), (5, (x[5]).tolist(), 1.0), (1003, [], 1.0)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score double")
     got = {}
-    for r in ann.search_all(vectors, rerank=40).collect():
+    for r in ann.search(vectors, vectors, rerank=40).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     s = x.astype(np.float64) @ x.T.astype(np.float64)
     np.fill_diagonal(s, -np.inf)
@@ -344,9 +344,11 @@ def test_inner_product_search(spark, monkeypatch):
         assert all(abs(v - s[q, i]) < 1e-3 for _, i, v in near)
         hits += len({i for _, i, _ in near} & set(np.argsort(-s[q])[:10].tolist()))
     assert hits / 9000 >= 0.9
-    assert ann.search_all(vectors.limit(0)).count() == 0 and ann.search_all(vectors.where("vec_id = 3")).count() == 0
+    assert ann.search(vectors.limit(0), vectors).count() == 0 and ann.search(vectors, vectors.limit(0)).count() == 0
+    three = vectors.where("vec_id = 3")
+    assert ann.search(three, three).count() == 0
     ties = spark.createDataFrame([(i, [1.0, 0.0], 0.0) for i in range(5)], vectors.schema)
-    assert [(r["query_id"], r["vec_id"]) for r in ann.search_all(ties, 2).orderBy("query_id", "rank").collect()] == [(0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1), (3, 0), (3, 1), (4, 0), (4, 1)]
+    assert [(r["query_id"], r["vec_id"]) for r in ann.search(ties, ties, 2).orderBy("query_id", "rank").collect()] == [(0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1), (3, 0), (3, 1), (4, 0), (4, 1)]
 
 
 def test_copies_beyond_the_reranked_rows_are_found(spark, monkeypatch):
@@ -359,7 +361,7 @@ def test_copies_beyond_the_reranked_rows_are_found(spark, monkeypatch):
     ids = rng.permutation(1000)
     vectors = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>").coalesce(1)
     got = {}
-    for r in ann.search_all(vectors).orderBy("query_id", "rank").collect():
+    for r in ann.search(vectors, vectors).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     s = np.einsum("qd,rd->qr", x.astype(np.float64), x.astype(np.float64))
     np.fill_diagonal(s, -np.inf)
