@@ -1,7 +1,8 @@
 """Operator 6: benchmark decontamination by pigeonhole edit matching.
 
-Texts and items are lower-cased words joined by single spaces. An item of m
-characters has an error budget of k = floor(``rate`` * m) edits and is cut into
+Texts and items are lower-cased words joined by single spaces, with a space at
+either end: an item is looked for as whole words. One of m characters has an error
+budget of k = floor(``rate`` * m) edits, those of its bounds included, and is cut into
 k + 1 pieces: an occurrence with at most k edits holds one of them unchanged.
 One Aho-Corasick pass over the whole of every text finds all piece hits; each
 hit fixes a window, and Myers' bit-parallel algorithm decides whether the item
@@ -20,16 +21,23 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ._store import released
 from ._text import words
 
 CHUNK_CHARS = 4_000_000
 
 
 def normal(text: str | None) -> str:
-    return " ".join(words(text))
+    """Words between single spaces, a space at either end; empty without words."""
+    ws = words(text)
+    return f" {' '.join(ws)} " if ws else ""
+
+
+def budget(item: str, rate: float) -> int:
+    """Edits allowed to a normalised item; its outer spaces are not characters of it."""
+    return int(rate * (len(item) - 2) + 1e-9)
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -73,7 +81,7 @@ class Matcher:
     """All occurrences of ``items`` (id, normalised text) within their budgets."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
-        self.items = [(i, t, int(rate * len(t) + 1e-9), masks(t)) for i, t in items if t]
+        self.items = [(i, t, budget(t, rate), masks(t)) for i, t in items if t]
         where: dict[str, list[tuple[int, int]]] = {}
         for n, (_, t, k, _) in enumerate(self.items):
             for offset, piece in pieces(t, k):
@@ -115,21 +123,19 @@ class Matcher:
 def _chunks(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tuple[int, str]]]:
     rows = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size <= CHUNK_CHARS:
-        held = [rows.collect()]
-    else:
-        placed = rows.withColumn("part", F.floor(F.sum(F.length("text")).over(W.orderBy("item_id", "text")) / CHUNK_CHARS))
-        parts = [r[0] for r in placed.select("part").distinct().orderBy("part").collect()]
-        held = [placed.where(F.col("part") == p).select("item_id", "text").collect() for p in parts]
-    return [[(r[0], normal(r[1])) for r in sorted(part)] for part in held]
+    n = 1 if size <= CHUNK_CHARS else -(-2 * size // CHUNK_CHARS)  # hashed, so half full on the whole
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    held = ((rows if n == 1 else rows.where(part == p)).collect() for p in range(n))
+    return [[(r[0], normal(r[1])) for r in sorted(own)] for own in held if own or n == 1]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, distance) of every item found in every document.
 
     ``distance`` is the least number of character edits between the item and a
-    passage of the document, after normalisation; it is at most
-    ``floor(rate * length)``. NULL ids and NULL or wordless texts and items match
+    passage of the document, both normalised and between spaces; it is at most
+    ``floor(rate * length)``. A word that goes on beyond the item, as "cathedral" does
+    beyond "the cat", costs an edit. NULL ids and NULL or wordless texts and items match
     nothing; rows that repeat a doc_id or an item_id count as one, with the least
     distance; other columns are ignored. An item of few characters has a budget
     of 0 and is found as it is.
@@ -144,6 +150,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, id_col
             for pdf in batches:
                 out = [(d, i, k) for d, text in zip(pdf["doc_id"], pdf["text"]) for i, k in matcher.matches(text).items()]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "distance"])
+            released()
 
         part = rows.mapInPandas(run, "doc_id long, item_id long, distance int")
         found = part if found is None else found.union(part)
