@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ._store import released
+
 BITS = 12
 WIDTH = 2 << BITS
 _KEEP = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -108,24 +110,26 @@ def fit_arrays(x: np.ndarray, labels: np.ndarray, languages: list[str], steps: i
 def fit(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """A model from at most ``per_language`` rows of each value of ``lang_col``.
 
-    NULL languages and rows without letters teach nothing. The rows are those
-    with the smallest hash of their id, ties by text.
+    NULL ids and languages and rows without letters teach nothing. The rows are those
+    with the smallest hash of their id; rows that repeat an id and its language are
+    one, that of the features that sort first, so no more than ``per_language`` a
+    language ever reach the driver.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    near = rows.select("id", "lang", F.xxhash64("id").alias("h")).withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "id")))
-    chosen = near.where(F.col("r") <= per_language).select("id", "lang").distinct()
+    near = rows.select("id", "lang").where("id IS NOT NULL").distinct().withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
+    chosen = near.where(F.col("r") <= per_language).select("id", "lang")
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for lang, text in zip(pdf["lang"], pdf["text"]):
+            for i, lang, text in zip(pdf["id"], pdf["lang"], pdf["text"]):
                 x = np.zeros(WIDTH, np.float32)
                 if features(text, x):
-                    out.append((lang, x.astype(np.float16).tobytes()))
-            yield pd.DataFrame(out, columns=["lang", "x"])
+                    out.append((i, lang, x.astype(np.float16).tobytes()))
+            yield pd.DataFrame(out, columns=["id", "lang", "x"])
 
-    # per_language x languages ids at most, whatever the table holds
-    got = rows.join(F.broadcast(chosen), ["id", "lang"]).mapInPandas(vectors, "lang string, x binary").collect()
+    own = rows.join(F.broadcast(chosen), ["id", "lang"]).select(F.col("id").cast("string").alias("id"), "lang", "text")
+    got = own.mapInPandas(vectors, "id string, lang string, x binary").groupBy("id", "lang").agg(F.min("x")).select("lang", "min(x)").collect()
     got.sort(key=lambda r: (r[0], bytes(r[1])))
     languages = sorted({r[0] for r in got})
     x = np.stack([np.frombuffer(r[1], np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, WIDTH), np.float32)
@@ -169,6 +173,7 @@ def identify(docs: DataFrame, model: LanguageModel, margin: float = 0.15, far: f
                 part = pdf.iloc[k : k + 256]
                 out = identify_texts(shared.value, part["text"].tolist(), margin, far)
                 yield pd.concat([part[["doc_id"]].reset_index(drop=True), out], axis=1)
+        released()
 
     rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))  # a NULL would make pandas' integers floats
     out = rows.mapInPandas(run, "doc_id string, predicted string, loss double, gap double, ambiguous boolean")
