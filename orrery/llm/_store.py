@@ -6,11 +6,22 @@ import atexit
 import ctypes
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+class _Made(threading.local):
+    """Paths of the staged tables of a thread."""
+
+    def __init__(self) -> None:
+        self.paths: set[str] = set()
+
+
+_made = _Made()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """URI of the shared folder: ``spark.checkpoint.dir``.
 
@@ -42,6 +53,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    _made.paths.add(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._orrery_path = path
     return out
@@ -51,6 +63,25 @@ def dropped(*dfs: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more."""
     for df in dfs:
         delete(df.sparkSession, df._orrery_path)
+        _made.paths.discard(df._orrery_path)
+
+
+def swept(spark: SparkSession, since: set[str], *kept: DataFrame) -> None:
+    """Deletes the tables staged after ``since`` (a copy of ``made()``) but those kept."""
+    for path in made() - since - {df._orrery_path for df in kept}:
+        delete(spark, path)
+        _made.paths.discard(path)
+
+
+def made() -> set[str]:
+    """Paths of the staged tables that this thread has made and not deleted."""
+    return set(_made.paths)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with a number where ``df`` has such a column (in any case of letters)."""
+    have = {c.lower() for c in df.columns}
+    return next(n for k in range(len(have) + 1) if (n := f"{name}{k or ''}") not in have)
 
 
 def delete(spark: SparkSession, uri: str) -> None:
