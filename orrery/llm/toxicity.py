@@ -9,14 +9,15 @@ scored on all its windows, which start every ``STRIDE`` words and so overlap
 Labels are of documents while toxicity is local, so training is by multiple
 instances: the first windows are picked by smoothed log-odds of their words and
 character grams, later ones by the network itself; of positives that stay
-unconvincing the lowest share is left out as label noise. Training uses a
-bounded sample (``per_class`` documents); the decision threshold is the one of
+unconvincing the lowest share, ``noise``, is left out of training. Training uses a
+bounded sample (``per_class`` documents) in one task; the decision threshold is the one of
 best F1 over *all* labelled documents. Scoring is one map without a shuffle; the
 model broadcast has a fixed size.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._store import staged
+from ._store import released, staged
 from ._text import words
 
 WINDOW, STRIDE = 32, 16
@@ -351,16 +352,27 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 3, epochs: int = 4,
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, seed: int = 5) -> Net | None:
-    """A network from at most ``per_class`` documents of either label, of least id hash."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, seed: int = 5, noise: float = 0.12) -> Net | None:
+    """A network from at most ``per_class`` documents of either label, of least id hash.
+
+    It is trained in a task that gathers those documents; the driver gets the
+    network only. Rows that repeat a doc_id are one, of the text that sorts first.
+    ``noise`` is the share of the toxic documents in the sample that later rounds
+    of training may take for wrongly labelled, those of least score; 0 keeps all.
+    """
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
-    ranked = marked.withColumn("r", F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    chosen = ranked.where(F.col("r") <= per_class).select("doc_id", "toxic").distinct()
+    ranked = marked.distinct().withColumn("r", F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")))
+    chosen = ranked.where(F.col("r") <= per_class).select("doc_id", "toxic")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
-    # 2 x per_class ids at most, whatever the table holds
-    got = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text", "doc_id").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["text"], r["toxic"]))
-    return train([r["text"] for r in got], np.array([r["toxic"] for r in got]), seed=seed)
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+    def trained(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["doc_id", "text", "toxic"])
+        net = train(pdf["text"].tolist(), pdf["toxic"].to_numpy(), seed=seed, noise=noise)
+        return pd.DataFrame({"net": [pickle.dumps(net)]})
+
+    got = sample.groupBy(F.lit(0)).applyInPandas(trained, "net binary").collect()
+    return pickle.loads(got[0][0]) if got else None
 
 
 def score(docs: DataFrame, net: Net | None) -> DataFrame:
@@ -377,6 +389,7 @@ def score(docs: DataFrame, net: Net | None) -> DataFrame:
                 "score": [float(g[b]) if b is not None else 0.0 for g, b in zip(got, best)],
                 "worst_window": pd.array(best, "Int32"),
             })
+        released()
 
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
     out = rows.mapInPandas(run, "doc_id string, n_windows int, score double, worst_window int")
@@ -398,16 +411,17 @@ def threshold(scored: DataFrame, labels: DataFrame) -> float:
     return float(best[len(best) // 2] / 1000)
 
 
-def detect(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> DataFrame:
+def detect(docs: DataFrame, labels: DataFrame, per_class: int = 1000, noise: float = 0.12) -> DataFrame:
     """(doc_id, n_windows, score, worst_window, toxic) of every row of ``docs``.
 
     ``score`` is the greatest probability of a window, ``worst_window`` its number.
     NULL, empty and wordless texts have no window, score 0 and are not toxic;
     repeated rows are scored each; NULL ids are kept; texts shorter than a window
     are one. Ties go to the first window. Without labels of both kinds there is
-    no network: all scores are 0 and nothing is toxic.
+    no network: all scores are 0 and nothing is toxic. ``per_class`` and ``noise`` are
+    those of ``fit``.
     """
-    net = fit(docs, labels, per_class)
+    net = fit(docs, labels, per_class, noise=noise)
     scored = staged(score(docs, net), "toxicity")
     cut = threshold(scored, labels) if net is not None else 2.0
     return scored.withColumn("toxic", F.col("score") >= F.lit(cut))
