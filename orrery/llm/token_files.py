@@ -8,9 +8,9 @@ then give every file's base by an exclusive prefix sum, and each file gets a
 companion of ``documents + 1`` uint64 *global* token offsets. Text is read once
 and never shuffled; only the index rows (ids and counts) are.
 
-    tokens-<shard>-<attempt>.bin    token ids, back to back
-    tokens-<shard>-<attempt>.off    global offsets: document i has [off[i], off[i + 1])
-    manifest/                       Parquet: file, token_base, doc_base, n_tokens, n_docs, dtype
+    tokens-<run>-<shard>-<attempt>.bin    token ids, back to back
+    tokens-<run>-<shard>-<attempt>.off    global offsets: document i has [off[i], off[i + 1])
+    manifest/                             Parquet: file, token_base, doc_base, n_tokens, n_docs, dtype
 
 ``TokenFiles`` memory-maps them.
 """
@@ -18,6 +18,7 @@ and never shuffled; only the index rows (ids and counts) are.
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._store import dropped, new_path, staged
+from ._store import dropped, new_path, released, staged
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Longer runs of one kind of character are cut here before the splitter sees them.
-LONGEST = 4096
+#: The splitter's look-ahead takes stack for every character of a run of white space; longer ones go around it.
+RUN = 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -47,19 +48,18 @@ class Tokenizer:
         import tiktoken
 
         self.encoding = tiktoken.Encoding("orrery", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.long = regex.compile(r"\s{%d,}|\p{L}{%d,}|\p{N}{%d,}|[^\s\p{L}\p{N}]{%d,}" % ((LONGEST,) * 4))
+        self.long = regex.compile(r"\p{White_Space}{%d,}+" % RUN)
 
     def encode(self, text: str) -> list[int]:
         """Ids of the whole text; decoding them gives it back."""
         text = text.encode("utf-8", "replace").decode("utf-8")
-        if len(text) < LONGEST or not self.long.search(text):
-            return self.encoding.encode_ordinary(text)
         out, at = [], 0
-        for m in self.long.finditer(text):
-            out += self.encoding.encode_ordinary(text[at : m.start()])
-            for k in range(m.start(), m.end(), LONGEST):
-                out += self.encoding.encode_ordinary(text[k : min(k + LONGEST, m.end())])
-            at = m.end()
+        if len(text) >= RUN:
+            for m in self.long.finditer(text):
+                out += self.encoding.encode_ordinary(text[at : m.start()])
+                # the splitter takes a run whole, but for the last character before a word
+                at = m.end() - (m.end() < len(text))
+                out += self.encoding._encode_single_piece(text[m.start() : at])
         return out + self.encoding.encode_ordinary(text[at:])
 
     def decode(self, ids) -> str:
@@ -78,12 +78,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id
     NULL and empty texts have no ids (but ``end_id`` if given). An empty table
     gives no rows. ``tokenizer`` is the path of a ``.tiktoken`` vocabulary on the
     driver; ``out`` a folder (URI) all executors can write, by default a new one
-    in the shared folder. Ids are uint16 where all fit, else uint32.
-
-    In a text of LONGEST characters or more, a run of at least LONGEST letters,
-    digits, punctuation or white space is encoded in pieces of LONGEST characters
-    and apart from the space before it. Ids of such a run differ from those the
-    tokenizer gives the uncut text; they decode to the same text.
+    in the shared folder. Ids are uint16 where all fit, else uint32. Files that
+    another run left in ``out`` stay, but its manifest must not be there.
     """
     spark = docs.sparkSession
     ranks = load_ranks(tokenizer)
@@ -95,11 +91,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id
     hadoop.mkdirs(path)
     uri = out if "://" in out or out.startswith("file:") else "file://" + out
     uri = uri.replace("file:///", "file:/").replace("file:/", "file:///")
-    shared = spark.sparkContext.broadcast(ranks)
+    shared, run = spark.sparkContext.broadcast(ranks), uuid.uuid4().hex[:12]
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get()
-        name = f"tokens-{task.partitionId():06d}-{task.taskAttemptId()}.bin"
+        name = f"tokens-{run}-{task.partitionId():06d}-{task.taskAttemptId()}.bin"
         fs, at = _opened(uri)
         tok, row, offset, sink = Tokenizer(shared.value), 0, 0, None
         try:
@@ -119,6 +115,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id
         finally:
             if sink is not None:
                 sink.close()
+            released()
 
     rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))  # a NULL would make pandas' integers floats
     index = staged(rows.mapInPandas(encode, "doc_id string, file string, shard int, row long, local long, n_tokens long"), "token-index")
@@ -145,7 +142,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id
     named = {r[0] for r in bases.select("file").collect()}
     for status in hadoop.listStatus(path):
         name = status.getPath().getName()
-        if name.endswith(".bin") and name not in named:
+        if name.startswith(f"tokens-{run}-") and name.endswith(".bin") and name not in named:
             hadoop.delete(status.getPath(), False)  # of an attempt that was not committed
     dropped(index)
     return done
