@@ -6,7 +6,10 @@ prefix of its turns, and consecutive renderings are compared: what turn i added
 lies between their common prefix and common suffix. Where the two do not cover
 the earlier rendering whole, the template has *rewritten history* at turn i, and
 spans that reach beyond the common prefix are void. Spans that survive all later
-turns are positions in the final text (training masks need exactly those).
+turns are positions in the final text (training masks need exactly those). A
+template may refuse a prefix, say one without a user's turn: comparison goes on
+from the last prefix it rendered, and turns that only came in together have no span
+of their own.
 
 One shuffle brings the turns of a conversation together; rendering is a map over
 conversations. Prefix rendering is quadratic in the turns of one conversation.
@@ -70,21 +73,40 @@ def common_prefix(a: str, b: str) -> int:
 
 
 def locate(render: Template, messages: list[dict[str, str]]) -> tuple[str, list[tuple[int, int] | None], list[bool]]:
-    """(final text, span of each turn or None, whether each turn rewrote history)."""
-    before = render([])
+    """(final text, span of each turn or None, whether each turn rewrote history).
+
+    A prefix that ``render`` raises on is passed over; the empty one then counts as
+    empty text. Raises what ``render`` does on the whole conversation.
+    """
+
+    def tried(n: int) -> str | None:
+        try:
+            return render(messages[:n])
+        except Exception:  # noqa: BLE001 - a template may refuse a conversation that is not over
+            if n == len(messages) > 0:
+                raise
+            return None
+
+    before = tried(0) or ""
     spans: list[tuple[int, int] | None] = []
     rewrote: list[bool] = []
+    waiting = 0
     for i in range(len(messages)):
-        after = render(messages[: i + 1])
+        after = tried(i + 1)
+        if after is None:
+            waiting += 1
+            spans.append(None)
+            rewrote.append(False)
+            continue
         head = common_prefix(before, after)
         tail = 0
         if head < len(before):
             tail = min(common_prefix(before[::-1], after[::-1]), len(before) - head, len(after) - head)
         rewritten = head + tail < len(before)
         spans = [s if s is not None and s[1] <= head else None for s in spans]
-        spans.append(None if rewritten else (head, len(after) - tail))
+        spans.append(None if rewritten or waiting else (head, len(after) - tail))
         rewrote.append(rewritten)
-        before = after
+        before, waiting = after, 0
     return before, spans, rewrote
 
 
@@ -100,7 +122,8 @@ def format_chats(turns: DataFrame, templates: Mapping[str, Template] = TEMPLATES
     NULL turns last, ties by role, then text; repeated rows are turns of their own. A NULL text
     is empty and a NULL role is ``user``. Rows with a NULL conv_id are left out; an
     empty table gives no rows; other columns are ignored. A template that fails
-    on a conversation gives NULL text and no spans for it.
+    on a whole conversation gives NULL text and no spans for it; one that fails on a
+    part of it only leaves turns without a place, as ``locate`` says.
     """
     templates = dict(templates)
     order = F.struct(F.col("turn").isNull().alias("last"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
