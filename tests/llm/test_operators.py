@@ -181,13 +181,13 @@ def test_leaks_equal_brute_force(spark):
     for d, t in rows:
         for i, x in items:
             x, t2 = decontaminate.normal(x), decontaminate.normal(t)
-            if d is not None and i is not None and x and t2 and (e := edit_distance_within(x, t2)) <= int(0.06 * len(x) + 1e-9):
+            if d is not None and i is not None and x and t2 and (e := edit_distance_within(x, t2)) <= int(0.06 * (len(x) - 2) + 1e-9):
                 want[d, i] = min(e, want.get((d, i), 99))
     bench = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, distance int")
     got = {(r[0], r[1]): r[2] for r in decontaminate.find_leaks(docs_of(spark, rows), bench).collect()}
     assert got == want and len(want) > 10
     clean = decontaminate.drop_leaks(docs_of(spark, rows), bench)
-    dirty = {t for d, t in rows if t and any(edit_distance_within(decontaminate.normal(x), decontaminate.normal(t)) <= int(0.06 * len(decontaminate.normal(x)) + 1e-9) for i, x in items if i is not None and x)}
+    dirty = {t for d, t in rows if t and any(edit_distance_within(decontaminate.normal(x), decontaminate.normal(t)) <= int(0.06 * (len(decontaminate.normal(x)) - 2) + 1e-9) for i, x in items if i is not None and x)}
     assert sorted(str(r["text"]) for r in clean.collect()) == sorted(str(t) for _, t in rows if t not in dirty)
 
 
