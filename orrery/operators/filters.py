@@ -18,7 +18,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
+_INTEGRAL = tuple(_BITS)
 
 
 class Filter:
@@ -117,7 +118,7 @@ def folded(f: Filter | bool | None) -> Filter | bool | None:
     return f
 
 
-# -- wire form ------------------------------------------------------------
+# -- wire form
 
 
 def to_wire(f: Filter | None) -> str | None:
@@ -151,27 +152,29 @@ def from_wire(text: str | None) -> Filter | None:
     return node(json.loads(text)) if text else None
 
 
-# -- struct content -------------------------------------------------------
+# -- struct content
 
 
 def _typed(c: Column, kind: T.DataType, value: object) -> Column:
+    """``c == value`` in the column's own type, which a scan can take over; false where the types differ."""
     if value is None:
         return c.isNull()
     hit: Column | None = None
+    if isinstance(value, float) and isinstance(kind, _INTEGRAL) and value.is_integer() and abs(value) <= 2**53:
+        value = int(value)
     if isinstance(value, bool):
         hit = c == value if isinstance(kind, T.BooleanType) else None
     elif isinstance(value, str):
         hit = c == value if isinstance(kind, T.StringType) else None
     elif isinstance(value, int):
-        hit = c.cast("long") == F.lit(value).cast("long") if isinstance(kind, _INTEGRAL) and -(2**63) <= value < 2**63 else None
-    elif isinstance(value, float):
-        if isinstance(kind, T.FloatType):
-            hit = c == F.lit(value).cast("float")
-        elif isinstance(kind, (*_INTEGRAL, T.DoubleType, T.DecimalType)):
+        half = 1 << (_BITS.get(type(kind), 1) - 1)
+        hit = c == F.lit(value).cast(kind) if isinstance(kind, _INTEGRAL) and -half <= value < half else None
+    elif isinstance(value, float) and not math.isnan(value):
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            hit = c == F.lit(value).cast(kind)
+        elif isinstance(kind, (*_INTEGRAL, T.DecimalType)):
             hit = c.cast("double") == F.lit(value)
-        if hit is not None and math.isnan(value):
-            hit = None
-    return F.lit(False) if hit is None else F.coalesce(hit, F.lit(False))
+    return F.lit(False) if hit is None else hit
 
 
 def _walk(schema: T.StructType, path: str, base: Column | None) -> tuple[Column, T.DataType, Column] | None:
@@ -189,10 +192,11 @@ def _walk(schema: T.StructType, path: str, base: Column | None) -> tuple[Column,
 
 
 def on_struct(f: Filter | None, schema: T.StructType, content: str | None = None) -> Column:
-    """A predicate over columns (or the struct column ``content``) of ``schema``.
+    """A WHERE predicate over columns (or the struct column ``content``) of ``schema``.
 
-    Leaves are plain comparisons, so Catalyst prunes nested fields and pushes
-    what it can to the scan.
+    Leaves are plain comparisons in the columns' types, so Catalyst prunes nested
+    fields and pushes them to the scan. They may be NULL where there is no value; the
+    grammar has no NOT, so WHERE takes that for false. ``matches`` is never NULL.
     """
     base = F.col(content) if content else None
 
@@ -213,13 +217,18 @@ def on_struct(f: Filter | None, schema: T.StructType, content: str | None = None
             return there & _typed(c, kind, x.value) if x.value is None else _typed(c, kind, x.value)
         if not isinstance(kind, T.ArrayType):
             return F.lit(False)
-        return F.coalesce(F.exists(c, lambda e: _typed(e, kind.elementType, x.value)), F.lit(False))
+        return F.exists(c, lambda e: _typed(e, kind.elementType, x.value))
 
     f = folded(f)
     return F.lit(True) if f is None else node(f)
 
 
-# -- variant content ------------------------------------------------------
+def matches(f: Filter | None, schema: T.StructType, content: str | None = None) -> Column:
+    """``on_struct`` as a value to select: true or false."""
+    return F.coalesce(on_struct(f, schema, content), F.lit(False))
+
+
+# -- variant content
 
 
 def _variant_typed(v: Column, value: object) -> Column:

@@ -32,3 +32,7 @@ def test_topk_plan_keeps_top_rows_per_task(spark, sf_dir):
 def test_filter_reaches_the_scan(spark, sf_dir):
     plan = catalog.QUERIES["filter_only_search"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(lang,fr)" in plan
+    plan = catalog.QUERIES["filtered_topk"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(label,3)" in plan
+    plan = catalog.QUERIES["filtered_topk_or"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Or(EqualTo(label,3),EqualTo(label,5))" in plan

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators.filters import And, AnyEquals, Custom, Equals, Or, field, folded, from_wire, on_struct, on_variant, to_wire
+from orrery.operators.filters import And, AnyEquals, Custom, Equals, Or, field, folded, from_wire, matches, on_struct, on_variant, to_wire
 
 SCHEMA = "Title string, Views int, BigNumber bigint, Rating double, Weight float, Published boolean, Missing string, Tags array<string>, Numbers array<int>, Metadata struct<Category:string, Nested:struct<Code:string>>"
 ROW = ("Kestrel", 42, 5_000_000_000, 4.5, 3.14, True, None, ["science", "linq", "città"], [1, 2, 3], ("article", ("X9",)))
@@ -26,11 +26,13 @@ CASES = [
 def test_truth_table_on_struct_and_variant(spark):
     rows = spark.createDataFrame([ROW], SCHEMA)
     docs = spark.createDataFrame([(json.dumps(DOC),)], "s string").select(F.parse_json("s").alias("content"))
-    struct = rows.select(*[on_struct(f, rows.schema).alias(f"c{i}") for i, (f, _) in enumerate(CASES)]).first()
+    struct = rows.select(*[matches(f, rows.schema).alias(f"c{i}") for i, (f, _) in enumerate(CASES)]).first()
     variant = docs.select(*[on_variant(f).alias(f"c{i}") for i, (f, _) in enumerate(CASES)]).first()
     for i, (f, want) in enumerate(CASES):
         assert struct[i] is want, f"struct {f!r}"
         assert variant[i] is want, f"variant {f!r}"
+    for f, want in CASES:
+        assert rows.where(on_struct(f, rows.schema)).count() == want, f"where {f!r}"
 
 
 def test_double_literal_compares_with_a_float_in_float_space(spark):
