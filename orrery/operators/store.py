@@ -10,59 +10,80 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import encode_key
+from ..session import new_path
+from . import ivf, lookup, search
 from . import log as logs
-from . import lookup, search
+
+KEPT_POINTERS = 8
 
 
 class Store:
     """Mutations append Parquet batches; reads see the latest live entries.
 
     One writer at a time. A generation is a folder of batches; ``compact`` writes
-    the live entries as a new one and then moves the pointer file, so readers
-    see either. Batch numbers come from the pointer and the batches there.
+    the live entries as a new one. A change counts once a further, numbered pointer
+    file names it: the newest whole one holds, so a writer that dies leaves the
+    state before it, and the batch it wrote is overwritten by the next. The pointer
+    also has the vector length of each collection, so an append reads only its own rows.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
         self._jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._jpath(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not self._fs.exists(self._jpath(self._pointer)):
-            self._fs.mkdirs(self._jpath(self.path))
-            self._point({"generation": "g0", "batch": 0})
+        self._fs.mkdirs(self._jpath(f"{self.path}/pointers"))
+        if not self._pointers():
+            if any(s.getPath().getName().startswith("g") for s in self._fs.listStatus(self._jpath(self.path))):
+                raise ValueError(f"{self.path} has entries but no pointer to them")
+            self._point({"generation": "g0", "batch": 0, "dims": {}})
 
     # -- files
 
-    @property
-    def _pointer(self) -> str:
-        return f"{self.path}/CURRENT"
+    def _pointers(self) -> list[str]:
+        """Names of the pointer files, the newest first."""
+        return sorted((x.getPath().getName() for x in self._fs.listStatus(self._jpath(f"{self.path}/pointers")) if x.getPath().getName().startswith("p")), reverse=True)
 
     def _read(self) -> dict:
-        return json.loads("".join(r[0] for r in self.spark.read.text(self._pointer).collect()))
+        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString
+        for name in self._pointers():
+            stream = self._fs.open(self._jpath(f"{self.path}/pointers/{name}"))
+            try:
+                return json.loads(text(stream, "UTF-8"))
+            except ValueError:  # of a writer that died
+                continue
+            finally:
+                stream.close()
+        raise ValueError(f"{self.path} has no whole pointer")
 
     def _point(self, state: dict) -> None:
-        tmp = self._jpath(f"{self.path}/CURRENT.{uuid.uuid4().hex}")
-        out = self._fs.create(tmp)
+        """Makes ``state`` the one that holds; another writer's file of that number is an error."""
+        have = self._pointers()
+        number = int(have[0][1:]) + 1 if have else 0
+        out = self._fs.create(self._jpath(f"{self.path}/pointers/p{number:012d}"), False)
         out.write(json.dumps(state).encode())
         out.close()
-        self._fs.delete(self._jpath(self._pointer), False)
-        if not self._fs.rename(tmp, self._jpath(self._pointer)):
-            raise OSError("the pointer could not be moved")
-
-    def _folder(self) -> str:
-        return f"{self.path}/{self._read()['generation']}"
+        for name in have[KEPT_POINTERS:]:
+            self._fs.delete(self._jpath(f"{self.path}/pointers/{name}"), False)
 
     def log(self) -> DataFrame:
-        folder = self._folder()
+        state = self._read()
+        folder = f"{self.path}/{state['generation']}"
         if not self._fs.exists(self._jpath(folder)):
             return self.spark.createDataFrame([], logs.LOG)
-        return self.spark.read.schema(logs.LOG).option("recursiveFileLookup", "true").parquet(folder)
+        return self.spark.read.schema(logs.LOG).option("recursiveFileLookup", "true").parquet(folder).where(F.col("batch") <= state["batch"])
+
+    def version(self) -> tuple[str, int]:
+        """Generation and batch of the newest change."""
+        state = self._read()
+        return state["generation"], state["batch"]
 
     def entries(self) -> DataFrame:
         return logs.latest_live(self.log())
 
     # -- mutations
 
-    def _append(self, rows: DataFrame) -> int:
+    def _append(self, rows: DataFrame, dims: dict[str, int | None] | None = None) -> int:
+        """Writes a batch; ``dims`` changes vector lengths of collections, None to none."""
         state = self._read()
         batch = state["batch"] + 1
         rows = rows.withColumn("batch", F.lit(batch).cast("long"))
@@ -72,35 +93,43 @@ class Store:
             if c not in rows.columns:
                 rows = rows.withColumn(c, F.lit(None).cast(kind))
         names = [x.strip().split(" ") for x in logs.LOG.split(",")]
-        rows.select(*[F.col(c).cast(k).alias(c) for c, k in names]).write.parquet(f"{self.path}/{state['generation']}/b{batch:012d}")
-        self._point({**state, "batch": batch})
+        rows.select(*[F.col(c).cast(k).alias(c) for c, k in names]).write.mode("overwrite").parquet(f"{self.path}/{state['generation']}/b{batch:012d}")
+        kept = {k: v for k, v in {**state["dims"], **(dims or {})}.items() if v is not None}
+        self._point({**state, "batch": batch, "dims": kept})
         return batch
 
-    def check_dimensions(self, rows: DataFrame) -> None:
-        """Raises ValueError unless all vectors of a collection have one length, the stored one if there is any."""
-        new = rows.where(F.size("embedding") > 0).groupBy("collection").agg(F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi"))
-        old = self.entries().where(F.size("embedding") > 0).groupBy("collection").agg(F.max(F.size("embedding")).alias("d"))
-        bad = new.join(old, "collection", "left").where("lo <> hi OR (d IS NOT NULL AND d <> lo)").select("collection").limit(5).collect()
+    def check_dimensions(self, rows: DataFrame) -> dict[str, int]:
+        """Vector lengths of the collections of ``rows``; ValueError unless all vectors of one
+        have one length, that of its live entries if there are any."""
+        new = rows.where(F.size("embedding") > 0).groupBy("collection").agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).collect()
+        had = self._read()["dims"]
+        odd = [r[0] for r in new if had.get(r[0], r[1]) != r[1]]
+        if odd:  # the entries of that length may all be gone
+            live = self.entries().where(F.col("collection").isin(odd) & (F.size("embedding") > 0)).groupBy("collection").agg(F.max(F.size("embedding")))
+            had = {**{k: v for k, v in had.items() if k not in odd}, **{r[0]: r[1] for r in live.collect()}}
+        bad = [r[0] for r in new if r[1] != r[2] or had.get(r[0], r[1]) != r[1]]
         if bad:
-            raise ValueError(f"vectors of unequal length in {[r[0] for r in bad]}")
+            raise ValueError(f"vectors of unequal length in {sorted(bad)[:5]}")
+        return {r[0]: r[1] for r in new}
 
     def append(self, rows: DataFrame) -> int:
         """Upserts (collection, key, content, embedding) rows in one batch; the whole batch is checked first.
 
         ``key`` is binary; ``ord``, if given, orders rows of one key within the batch.
         """
-        self.check_dimensions(rows)
-        return self._append(rows.withColumn("op", F.lit("set")))
+        dims = self.check_dimensions(rows)
+        return self._append(rows.withColumn("op", F.lit("set")), dims)
 
     set = append
 
     def insert_new(self, rows: DataFrame) -> DataFrame:
-        """Appends the rows whose key is not live; returns the rejected ones."""
+        """Appends the rows whose key is not live; returns the rejected ones, from a table in the shared folder."""
         live = self.entries().select("collection", "key")
+        path = new_path(self.spark, "rejected")
         rejected = logs.conflicts(rows, live)
-        rejected = self.spark.createDataFrame(rejected.collect(), rejected.schema) if rejected.limit(1).count() else rejected.limit(0)
+        rejected.write.parquet(path)  # before the append makes conflicts of the rest
         self.append(logs.only_new(rows, live))
-        return rejected
+        return self.spark.read.schema(rejected.schema).parquet(path)
 
     def delete(self, collection: str, key, kind: str | None = None) -> bool:
         """A tombstone; whether the key was there."""
@@ -114,7 +143,7 @@ class Store:
         """Removes all entries of a collection; how many there were."""
         n = self.entries().where(F.col("collection") == collection).count()
         if n:
-            self._append(self.spark.createDataFrame([(collection, "clear", 1 << 62)], "collection string, op string, ord long"))
+            self._append(self.spark.createDataFrame([(collection, "clear", 1 << 62)], "collection string, op string, ord long"), {collection: None})
         return n
 
     def transaction(self) -> Transaction:
@@ -134,8 +163,8 @@ class Store:
         self._point({**state, "generation": new})
         self._fs.delete(self._jpath(f"{self.path}/{old}"), True)
 
-    def vectors(self, name: str, embedder: Callable[[str], Sequence[float]] | None = None) -> VectorCollection:
-        return VectorCollection(self, name, embedder)
+    def vectors(self, name: str, embedder: Callable[[str], Sequence[float]] | None = None, threshold: int = ivf.THRESHOLD) -> VectorCollection:
+        return VectorCollection(self, name, embedder, threshold)
 
     def documents(self, name: str) -> DocumentCollection:
         return DocumentCollection(self, name)
@@ -165,8 +194,7 @@ class Transaction:
         if self.rows:
             rows = [(*r, i, self.id) for i, r in enumerate(self.rows)] + [(None, None, "commit", None, None, len(self.rows), self.id)]
             df = self.store.spark.createDataFrame(rows, "collection string, key binary, op string, content string, embedding array<float>, ord long, tx string")
-            self.store.check_dimensions(df.where("op = 'set'"))
-            self.store._append(df)
+            self.store._append(df, self.store.check_dimensions(df.where("op = 'set'")))
         self.open = False
 
     def rollback(self) -> None:
@@ -240,9 +268,10 @@ class DocumentCollection:
 class VectorCollection(DocumentCollection):
     """A collection whose entries also have vectors."""
 
-    def __init__(self, store: Store, name: str, embedder: Callable[[str], Sequence[float]] | None = None) -> None:
+    def __init__(self, store: Store, name: str, embedder: Callable[[str], Sequence[float]] | None = None, threshold: int = ivf.THRESHOLD) -> None:
         super().__init__(store, name)
-        self.embedder = embedder
+        self.embedder, self.threshold = embedder, threshold
+        self._index: tuple[str, int, int, ivf.IvfIndex] | None = None
 
     def add_sentence(self, key, document, sentence: str) -> None:
         """Adds an entry whose vector is the sentence's; a blank sentence has none."""
@@ -258,14 +287,48 @@ class VectorCollection(DocumentCollection):
         return row[0] if row else None
 
     def nearest(self, query: Sequence[float] | str, top: int = search.DEFAULT_TOP, where: Column | None = None, min_score: float | None = None, content: bool = True) -> DataFrame:
-        """Hits of a vector or a sentence; a blank sentence or empty vector has none."""
+        """Hits of a vector or a sentence; a blank sentence or empty vector has none.
+
+        From ``threshold`` entries on an index answers, with the hits of exact
+        search: it is built at a search, and again once a tenth of it has changed.
+        Entries that changed since are searched exactly and take the place of theirs.
+        """
         if isinstance(query, str):
             query = self.embed(query) if query.strip() else []
-        rows = self.entries()
-        if where is not None:
-            rows = rows.withColumn("document", F.try_parse_json("content"))
-        hits = search.exact_topk(rows, query, top, where=where, min_score=min_score, content=content)
-        return hits.drop("document", "batch", "ord")
+
+        def parsed(rows: DataFrame) -> DataFrame:
+            return rows if where is None else rows.withColumn("document", F.try_parse_json("content"))
+
+        held = self._indexed() if len(query) and top > 0 else None
+        if held is None:
+            hits = search.exact_topk(parsed(self.entries()), query, top, where=where, min_score=min_score, content=content)
+            return hits.drop("document", "batch", "ord")
+        index, fresh = held
+        keys = logs.committed(fresh).select("key").distinct()
+        old = ivf.IvfIndex(parsed(index.table.join(keys, "key", "left_anti")), index.centers, index.vec)
+        old._radii = index.radii()
+        names = ["collection", "key", *(["content"] if content else []), "embedding"]
+        found = ivf.nearest(old, query, top, where=where).select(*names, "score")
+        new = search.exact_topk(parsed(logs.latest_live(fresh)), query, top, where=where).select(*names, "score")
+        hits = found.unionByName(new).orderBy(F.desc("score"), "key").limit(top)
+        hits = hits if content else hits.drop("collection")
+        return hits if min_score is None else hits.where(F.col("score") >= min_score)
+
+    def _indexed(self) -> tuple[ivf.IvfIndex, DataFrame] | None:
+        """The index and the log rows of the collection since it was built; None below ``threshold`` entries."""
+        generation, batch = self.store.version()
+        if self._index is not None and self._index[0] == generation:
+            at, size, index = self._index[1:]
+            fresh = self.store.log().where((F.col("batch") > at) & ((F.col("collection") == self.name) | (F.col("op") == "commit")))
+            n, clears = fresh.agg(F.count("*"), F.count(F.when(F.col("op") == "clear", 1))).first() if batch > at else (0, 0)
+            if not clears and n <= size // 10:
+                return index, fresh
+        n = len(self)
+        if n < self.threshold:
+            return None
+        index = ivf.build(self.entries().drop("batch", "ord"))
+        self._index = (generation, batch, n, index)
+        return index, self.store.log().where(F.lit(False))
 
     def more_like(self, key, top: int = search.DEFAULT_TOP) -> DataFrame:
         return self.nearest(self.embedding(key) or [], top)
