@@ -1,8 +1,9 @@
 """Approximate search by inverted lists, and the choice between it and exact search.
 
 Unit vectors are assigned to the nearest of ``n_lists`` centroids (spherical
-k-means whose steps are sums over all vectors). A search reads the ``n_probe``
-lists nearest to the query and ranks their entries by exact cosine, so probing
+k-means whose steps are sums over all vectors) once, at the build, and written to
+a table that has a folder per list. A search reads the folders of the ``n_probe``
+lists nearest to the query, and nothing else, and ranks their entries by exact cosine, so probing
 all lists is exact search. A filter applies before probing: lists are added in
 order of distance until they hold ``top`` matches, so a selective filter still
 fills the result. ``nearest`` needs no ``n_probe``: it leaves out only lists whose
@@ -17,11 +18,12 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_to, matrix, unit
+from ..session import new_path
 from .search import DEFAULT_TOP, exact_topk
 
 THRESHOLD = 100_001
@@ -31,12 +33,24 @@ MOST_LISTS = 1 << 14
 
 
 class IvfIndex:
-    """``table`` is the entries with a column ``list``; ``centers`` is lists x dims."""
+    """``table`` is the entries with a column ``list``, by which its files lie below ``path``; ``centers`` is lists x dims."""
 
-    def __init__(self, table: DataFrame, centers: np.ndarray, vec: str) -> None:
-        self.table, self.centers, self.vec = table, centers, vec
+    def __init__(self, table: DataFrame, centers: np.ndarray, vec: str, path: str | None = None) -> None:
+        self.table, self.centers, self.vec, self.path = table, centers, vec, path
         self._radii: np.ndarray | None = None
 
+    def insert(self, entries: DataFrame) -> None:
+        """Adds entries to their lists; the centers stay. A key that is there already is there twice."""
+        spark = self.table.sparkSession
+        _write(entries.select(*[c for c in self.table.columns if c != "list"]), self.centers, self.vec, self.path)
+        self.table, self._radii = spark.read.schema(self.table.schema).parquet(f"{self.path}/entries"), None
+
+    @staticmethod
+    def open(spark: SparkSession, path: str, vec: str = "embedding") -> IvfIndex:
+        """The index that ``build`` wrote to ``path``."""
+        rows = spark.read.parquet(f"{path}/centers").orderBy("list").collect()
+        return IvfIndex(spark.read.parquet(f"{path}/entries"), np.array([r["center"] for r in rows], np.float64), vec, path)
+
     def radii(self) -> np.ndarray:
         """Angle from each center to the farthest entry of its list, found once; pi where the center has no direction."""
         if self._radii is None:
@@ -63,30 +77,38 @@ class IvfIndex:
         return [int(i) for i in np.argsort(-(self.centers @ q), kind="stable")]
 
 
-def _nearest(centers: np.ndarray):
-    shared = centers
+def _nearest(spark: SparkSession, centers: np.ndarray):
+    shared = spark.sparkContext.broadcast(centers)  # MOST_LISTS rows at most
 
     @F.arrow_udf("int")
     def nearest(v: pa.Array) -> pa.Array:
-        x, rows = matrix(v, shared.shape[1])
+        x, rows = matrix(v, shared.value.shape[1])
         x = unit(x)
         fine = ~np.isnan(x).any(1)
         out, mask = np.zeros(len(v), np.int32), np.ones(len(v), bool)
-        out[rows[fine]] = (x[fine] @ shared.T).argmax(1)
+        out[rows[fine]] = (x[fine] @ shared.value.T).argmax(1)
         mask[rows[fine]] = False
         return pa.array(out, mask=mask)
 
     return nearest
 
 
-def build(entries: DataFrame, n_lists: int | None = None, *, vec: str = "embedding", seed: int = 42) -> IvfIndex:
+def _write(rows: DataFrame, centers: np.ndarray, vec: str, path: str) -> None:
+    """Appends ``rows`` to the folders of their lists; a list goes to as many tasks as its size asks for."""
+    placed = rows.withColumn("list", _nearest(rows.sparkSession, centers)(F.col(vec))).where("list IS NOT NULL")
+    placed.hint("rebalance", "list").write.partitionBy("list").mode("append").parquet(f"{path}/entries")
+
+
+def build(entries: DataFrame, n_lists: int | None = None, *, vec: str = "embedding", seed: int = 42, path: str | None = None) -> IvfIndex:
     """An index of the entries that have a vector of the collection's length and of norm > 0.
 
+    It is written to ``path``, or to a new folder of the shared one, and can be
+    opened from there again.
     ``n_lists`` is the square root of the rows by default, at most MOST_LISTS: the
     centroids are the only thing sent to the tasks. Starting centroids are the
     vectors of least hash, so a build is repeatable.
     """
-    rows = entries.where(F.size(vec) > 0)
+    rows, spark = entries.where(F.size(vec) > 0), entries.sparkSession
     n, dims = rows.agg(F.count("*"), F.max(F.size(vec))).first()
     if not n:
         return IvfIndex(entries.limit(0).withColumn("list", F.lit(None).cast("int")), np.zeros((0, 0)), vec)
@@ -94,10 +116,12 @@ def build(entries: DataFrame, n_lists: int | None = None, *, vec: str = "embeddi
     first = rows.where(F.size(vec) == dims).select(F.col(vec).alias("v")).orderBy(F.xxhash64("v", F.lit(seed))).limit(n_lists).collect()
     centers = unit(np.array([r[0] for r in first], np.float64))
     centers = centers[~np.isnan(centers).any(1)]
-    for _ in range(STEPS if len(centers) else 0):
-        held = centers
+    if not len(centers):
+        return IvfIndex(entries.limit(0).withColumn("list", F.lit(None).cast("int")), centers, vec)
+    for _ in range(STEPS):
 
-        def sums(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def sums(batches: Iterator[pa.RecordBatch], shared=spark.sparkContext.broadcast(centers)) -> Iterator[pa.RecordBatch]:
+            held = shared.value
             total, count = np.zeros_like(held), np.zeros(len(held))
             for b in batches:
                 x = unit(matrix(b.column(0), held.shape[1])[0])
@@ -115,7 +139,11 @@ def build(entries: DataFrame, n_lists: int | None = None, *, vec: str = "embeddi
         for r in got:
             new[r["list"]] = [x["v"] for x in r["s"]]
         centers = np.nan_to_num(unit(new))
-    return IvfIndex(rows.withColumn("list", _nearest(centers)(F.col(vec))).where("list IS NOT NULL"), centers, vec)
+    path = (path or new_path(spark, "ivf")).rstrip("/")
+    spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "list int, center array<double>").coalesce(1).write.parquet(f"{path}/centers")
+    _write(rows, centers, vec, path)
+    schema = rows.withColumn("list", F.lit(None).cast("int")).schema
+    return IvfIndex(spark.read.schema(schema).parquet(f"{path}/entries"), centers, vec, path)
 
 
 def probe(index: IvfIndex, query: Sequence[float], top: int = DEFAULT_TOP, n_probe: int = N_PROBE, *, where: Column | None = None, min_score: float | None = None, key: str = "key") -> DataFrame:
@@ -214,6 +242,11 @@ class LazySearch:
         return probe(self.index, query, top, n_probe, where=where, min_score=min_score, key=self.key)
 
 
+def list_histogram(index: IvfIndex) -> DataFrame:
+    """(list, n) of the lists that hold entries."""
+    return index.table.groupBy("list").agg(F.count("*").alias("n"))
+
+
 def index_info(index: IvfIndex) -> DataFrame:
     """One row: lists, live entries, the size of the smallest and largest list, mean size, bytes of vectors."""
     per = index.table.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.size(index.vec) * 4).alias("b"))

@@ -54,7 +54,7 @@ _ONE = f"SELECT e.vec_id, e.label, {_COS} AS s FROM embeddings e, embeddings q W
 _ALL = f"SELECT q.vec_id AS query_id, e.vec_id AS key, {_COS} AS s FROM embeddings e, embeddings q"
 
 
-# -- search ---------------------------------------------------------------
+# -- search
 
 
 @query(f"SELECT vec_id, round(s, 6) AS score FROM ({_ONE}) ORDER BY s DESC, vec_id LIMIT 10")
@@ -171,30 +171,36 @@ def ann_ivf_full_probe(spark, sf_dir):
 @query(f"SELECT vec_id, label, round(s, 6) AS score FROM ({_ONE}) WHERE label = 3 ORDER BY s DESC, vec_id LIMIT 10")
 def ann_ivf_filtered(spark, sf_dir):
     rows = _embeddings(spark, sf_dir)
-    index = ivf.build(rows, 16)
-    return ivf.probe(index, _zero(rows), n_probe=16, where=F.col("label") == 3, key="vec_id").select("vec_id", "label", _score())
+    index = ivf.build(rows, 32)
+    return ivf.nearest(index, _zero(rows), where=F.col("label") == 3, key="vec_id").select("vec_id", "label", _score())
 
 
-@query()
+@query(f"SELECT vec_id, round(s, 6) AS score FROM ({_ONE}) ORDER BY s DESC, vec_id LIMIT 10")
+def ann_ivf_nearest(spark, sf_dir):
+    rows = _embeddings(spark, sf_dir)
+    return ivf.nearest(ivf.build(rows, 32), _zero(rows), key="vec_id").select("vec_id", _score())
+
+
+@query("SELECT true AS recall_is_090")
 def ann_ivf_recall(spark, sf_dir):
     rows = _embeddings(spark, sf_dir)
     found = ivf.probe_batch(ivf.build(rows, 16), rows, n_probe=12, key="vec_id", qid="vec_id")
     exact = search.batch_topk(rows, rows, key="vec_id", qid="vec_id")
-    return search.recall_at_k(found, exact, 10)
+    return search.recall_at_k(found, exact, 10).select((F.col("recall") >= 0.9).alias("recall_is_090"))
 
 
-@query()
+@query("SELECT count(*) AS live, sum(len(embedding) * 4)::BIGINT AS bytes, count(*) / 16 AS mean_size FROM embeddings")
 def ann_index_info(spark, sf_dir):
-    return ivf.index_info(ivf.build(_embeddings(spark, sf_dir), 16))
+    return ivf.index_info(ivf.build(_embeddings(spark, sf_dir), 16)).select("live", "bytes", "mean_size")
 
 
 @query(f"SELECT vec_id, round(s, 6) AS score FROM ({_ONE}) ORDER BY s DESC, vec_id LIMIT 10")
 def lazy_search(spark, sf_dir):
     rows = _embeddings(spark, sf_dir)
-    return ivf.LazySearch(rows, key="vec_id").search(_zero(rows)).select("vec_id", _score())
+    return ivf.LazySearch(rows, threshold=100, key="vec_id").search(_zero(rows)).select("vec_id", _score())
 
 
-# -- graph ----------------------------------------------------------------
+# -- graph
 
 
 @query(f"SELECT query_id AS src, key AS dst, round(s, 6) AS score FROM ({_ALL}) WHERE query_id <> key QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, key) <= 8")
@@ -221,7 +227,7 @@ def pca_projection(spark, sf_dir):
     return graph.pca(_embeddings(spark, sf_dir), 3, key="vec_id")
 
 
-# -- filters --------------------------------------------------------------
+# -- filters
 
 
 @query("SELECT doc_id, lang, source, 0.0::DOUBLE AS score FROM documents WHERE lang = 'fr' AND (source = 'src1' OR source = 'src2')")
@@ -251,7 +257,7 @@ def collection_any(spark, sf_dir):
     return convs.where(on_struct(field("roles").any("system"), convs.schema)).select("conv_id")
 
 
-# -- lookups and statistics -----------------------------------------------
+# -- lookups and statistics
 
 
 @query("SELECT text AS content FROM documents WHERE doc_id = 7")
@@ -331,7 +337,7 @@ def status_sample(spark, sf_dir):
     return metrics.status_sample(_infos(spark, sf_dir)).withColumn("collections", F.array_join(each, ","))
 
 
-# -- mutation log ---------------------------------------------------------
+# -- mutation log
 
 
 def _log(spark, sf_dir, tx: bool = False) -> DataFrame:
@@ -408,7 +414,7 @@ def store_round_trip(spark, sf_dir):
     return _shown(store.entries())
 
 
-# -- streams and metrics --------------------------------------------------
+# -- streams and metrics
 
 
 def _stream(spark, sf_dir, name: str) -> DataFrame:
@@ -457,7 +463,7 @@ def cpu_delta_lag(spark, sf_dir):
     return log.previous(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", "user_id", F.round("delta", 6).alias("delta"))
 
 
-# -- text and keys --------------------------------------------------------
+# -- text and keys
 
 _TOKENS = r"t AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ts FROM documents)"
 
