@@ -33,7 +33,7 @@ def corpus(seed=1, n=60):
     return rows
 
 
-# -- hashing --------------------------------------------------------------
+# -- hashing
 
 
 def test_word_blocks_equal_the_pattern(monkeypatch):
@@ -57,7 +57,7 @@ def test_grams_are_sets():
     assert len(np.unique(T.set_ids(grams, sizes[sizes > 0]))) == 3
 
 
-# -- 3: n-gram Jaccard join -----------------------------------------------
+# -- 3: n-gram Jaccard join
 
 
 def grams(text, n):
@@ -125,7 +125,7 @@ def test_one_document_of_each_group_stays(spark):
     assert {tuple(r) for r in ngram_join.duplicate_groups(chain).collect()} == {(i, 1) for i in range(1, 41)}
 
 
-# -- 8: line dedup --------------------------------------------------------
+# -- 8: line dedup
 
 
 def test_lines_equal_brute_force(spark):
@@ -150,7 +150,7 @@ def test_lines_equal_brute_force(spark):
     assert line_dedup.repeated_lines(docs_of(spark, rows).limit(0)).count() == 0
 
 
-# -- 6: decontamination ---------------------------------------------------
+# -- 6: decontamination
 
 
 def edit_distance_within(item, text):
@@ -201,7 +201,7 @@ def test_chunked_benchmarks_and_empty_tables(spark, monkeypatch):
     assert decontaminate.find_leaks(rows.limit(0), bench).count() == 0
 
 
-# -- 4: language ----------------------------------------------------------
+# -- 4: language
 
 WORDS = {"en": "the and that with this from have were which their", "de": "der und nicht mit sich auf für ist eine werden", "fr": "les des une est pas dans pour que avec sur", "es": "los una del por con para como más pero sus"}
 
@@ -238,7 +238,7 @@ def test_codewords_are_far_apart():
         assert min((c[i] != c[j]).sum() for i in range(n) for j in range(i)) >= max(1, c.shape[1] // 4)
 
 
-# -- 2: mixing ------------------------------------------------------------
+# -- 2: mixing
 
 
 def test_rates_match_targets_and_brute_force(spark):
@@ -295,7 +295,7 @@ def test_mixing_of_odd_rows(spark):
     assert mixing.mix(docs, labels.limit(0)).count() == len(rows)
 
 
-# -- 10: token files ------------------------------------------------------
+# -- 10: token files
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -322,7 +322,7 @@ def test_token_files_round_trip(spark, tmp_path):
     assert ended.first()["n_tokens"] == 1 and token_files.TokenFiles(f"{tmp_path}/ended")[0].tolist() == [70_000]
 
 
-# -- 7: nearest neighbours ------------------------------------------------
+# -- 7: nearest neighbours
 
 
 def test_inner_product_search(spark, monkeypatch):
@@ -383,7 +383,7 @@ def test_anisotropic_codes_keep_inner_products_better():
     assert along[1] < 0.6 * along[0]
 
 
-# -- 9: chat formatting ---------------------------------------------------
+# -- 9: chat formatting
 
 
 def test_spans_and_rewrites(spark):
@@ -404,7 +404,7 @@ def test_spans_and_rewrites(spark):
     assert chat_format.format_chats(turns.limit(0)).count() == 0
 
 
-# -- 1: URL trust ---------------------------------------------------------
+# -- 1: URL trust
 
 
 def test_trust_and_distrust(spark):
@@ -435,7 +435,7 @@ def test_distrust_reaches_the_end_of_a_chain_and_of_a_cycle(spark):
     assert got[20]["trust"] == pytest.approx(1 / (1 - 0.85**2), abs=1e-5)
 
 
-# -- 5: toxicity ----------------------------------------------------------
+# -- 5: toxicity
 
 
 def test_gradients_are_those_of_the_loss():
