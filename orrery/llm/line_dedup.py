@@ -3,8 +3,9 @@
 A line is the set of its words. All lines of the corpus are counted into word
 frequencies (``_sketch``), words are ordered rare before frequent, and each
 distinct set indexes its prefix under that order, long enough for similar sets
-to share SHARED prefix words (``ngram_join``). Pairs that pass the prefix, length
-and positional filters are verified on whole lines. Equal sets are one entry of
+to share a word of it (``ngram_join``). Pairs that pass the prefix, length
+and positional filters, and whose parities of words in hashed cells don't show
+that they differ in too many, are verified on whole lines. Equal sets are one entry of
 the index however many lines they have. A line goes where an earlier line, by
 (doc_id, line number), has Jaccard >= threshold with it.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from . import _sketch
 from ._store import dropped, staged
 from ._text import gram_blocks, set_ids
-from .ngram_join import PER_BUCKET, SHARED, candidate_pairs, placed_pairs, sized, verify
+from .ngram_join import candidate_pairs, placed_pairs, sized, verify
 
 
 def line_sets(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -77,9 +78,8 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_i
     lines = profile.where("slice < 0").select("id", "line", "size", "sid")
     levels = _sketch.classes(profile.where("slice >= 0"))
     firsts = staged(lines.groupBy("sid").agg(F.min(F.struct("id", "line")).alias("f"), F.max("size").alias("size"), F.count("*").alias("n")), "line-firsts")
-    prefixes = int(firsts.agg(F.sum(F.ceil(F.col("size") * (1 - t)) + SHARED)).first()[0] or 0)
-    # a line has few signatures, mostly in buckets of their own, each with the line's entry
-    pairs = candidate_pairs(docs, line_sets, t, levels, 256, prefixes, SHARED, PER_BUCKET // 4)
+    prefixes = int(firsts.agg(F.sum(F.ceil(F.col("size") * (1 - t)) + 1)).first()[0] or 0)
+    pairs = candidate_pairs(docs, line_sets, t, levels, 256, prefixes, 1, bits=True)
     placed = placed_pairs(pairs)
     members = placed.select("slot", F.col("a").alias("sid")).union(placed.select("slot", "b")).distinct()
     wanted = members.join(firsts, "sid").groupBy(F.col("f.id").alias("id")).agg(F.collect_list(F.struct("slot", "sid", F.col("f.line").alias("line"))).alias("wanted"))

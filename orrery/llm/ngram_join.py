@@ -43,7 +43,8 @@ from ._store import dropped, released, staged
 from ._text import gram_blocks, mix, overlaps, set_ids
 
 GROUPS = 8
-SHARED, SHARED_GRAMS = 3, 6
+SHARED_GRAMS = 6
+FOLDED = 64
 PER_BUCKET, PER_FLUSH = 1_500_000, 1_500_000
 PAIRS_PER_SLICE = 1_500_000
 PAIRS_PER_SLOT = 200_000
@@ -68,7 +69,7 @@ def _small(t: float, m: int, frequent: int) -> int:
     return size
 
 
-def signatures(tokens: np.ndarray, sizes: np.ndarray, levels: np.ndarray, frequent: int, t: float, m: int = SHARED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signatures(tokens: np.ndarray, sizes: np.ndarray, levels: np.ndarray, frequent: int, t: float, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, position, number of the set) of the signatures of sets of ``sizes`` >= 1
     tokens each, of which similar ones share ``m`` if both have ``_small`` tokens, else one."""
     # a token's level before its hash is the global order
@@ -118,7 +119,19 @@ def _profile(n: int):
     return run
 
 
-def _index(sets, t: float, shared, frequent: int, buckets: int, m: int):
+def parities(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two words of each set: the parities of its tokens in 128 hashed cells. Sets of at most
+    FOLDED tokens have the xor of both in the first. Cells that differ between two
+    sets each need a token that only one of them has."""
+    starts = np.cumsum(sizes) - sizes
+    cell = (tokens >> np.uint64(20)) & np.uint64(127)
+    bit = np.uint64(1) << (cell & np.uint64(63))
+    words = [np.bitwise_xor.reduceat(np.where((cell >> np.uint64(6)) == k, bit, np.uint64(0)), starts) for k in (0, 1)]
+    small = sizes <= FOLDED
+    return np.where(small, words[0] ^ words[1], words[0]), np.where(small, np.uint64(0), words[1])
+
+
+def _index(sets, t: float, shared, frequent: int, buckets: int, m: int, bits: bool):
     """``sets(texts)`` gives blocks (tokens, sizes) of the sets of texts; equal ones of a task are sent once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,7 +140,7 @@ def _index(sets, t: float, shared, frequent: int, buckets: int, m: int):
         n_sets, n_entries, known = 0, 0, set()
 
         def flush() -> pd.DataFrame:
-            h, p, d, sid, size = (np.concatenate(x) for x in zip(*held))
+            h, p, d, sid, size, low, high = (np.concatenate(x) for x in zip(*held))
             b = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             at = np.argsort(b * len(sid) + d)
             h, p, d = mix(h[at]).astype("<u4"), p[at], d[at]
@@ -138,8 +151,9 @@ def _index(sets, t: float, shared, frequent: int, buckets: int, m: int):
                 if ends[k] < ends[k + 1]:
                     first = np.flatnonzero(np.concatenate(([True], d[own][1:] != d[own][:-1])))
                     docs = d[own][first]
-                    out.append((k, h[own].tobytes(), planes(p[own]), planes(np.diff(np.append(first, ends[k + 1] - ends[k]))), sid[docs].tobytes(), planes(size[docs])))
-            return pd.DataFrame(out, columns=["bucket", "h", "p", "n", "sids", "sizes"])
+                    words = (low[docs].tobytes(), high[docs][size[docs] > FOLDED].tobytes()) if bits else (b"", b"")
+                    out.append((k, h[own].tobytes(), planes(p[own]), planes(np.diff(np.append(first, ends[k + 1] - ends[k]))), sid[docs].tobytes(), planes(size[docs]), *words))
+            return pd.DataFrame(out, columns=["bucket", "h", "p", "n", "sids", "sizes", "low", "high"])
 
         for pdf in batches:
             for tokens, sizes in sets(pdf["text"].tolist()):
@@ -150,8 +164,9 @@ def _index(sets, t: float, shared, frequent: int, buckets: int, m: int):
                 tokens, sizes, sids = tokens[np.repeat(new, sizes)], sizes[new], sids[new]
                 if not len(sizes):
                     continue
+                words = parities(tokens, sizes) if bits else (np.zeros(0, np.uint64),) * 2
                 h, p, d = signatures(tokens, sizes, levels, frequent, t, m)
-                held.append((h, p.astype(np.uint32), d + n_sets, sids, sizes))
+                held.append((h, p.astype(np.uint32), d + n_sets, sids, sizes, *words))
                 n_sets += len(sizes)
                 n_entries += len(h)
                 if n_entries >= PER_FLUSH:
@@ -160,63 +175,86 @@ def _index(sets, t: float, shared, frequent: int, buckets: int, m: int):
         if held:
             yield flush()
         held.clear()
+        known.clear()
         released()
 
     return run
 
 
-def _run_pairs(starts: np.ndarray, lengths: np.ndarray, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All index pairs within runs, ``most`` or so at a time."""
-    for length in np.unique(lengths):
-        own = starts[lengths == length]
-        if length <= 1024:
-            i, j = np.triu_indices(length, 1)
-            step = max(1, most // len(i))
-            for k in range(0, len(own), step):
-                s = own[k : k + step, None]
-                yield (s + i).ravel(), (s + j).ravel()
-        else:
-            for s in own:
-                for i in range(length - 1):
-                    j = np.arange(i + 1, length)
-                    yield np.full(len(j), s + i), s + j
+def _near(first: np.ndarray, end: np.ndarray, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (i, j) of ``first[i] <= j < end[i]``, ``most`` or so at a time."""
+    n = np.maximum(0, end - first)
+    total = np.cumsum(n)
+    a = 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
+        own = n[a:b]
+        if own.any():
+            i = np.repeat(np.arange(a, b), own)
+            yield i, np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own) + first[i]
+        a = b
 
 
-def _candidates(t: float, m: int, frequent: int, reducers: int):
-    """A bucket's blobs -> per reducer the pairs that share a signature here and how many."""
+def _candidates(t: float, m: int, frequent: int, reducers: int, bits: bool):
+    """A bucket's blobs -> per reducer the pairs that share a signature here and how many.
+
+    Pairs of one signature are formed within the bounds of size only. Where one
+    shared signature suffices (m = 1), the positions are taken for those of the first
+    common token, at which no earlier one adds to the overlap.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sids = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["sids"]])
-        uniq, first, doc = np.unique(sids, return_index=True, return_inverse=True)
-        size = np.concatenate([unplaned(x) for x in pdf["sizes"]])[first]
-        d = np.repeat(doc, np.concatenate([unplaned(x) for x in pdf["n"]]))
+        names, first, doc = np.unique(sids, return_index=True, return_inverse=True)
+        size = np.concatenate([unplaned(x) for x in pdf["sizes"]]).astype(np.int32)
+        if bits:
+            low = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["low"]])
+            high = np.zeros(len(low), np.uint64)
+            high[size > FOLDED] = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["high"]])
+        size = size[first]
+        order = np.argsort(size, kind="stable")  # ranks of sets go by size
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        size = size[order]
+        if bits:
+            low, high = low[first][order], high[first][order]
+            fold = low ^ high
+        d = np.repeat(rank[doc], np.concatenate([unplaned(x) for x in pdf["n"]]))
         h = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["h"]])
-        p = np.concatenate([unplaned(x) for x in pdf["p"]]).astype(np.int32)
+        p = np.concatenate([unplaned(x).astype(np.int32) for x in pdf["p"]])
+        del sids, doc, first, rank
         key = (h.astype(np.uint64) << np.uint64(32)) | d.astype(np.uint64)
         at = np.argsort(key)
         key, p = key[at], p[at]
+        del h, d, at
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]  # equal sets are one entry
         key, p = key[new], p[new]
-        h, d = (key >> np.uint64(32)).astype(np.uint32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        lengths = np.diff(np.concatenate((starts, [len(h)])))
+        d = (key & np.uint64(0xFFFFFFFF)).astype(np.int32)
+        most = np.searchsorted(size, np.floor(size / t + 1e-6), "right").astype(np.uint64)  # first rank too large for each
+        end = np.searchsorted(key, (key & np.uint64(0xFFFFFFFF00000000)) + most[d])
         small = _small(t, m, frequent)
         found, held, seen, times = [], 0, np.empty(0, np.uint64), np.empty(0, np.int64)
-        del sids, doc, key, at, new
+        del key, new, most
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             key, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
             return added(np.concatenate([seen, key]), np.concatenate([times, n]))
 
-        for i, j in _run_pairs(starts[lengths > 1], lengths[lengths > 1]):
+        for i, j in _near(np.arange(1, len(d) + 1), end):
             a, b = d[i], d[j]
+            if bits:
+                apart = (size[a] + size[b]) * ((1 - t) / (1 + t)) + _EPS  # tokens that only one of two similar sets has
+                ok = np.bitwise_count(fold[a] ^ fold[b]) <= apart
+                i, j, a, b, apart = i[ok], j[ok], a[ok], b[ok], apart[ok]
+                ok = (size[a] <= FOLDED) | (np.bitwise_count(low[a] ^ low[b]) + np.bitwise_count(high[a] ^ high[b]) <= apart)
+                i, j, a, b = i[ok], j[ok], a[ok], b[ok]
             sa, sb = size[a], size[b]
             need = np.ceil(t / (1 + t) * (sa + sb) - _EPS)
             pi, pj = p[i], p[j]
-            ok = (np.minimum(sa, sb) >= need) & (np.minimum(pi, pj) + np.minimum(sa - pi, sb - pj) >= need)
+            ok = (np.minimum(pi, pj) if m > 1 else 0) + np.minimum(sa - pi, sb - pj) >= need
             a, b = a[ok], b[ok]
-            found.append((np.minimum(a, b).astype(np.uint64) << np.uint64(32)) | np.maximum(a, b).astype(np.uint64))
+            found.append((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64))
             held += len(a)
             if held > max(1_000_000, len(seen)):
                 seen, times = merged()
@@ -224,14 +262,17 @@ def _candidates(t: float, m: int, frequent: int, reducers: int):
         seen, times = merged()
         found.clear()
         ia, ib = (seen >> np.uint64(32)).astype(np.int64), (seen & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        times[np.minimum(size[ia], size[ib]) < small] = m
-        to = (mix(uniq.view(np.uint64)) % np.uint64(reducers)).astype(np.int64)[ia]
-        order = np.argsort(to, kind="stable")
-        ends = np.searchsorted(to[order], np.arange(reducers + 1))
+        times[size[ia] < small] = m
+        ia, ib = order[ia], order[ib]
+        ia, ib = np.minimum(ia, ib), np.maximum(ia, ib)
+        to = (mix(names.view(np.uint64)) % np.uint64(reducers)).astype(np.int64)[ia]
+        at = np.lexsort((ib, ia, to))
+        ends = np.searchsorted(to[at], np.arange(reducers + 1))
         out = []
         for r in np.flatnonzero(np.diff(ends)).tolist():
-            own = order[ends[r] : ends[r + 1]]
-            out.append((r, pair_blob(uniq, ia[own], ib[own], np.minimum(times[own], m))))
+            own = at[ends[r] : ends[r + 1]]
+            out.append((r, pair_blob(names, ia[own], ib[own], np.minimum(times[own], m))))
+        del seen, times, ia, ib, to, at
         released()
         return pd.DataFrame(out, columns=["reducer", "blob"])
 
@@ -347,13 +388,16 @@ def _gram_sets(n: int):
     return sets
 
 
-def candidate_pairs(rows: DataFrame, sets, t: float, levels: np.ndarray, frequent: int, prefixes: int, m: int = SHARED, per_bucket: int = PER_BUCKET) -> DataFrame:
-    """Distinct (a, b) of set hashes, a < b, that may have Jaccard >= ``t`` as they share ``m`` signatures; ``rows`` has ``text``."""
+def candidate_pairs(rows: DataFrame, sets, t: float, levels: np.ndarray, frequent: int, prefixes: int, m: int, bits: bool = False) -> DataFrame:
+    """Distinct (a, b) of set hashes, a < b, that may have Jaccard >= ``t`` as they share ``m`` signatures; ``rows`` has ``text``.
+
+    ``bits`` sends each set's ``parities`` along, for sets of up to some 200 tokens.
+    """
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(levels)
-    buckets, reducers = max(1, -(-prefixes // per_bucket)), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = rows.select("text").mapInPandas(_index(sets, t, shared, frequent, buckets, m), "bucket int, h binary, p binary, n binary, sids binary, sizes binary")
-    met = index.groupBy("bucket").applyInPandas(_candidates(t, m, frequent, reducers), "reducer int, blob binary")
+    buckets, reducers = max(1, -(-prefixes // PER_BUCKET)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = rows.select("text").mapInPandas(_index(sets, t, shared, frequent, buckets, m, bits), "bucket int, h binary, p binary, n binary, sids binary, sizes binary, low binary, high binary")
+    met = index.groupBy("bucket").applyInPandas(_candidates(t, m, frequent, reducers, bits), "reducer int, blob binary")
     return staged(met.groupBy("reducer").applyInPandas(_merged(m), "a long, b long"), "candidates")
 
 
