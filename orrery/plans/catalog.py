@@ -15,7 +15,7 @@ from ..functions import keys as K
 from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.embed import embed, hash_embedder
-from ..operators import graph, ivf, log, lookup, metrics, search
+from ..operators import graph, ivf, log, lookup, metrics, search, walk
 from ..operators.filters import field, on_struct, on_variant
 from ..operators.store import Store
 from ..session import new_path, table
@@ -414,6 +414,23 @@ def store_round_trip(spark, sf_dir):
     return _shown(store.entries())
 
 
+@query(f"SELECT vec_id, round(s, 6) AS score FROM ({_ONE}) WHERE vec_id NOT BETWEEN 1 AND 3 ORDER BY s DESC, vec_id LIMIT 10")
+def store_ingest_delete(spark, sf_dir):
+    """A store filled, indexed, changed, reopened and searched."""
+    store = Store(spark, new_path(spark, "store"))
+    rows = _embeddings(spark, sf_dir)
+    key = F.format_string("%012d", "vec_id")
+    store.append(rows.select(F.lit("v").alias("collection"), F.encode(key, "UTF-8").alias("key"), F.lit(None).cast("string").alias("content"), "embedding"))
+    first = store.vectors("v", threshold=100)
+    query = _zero(rows)
+    first.nearest(query).count()  # builds the index
+    for i in (1, 2, 3):
+        store.delete("v", f"{i:012d}")
+    again = Store(spark, store.path).vectors("v")
+    assert [r["key"] for r in again.nearest(query).collect()] == [r["key"] for r in first.nearest(query).collect()]
+    return first.nearest(query).select(F.decode("key", "UTF-8").cast("long").alias("vec_id"), _score())
+
+
 # -- streams and metrics
 
 
@@ -510,3 +527,34 @@ def key_codecs(spark, sf_dir):
 def bulk_accepted(spark, sf_dir):
     rows = accepted(table(spark, sf_dir, "documents").select(F.col("source").alias("collection"), F.col("source").alias("key")))
     return rows.groupBy("collection").agg(F.count("*").alias("accepted"))
+
+
+# -- graph walks
+
+
+@query(f"SELECT query_id AS src, key AS dst, round(s, 6) AS score FROM ({_ALL}) WHERE query_id <> key QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, key) <= 8")
+def graph_nearest_neighbours(spark, sf_dir):
+    return walk.nearest_neighbours(graph.knn_edges(_embeddings(spark, sf_dir), 16, key="vec_id"), 8).select("src", "dst", _score())
+
+
+@query("SELECT true AS within_m, true AS nearest_kept")
+def graph_spread_neighbours(spark, sf_dir):
+    rows = _embeddings(spark, sf_dir)
+    near = graph.knn_edges(rows, 16, key="vec_id")
+    kept = walk.spread_neighbours(near, rows, 8, key="vec_id").groupBy("src").agg(F.count("*").alias("n"), F.max("score").alias("s"))
+    best = near.groupBy("src").agg(F.max("score").alias("best"))
+    return kept.join(best, "src", "right").agg(F.bool_and(F.col("n") == 8).alias("within_m"), F.bool_and(F.col("s") == F.col("best")).alias("nearest_kept"))
+
+
+@query("SELECT true AS recall_is_090")
+def graph_beam_search(spark, sf_dir):
+    rows = _embeddings(spark, sf_dir)
+    edges = graph.knn_edges(rows, 16, key="vec_id")
+    found = walk.beam_search(edges, rows, rows, beam=128, key="vec_id", qid="vec_id")
+    exact = search.batch_topk(rows, rows, key="vec_id", qid="vec_id")
+    return search.recall_at_k(found, exact, 10).select((F.col("recall") >= 0.9).alias("recall_is_090"))
+
+
+@query("SELECT count(*) AS n FROM embeddings")
+def graph_level_histogram(spark, sf_dir):
+    return walk.level_histogram(_embeddings(spark, sf_dir), key="vec_id").agg(F.sum("n").alias("n"))

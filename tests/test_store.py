@@ -125,3 +125,73 @@ def test_compaction_and_dead_space(store):
     assert docs["a"] == 2 and store.dead_space().first()["dead_bytes"] == 0
     docs["b"] = 5
     assert len(docs) == 2
+
+
+def test_a_writer_that_dies_leaves_the_state_before_it(spark, store):
+    docs = store.documents("d")
+    docs["a"] = 1
+    rows = spark.createDataFrame([("d", bytearray(b"b"), "9")], "collection string, key binary, content string")
+    point, store._point = store._point, lambda state: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        store.append(rows.withColumn("embedding", F.lit(None).cast("array<float>")))
+    store._point = point
+    again = Store(spark, store.path).documents("d")
+    assert len(again) == 1 and "b" not in again
+    again["c"] = 2
+    assert sorted(bytes(r[0]) for r in again.keys().collect()) == [b"a", b"c"]
+    names = store._pointers()
+    with open(f"{store.path.removeprefix('file://')}/pointers/p{int(names[0][1:]) + 1:012d}", "w") as f:
+        f.write('{"generation": "g0", "ba')  # torn
+    assert Store(spark, store.path).documents("d")["c"] == 2
+    store.compact()
+    assert len(Store(spark, store.path).documents("d")) == 2
+
+
+def test_entries_without_a_pointer_are_not_forgotten(spark, store):
+    store.documents("d")["a"] = 1
+    for name in store._pointers():
+        store._fs.delete(store._jpath(f"{store.path}/pointers/{name}"), False)
+    with pytest.raises(ValueError):
+        Store(spark, store.path)
+
+
+def test_vector_length_is_free_again_after_clear_and_delete(store):
+    v = store.vectors("v")
+    v.add("a", 1, [1.0, 2.0])
+    v.clear()
+    v.add("a", 1, [1.0, 2.0, 3.0])
+    del v["a"]
+    v.add("b", 1, [1.0])
+    with pytest.raises(ValueError):
+        v.add("c", 1, [1.0, 2.0])
+
+
+def test_indexed_collection_equals_exact_search(spark, store):
+    import numpy as np
+
+    x = np.random.default_rng(1).standard_normal((300, 6))
+    rows = spark.createDataFrame([("v", bytearray(f"{i:03d}".encode()), json.dumps({"even": i % 2 == 0}), [float(a) for a in r]) for i, r in enumerate(x)], "collection string, key binary, content string, embedding array<float>")
+    store.append(rows)
+    v, exact = store.vectors("v", threshold=200), store.vectors("v")
+    where = on_variant(field("even") == True, "document")  # noqa: E712
+
+    def same():
+        for q in (x[0], x[7]):
+            for how in ({}, {"where": where}, {"min_score": 0.7, "content": False}):
+                a, b = ([(bytes(r["key"]), round(r["score"], 9)) for r in c.nearest(q.tolist(), 12, **how).collect()] for c in (v, exact))
+                assert a == b and a, how
+            assert v.nearest(q.tolist()).columns == exact.nearest(q.tolist()).columns
+
+    same()
+    index = v._index[3]
+    store.delete("v", "000")
+    v.add("new", {"even": True}, x[0].tolist())
+    v.add("007", {"even": True}, (x[0] + 0.1).tolist())
+    tx = store.transaction()
+    tx.set("v", "020", "{}", x[7].tolist())
+    tx.commit()
+    same()
+    assert v._index[3] is index
+    store.compact()
+    same()
+    assert v._index[3] is not index
