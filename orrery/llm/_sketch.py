@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ._codec import framed, planes, unframed, unplaned
 
-BITS = 24
+BITS = 25
 WIDTH = 1 << BITS
 SLICES = 64
 _PER = WIDTH // SLICES

@@ -73,6 +73,16 @@ def swept(spark: SparkSession, since: set[str], *kept: DataFrame) -> None:
         _made.paths.discard(path)
 
 
+def cleared(spark: SparkSession, paths: set[str], reader: DataFrame) -> set[str]:
+    """Deletes the staged tables at ``paths`` that ``reader`` doesn't read, and says which."""
+    read = {name for f in reader.inputFiles() for name in f.split("/")}
+    gone = {p for p in paths if p.rpartition("/")[2] not in read}
+    for p in gone:
+        delete(spark, p)
+        _made.paths.discard(p)
+    return gone
+
+
 def made() -> set[str]:
     """Paths of the staged tables that this thread has made and not deleted."""
     return set(_made.paths)
@@ -84,6 +94,13 @@ def unused(df: DataFrame, name: str) -> str:
     return next(n for k in range(len(have) + 1) if (n := f"{name}{k or ''}") not in have)
 
 
+def written_bytes(df: DataFrame) -> int:
+    """Size of the files of a staged table."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._orrery_path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
 def delete(spark: SparkSession, uri: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import _sketch
 from ._store import dropped, staged
 from ._text import gram_blocks, set_ids
-from .ngram_join import candidate_pairs, placed_pairs, sized, verify
+from .ngram_join import PER_BUCKET, candidate_pairs, placed_pairs, sized, verify
 
 
 def line_sets(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -79,12 +79,12 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_i
     levels = _sketch.classes(profile.where("slice >= 0"))
     firsts = staged(lines.groupBy("sid").agg(F.min(F.struct("id", "line")).alias("f"), F.max("size").alias("size"), F.count("*").alias("n")), "line-firsts")
     prefixes = int(firsts.agg(F.sum(F.ceil(F.col("size") * (1 - t)) + 1)).first()[0] or 0)
-    pairs = candidate_pairs(docs, line_sets, t, levels, 256, prefixes, 1, bits=True)
+    pairs = candidate_pairs(docs, line_sets, t, levels, 256, prefixes, 1, bits=True, per_bucket=PER_BUCKET // 2)
     placed = placed_pairs(pairs)
     members = placed.select("slot", F.col("a").alias("sid")).union(placed.select("slot", "b")).distinct()
     wanted = members.join(firsts, "sid").groupBy(F.col("f.id").alias("id")).agg(F.collect_list(F.struct("slot", "sid", F.col("f.line").alias("line"))).alias("wanted"))
     wanted = staged(wanted, "line-wanted")
-    texts = docs.join(sized(wanted, wanted.count()), "id").select("text", "wanted").mapInPandas(_pick, "slot int, sid long, text string")
+    texts = docs.join(sized(wanted), "id").select("text", "wanted").mapInPandas(_pick, "slot int, sid long, text string")
     checked = staged(placed.groupBy("slot").cogroup(texts.groupBy("slot")).applyInPandas(_verify(t), "a long, b long, jaccard double"), "line-pairs")
     both = checked.select(F.col("a").alias("sid"), F.col("b").alias("other"), "jaccard").union(checked.select("b", "a", "jaccard"))
     near = both.join(firsts.select(F.col("sid").alias("other"), F.col("f").alias("of")), "other").groupBy("sid").agg(F.min(F.struct("of", "jaccard")).alias("near"))
@@ -104,11 +104,11 @@ def remove_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_
     A document that loses all its lines keeps an empty text. Rows without
     removals, NULL ids and NULL texts pass as they are.
     """
-    own = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
+    own = gone.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("line_no").alias("lines"))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, lines: pd.Series) -> pd.Series:
         return pd.Series([x if g is None or x is None else "\n".join(y for k, y in enumerate(x.split("\n")) if k not in set(g)) for x, g in zip(texts, lines)], dtype=object)
 
-    joined = docs.join(sized(own, own.count()), docs[id_col] == own["__id"], "left")
-    return joined.select(*[(cut(F.col(f"`{c}`"), F.col("__gone")).alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns])
+    joined = docs.alias("l").join(own.alias("r"), F.expr(f"l.`{id_col}` = r.id"), "left")
+    return joined.select(*[(cut(F.col(f"l.`{c}`"), F.col("r.lines")).alias(c) if c == text_col else F.col(f"l.`{c}`")) for c in docs.columns])

@@ -39,22 +39,22 @@ from pyspark.sql import functions as F
 
 from . import _sketch
 from ._codec import framed, planes, unframed, unplaned
-from ._store import dropped, released, staged
+from ._store import dropped, released, staged, written_bytes
 from ._text import gram_blocks, mix, overlaps, set_ids
 
 GROUPS = 8
 SHARED_GRAMS = 6
-FOLDED = 64
-PER_BUCKET, PER_FLUSH = 1_500_000, 1_500_000
+FOLDED = 64  # tokens of a set whose parities take one word
+PER_BUCKET, PER_FLUSH = 2_000_000, 800_000
 PAIRS_PER_SLICE = 1_500_000
 PAIRS_PER_SLOT = 200_000
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 _EPS = 1e-9
 
 
-def sized(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it holds at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def sized(df: DataFrame) -> DataFrame:
+    """A staged table, with a broadcast hint if it has at most BROADCAST_ROWS rows and BROADCAST_BYTES of files."""
+    return F.broadcast(df) if written_bytes(df) <= BROADCAST_BYTES and df.count() <= BROADCAST_ROWS else df
 
 
 def least_overlap(size: int, t: float) -> int:
@@ -388,17 +388,18 @@ def _gram_sets(n: int):
     return sets
 
 
-def candidate_pairs(rows: DataFrame, sets, t: float, levels: np.ndarray, frequent: int, prefixes: int, m: int, bits: bool = False) -> DataFrame:
+def candidate_pairs(rows: DataFrame, sets, t: float, levels: np.ndarray, frequent: int, prefixes: int, m: int, bits: bool = False, per_bucket: int | None = None) -> DataFrame:
     """Distinct (a, b) of set hashes, a < b, that may have Jaccard >= ``t`` as they share ``m`` signatures; ``rows`` has ``text``.
 
     ``bits`` sends each set's ``parities`` along, for sets of up to some 200 tokens.
     """
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(levels)
-    buckets, reducers = max(1, -(-prefixes // PER_BUCKET)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, reducers = max(1, -(-prefixes // (per_bucket or PER_BUCKET))), int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = rows.select("text").mapInPandas(_index(sets, t, shared, frequent, buckets, m, bits), "bucket int, h binary, p binary, n binary, sids binary, sizes binary, low binary, high binary")
-    met = index.groupBy("bucket").applyInPandas(_candidates(t, m, frequent, reducers, bits), "reducer int, blob binary")
-    return staged(met.groupBy("reducer").applyInPandas(_merged(m), "a long, b long"), "candidates")
+    # a bucket is a task
+    met = index.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInPandas(_candidates(t, m, frequent, reducers, bits), "reducer int, blob binary")
+    return staged(met.repartitionById(reducers, F.col("reducer")).groupBy("reducer").applyInPandas(_merged(m), "a long, b long"), "candidates")
 
 
 def placed_pairs(pairs: DataFrame) -> DataFrame:
@@ -428,7 +429,7 @@ def _gathered(docs: DataFrame, t: float, n: int):
     dropped(pairs)
     members = placed.select("slot", F.col("a").alias("sid")).union(placed.select("slot", "b")).distinct()
     members = staged(members.join(reps, "sid").select("sid", "slot", F.col("rep").alias("id")), "jaccard-members")
-    sets = docs.join(sized(members, members.count()), "id").select("slot", "sid", "text")
+    sets = docs.join(sized(members), "id").select("slot", "sid", "text")
     return known, reps, placed, sets, (known, reps, placed, members)
 
 
@@ -527,4 +528,4 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = 0.6, n: int = 2) ->
     classes = jaccard_classes(docs, threshold, n)
     gone = staged(classes.where("doc_id <> class_id").select("doc_id"), "gone")
     dropped(classes)
-    return docs.alias("l").join(sized(gone, gone.count()).alias("r"), F.expr("l.doc_id = r.doc_id"), "left_anti")
+    return docs.alias("l").join(sized(gone).alias("r"), F.expr("l.doc_id = r.doc_id"), "left_anti")

@@ -35,13 +35,12 @@ def _op1() -> str:
         "e AS (SELECT src, dst, sum(n) AS n FROM (SELECT * FROM k UNION ALL SELECT * FROM up WHERE dst IN (SELECT host FROM nodes)) GROUP BY ALL)",
         "b AS (SELECT 'trust' AS kind, src, dst, n FROM e UNION ALL SELECT 'distrust', dst, src, n FROM e)",
         "w AS MATERIALIZED (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS w FROM b)",
-        "r0 AS (SELECT kind, host, 1.0::DOUBLE AS v FROM s)",
+        # what each round adds, until it is below the rounding
+        f"r AS (SELECT kind, host, 1.0::DOUBLE AS v, 0 AS i FROM s UNION ALL SELECT kind, dst, sum({url_trust.DAMPING} * v * w), i + 1 FROM w JOIN r USING (kind) WHERE w.src = r.host AND i < 140 GROUP BY kind, dst, i)",
+        "t AS (SELECT kind, host, sum(v) AS v FROM r GROUP BY ALL)",
     ]
-    for i in range(url_trust.STEPS):
-        parts.append(f"r{i + 1} AS MATERIALIZED (SELECT kind, host, sum(v) AS v FROM (SELECT * FROM r0 UNION ALL SELECT kind, dst, {url_trust.DAMPING} * v * w FROM w JOIN r{i} r USING (kind) WHERE w.src = r.host) GROUP BY ALL)")
-    last = f"r{url_trust.STEPS}"
-    score = lambda k: f"round(coalesce((SELECT v FROM {last} WHERE kind = '{k}' AND host = p.host), 0), 9)"
-    return f"WITH {', '.join(parts)}, o AS (SELECT page_id, url, host, {score('trust')} AS trust, {score('distrust')} AS distrust FROM p) SELECT *, NOT (distrust >= 0.05 AND distrust > trust) AS keep FROM o"
+    score = lambda k: f"round(coalesce((SELECT v FROM t WHERE kind = '{k}' AND host = p.host), 0), 6)"
+    return f"WITH RECURSIVE {', '.join(parts)}, o AS (SELECT page_id, url, host, {score('trust')} AS trust, {score('distrust')} AS distrust FROM p) SELECT *, NOT (distrust >= 0.05 AND distrust > trust) AS keep FROM o"
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

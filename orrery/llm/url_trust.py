@@ -6,12 +6,14 @@ edge to its parent domain where that is itself a host of a page, a link's target
 or a seed ("www.a.org" to "a.org"). Trust is personalised PageRank from the
 trusted seeds along the edges; distrust the same from the blocked seeds against
 them, so a host that links to blocked ones inherits from them. Rounds go on
-until all later ones together can change no score by ``REST``. Mass of hosts without
-out-edges returns to the seeds, which is a common factor and drops out.
-
-Ranks hold reached hosts only. Edges are partitioned by source once; a round
-joins ranks to them where they are and shuffles only the contributions. Lineage
-is cut by a table in the shared folder every few rounds.
+until all later ones together can change no score by ``REST``. A score is the sum over
+all damped paths from the seeds, in units of a seed's own share; mass that reaches
+a host without out-edges ends there, for either kind.
+
+Ranks hold reached hosts only. Edges are partitioned by source once, those of a
+hub by target too, in parts of about EDGES_PER_PART to which its rank is sent; a
+round joins ranks to them where they are and shuffles only the contributions, summed
+up per task. Lineage is cut by a table in the shared folder every few rounds.
 """
 
 from __future__ import annotations
@@ -24,9 +26,8 @@ from pyspark.sql import functions as F
 from ._store import dropped, staged
 from .ngram_join import sized
 
-DAMPING, CUT, REST = 0.85, 4, 1e-6
-#: Rounds of the DuckDB oracle, which has no loop to a limit.
-STEPS = 12
+DAMPING, CUT, REST = 0.85, 4, 1e-9
+EDGES_PER_PART = 1_000_000
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+)"
 HREF = r"""(?i)<a\s[^>]*href\s*=\s*["']?([^"'\s>]*)"""
 
@@ -55,22 +56,31 @@ def host_edges(pages: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(kind, host, score): kind ``trust`` along and ``distrust`` against the edges.
+    """(kind, host, v): kind ``trust`` along and ``distrust`` against the edges.
 
-    ``seeds`` has kind and host. A score is in units of a seed's own share: 1 for
-    a seed that nothing points at.
+    ``seeds`` has kind and host. Returns (kind, host, v), a table in the shared folder; v
+    is in units of a seed's own share: 1 for a seed that nothing points at.
     """
     spark = edges.sparkSession
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").union(edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), "n"))
-    out = both.groupBy("kind", "src").agg(F.sum("n").alias("total"))
+    out = both.groupBy("kind", "src").agg(F.sum("n").alias("total"), F.ceil(F.count("*") / EDGES_PER_PART).cast("int").alias("parts"))
+    out = staged(out, "host-degrees")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = staged(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("w")), "host-edges")
-    held = table.repartition(parts, "kind", "src").persist()  # rebuilt from the table if an executor is lost
+    part = F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part")
+    table = staged(both.join(out, ["kind", "src"]).select("kind", "src", part, "dst", (F.col("n") / F.col("total")).alias("w")), "host-edges")
+    held = table.repartition(parts, "kind", "src", "part").persist()  # rebuilt from the table if an executor is lost
+    hubs = out.where("parts > 1").select("kind", "src", "parts")
+    has_hubs = hubs.limit(1).count() > 0  # at most an EDGES_PER_PART-th of the edges
     own = seeds.select("kind", "host", F.lit(1.0).alias("v"))
     ranks, last, before, rest = own, None, float(seeds.count()), 1.0
     while rest > REST:
         for _ in range(CUT):
-            moved = ranks.select("kind", F.col("host").alias("src"), "v").join(held, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (DAMPING * F.col("v") * F.col("w")).alias("v"))
+            sent = ranks.select("kind", F.col("host").alias("src"), "v")
+            if has_hubs:
+                sent = sent.join(hubs, ["kind", "src"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+            else:
+                sent = sent.withColumn("part", F.lit(0))
+            moved = sent.join(held, ["kind", "src", "part"]).select("kind", F.col("dst").alias("host"), (DAMPING * F.col("v") * F.col("w")).alias("v"))
             ranks = own.union(moved).groupBy("kind", "host").agg(F.sum("v").alias("v"))
         ranks = staged(ranks, "host-ranks")
         if last is not None:
@@ -80,8 +90,8 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         now = float(ranks.agg(F.sum("v")).first()[0] or 0)
         before, rest = now, (now - before) * DAMPING**CUT / (1 - DAMPING**CUT)
     held.unpersist()
-    dropped(table)
-    return ranks.select("kind", "host", F.col("v").alias("score"))
+    dropped(table, out)
+    return ranks
 
 
 def filter_urls(pages: DataFrame, trusted: Sequence[str], blocked: Sequence[str], cut: float = 0.05) -> DataFrame:
@@ -99,8 +109,9 @@ def filter_urls(pages: DataFrame, trusted: Sequence[str], blocked: Sequence[str]
     rows = [("trust", h.lower().rstrip(".")) for h in trusted] + [("distrust", h.lower().rstrip(".")) for h in blocked]
     seeds = spark.createDataFrame(sorted(set(rows)), "kind string, host string")
     ranks = propagate(host_edges(pages, seeds), seeds)
-    hosts = ranks.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("score"))).alias(k) for k in ("trust", "distrust")])
+    hosts = ranks.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("v"))).alias(k) for k in ("trust", "distrust")])
     hosts = staged(hosts, "host-scores")
+    dropped(ranks)
     at = pages.select("page_id", "url", host_of(F.col("url")).alias("host"))
-    out = at.join(sized(hosts, hosts.count()), "host", "left").select("page_id", "url", "host", *[F.round(F.coalesce(k, F.lit(0.0)), 9).alias(k) for k in ("trust", "distrust")])
+    out = at.join(sized(hosts), "host", "left").select("page_id", "url", "host", *[F.round(F.coalesce(k, F.lit(0.0)), 6).alias(k) for k in ("trust", "distrust")])
     return out.withColumn("keep", ~((F.col("distrust") >= cut) & (F.col("distrust") > F.col("trust"))))
