@@ -371,7 +371,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, seed: int = 5
         net = train(pdf["text"].tolist(), pdf["toxic"].to_numpy(), seed=seed, noise=noise)
         return pd.DataFrame({"net": [pickle.dumps(net)]})
 
-    got = sample.groupBy(F.lit(0)).applyInPandas(trained, "net binary").collect()
+    got = sample.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(trained, "net binary").collect()
     return pickle.loads(got[0][0]) if got else None
 
 
