@@ -10,16 +10,35 @@ no ``ORACLE_SQL``; the tests hold each stage against a brute-force version.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm import decontaminate, langid, mixing, token_files
-from orrery.llm._store import made, staged, swept
+from orrery.llm._store import cleared, made, staged, swept
 from orrery.llm.ngram_join import drop_near_duplicates
 
 #: Vocabulary of the token files.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Tables in the shared folder that stages left behind for their results.
+_left: set[str] = set()
+
+
+def _stage(f):
+    """A stage that first deletes what earlier ones left, now that their results are written; what ``docs`` still reads stays."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _left.difference_update(cleared(spark, _left, docs))
+        before = made()
+        out = f(spark, docs, sf_dir)
+        _left.update(made() - before - {getattr(out, "_orrery_path", None)})
+        return out
+
+    return run
 
 
+@_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is ambiguous go, and so do NULL, empty and letterless texts.
 
@@ -29,6 +48,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return langid.drop_ambiguous(docs)
 
 
+@_stage
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of copies stays, that of the smallest doc_id.
 
@@ -37,6 +57,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_duplicates(docs)
 
 
+@_stage
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go, each row for itself.
 
@@ -45,6 +66,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or dropped by their mixing rates.
 
@@ -54,6 +76,7 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_stage
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of what is left: a row of the index per row, NULL texts with no tokens."""
     return token_files.write_tokens(docs, TOKENIZER)
