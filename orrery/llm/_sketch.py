@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._codec import framed, planes, unframed, unplaned
+from ._store import released
 
 BITS = 25
 WIDTH = 1 << BITS
@@ -79,11 +80,13 @@ def classes(parts: DataFrame) -> np.ndarray:
                 gaps, counts = map(unplaned, unframed(blob))
                 sums.setdefault(s, np.zeros(_PER, np.int64))[np.cumsum(gaps)] += counts
         if sums:
-            levels = [np.round(2 * np.log2(v + 1)).astype(np.uint8).tobytes() for v in sums.values()]
+            levels = [framed([np.round(2 * np.log2(v + 1)).astype(np.uint8).tobytes()]) for v in sums.values()]
             yield pd.DataFrame({"slice": list(sums), "blob": levels})
+        sums.clear()
+        released()
 
     out = np.zeros(WIDTH, np.uint8)
     summed = parts.select("slice", "blob").repartition(min(SLICES, 16), F.col("slice"))
     for s, blob in summed.mapInPandas(total, "slice int, blob binary").collect():
-        out[s * _PER : (s + 1) * _PER] = np.frombuffer(blob, np.uint8)
+        out[s * _PER : (s + 1) * _PER] = np.frombuffer(unframed(blob)[0], np.uint8)
     return out
