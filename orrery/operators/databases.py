@@ -60,6 +60,25 @@ class Databases:
         rows = self.catalog() if is_admin else lookup.visible_databases(self.catalog(), user or "")
         return [r[0] for r in rows.select("name").orderBy("name").collect()]
 
+    def info(self) -> DataFrame:
+        """(name, owner, users, vectors, size, file_bytes, n_collections, collections) of every database.
+
+        ``size`` is of the live contents and vectors, ``file_bytes`` what the folder holds.
+        """
+        rows, infos = [], None
+        for name in self.names():
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            rows.append((name, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()))
+            own = self.details(name).withColumn("name", F.lit(name))
+            infos = own if infos is None else infos.unionByName(own)
+        files = self.spark.createDataFrame(rows, "name string, file_bytes long")
+        out = self.catalog().join(F.broadcast(files), "name")
+        if infos is None:
+            return out.selectExpr("name", "owner", "users", "0L AS vectors", "0L AS size", "file_bytes", "0L AS n_collections", "CAST(array() AS array<string>) AS collections")
+        total = lookup.database_info(infos, ["name"])
+        zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+        return out.join(total, "name", "left").select("name", "owner", "users", zero("vectors"), zero("size"), "file_bytes", zero("n_collections"), F.coalesce("collections", F.array().cast("array<string>")).alias("collections"))
+
     def details(self, name: str) -> DataFrame:
         """One row per collection of a database: the statistics of ``lookup.collection_info``."""
         return lookup.collection_info(self.open(name).entries())

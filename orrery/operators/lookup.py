@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import new_path
+
 
 def _of(entries: DataFrame, collection: str | None) -> DataFrame:
     return entries if collection is None else entries.where(F.col("collection") == collection)
@@ -43,10 +45,13 @@ def keys(entries: DataFrame, collection: str | None = None) -> DataFrame:
 def keys_chunked(entries: DataFrame, size: int = 1000, key: str = "key") -> DataFrame:
     """(chunk, keys): runs of ``size`` keys in order, the last may be short.
 
-    Ranks come from per-partition counts over a range partitioning, so no task
-    sees all keys.
+    Ranks come from per-partition counts over a range partitioning, written once to
+    the shared folder, so no task sees all keys.
     """
-    ordered = entries.select(F.col(key).alias("key")).orderBy("key").withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()).persist()  # read twice, with the same ranges
+    spark, path = entries.sparkSession, new_path(entries.sparkSession, "keys")
+    ordered = entries.select(F.col(key).alias("key")).orderBy("key").withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    ordered.write.parquet(path)
+    ordered = spark.read.schema(ordered.schema).parquet(path)
     counts = ordered.groupBy("__p").count()
     before = counts.select("__p", F.coalesce(F.sum("count").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
     at = F.col("__b") + F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.embed import Embedder, with_embeddings
 from ..operators.metrics import metric_windows
 from ..operators.store import Store
+from ..session import new_path
 
 
 def ingest(rows: DataFrame, store: Store, checkpoint: str, *, embedder: Embedder | None = None, once: bool = True) -> StreamingQuery:
@@ -33,3 +36,17 @@ def ingest(rows: DataFrame, store: Store, checkpoint: str, *, embedder: Embedder
 def metric_stream(samples: DataFrame, delay: str = "30 seconds", every: str = "10 seconds", *, ts: str = "ts", name: str = "name", value: str = "value") -> DataFrame:
     """``metric_windows`` of a stream: windows close ``delay`` after their end, later samples are dropped."""
     return metric_windows(samples.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay), every, ts=ts, name=name, value=value)
+
+
+def status_sampler(spark: SparkSession, sample: Callable[[], DataFrame], path: str, every: str = "5 seconds") -> StreamingQuery:
+    """Appends ``sample()`` with its time, ``ts``, to the Parquet folder ``path`` at every tick.
+
+    The rate source only gives the beat. ``metrics.retained`` of what is there are
+    the samples kept.
+    """
+
+    def tick(_: DataFrame, batch: int) -> None:
+        sample().withColumn("ts", F.current_timestamp()).coalesce(1).write.mode("append").parquet(path)
+
+    beat = spark.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
+    return beat.writeStream.trigger(processingTime=every).option("checkpointLocation", new_path(spark, "sampler")).foreachBatch(tick).start()

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions import vectors as V
-from orrery.operators import graph, ivf, search
+from orrery.operators import graph, ivf, search, walk
 from orrery.operators.filters import field, on_struct
 
 
@@ -132,6 +132,48 @@ def test_vector_kernels(spark):
         row.select(V.cosine_distance(a, s, strict=True)).collect()
 
 
+def test_walks_over_a_graph(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 12))
+    rows = spark.createDataFrame([(i, i % 5, [float(a) for a in v]) for i, v in enumerate(x)] + [(900, 0, None)], "key int, tag int, embedding array<float>").cache()
+    queries = rows.where("key < 20")
+    near = graph.knn_edges(rows, 24)
+    found = walk.beam_search(near, rows, queries, qid="key", beam=64)
+    exact = search.batch_topk(rows, queries, qid="key")
+    assert search.recall_at_k(found, exact, 10).first()[0] >= 0.95
+    some = walk.beam_search(near, rows, queries, 5, 0, where=F.col("tag") == 1, qid="key").collect()
+    assert some and all(r["key"] % 5 == 1 for r in some) and max(r["rank"] for r in some) == 5
+    assert walk.beam_search(near.limit(0), rows.limit(0), queries, qid="key").count() == 0 and walk.beam_search(near, rows, queries, 0, qid="key").count() == 0
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    spread = {}
+    for r in walk.spread_neighbours(near, rows, 6, keep_pruned=False).collect():
+        spread.setdefault(r["src"], []).append(r["dst"])
+    for src in (0, 7, 100):
+        order = sorted((i for i in range(400) if i != src), key=lambda i: -unit[src] @ unit[i])[:24]
+        want = []
+        for i in order:
+            if len(want) < 6 and all(unit[i] @ unit[j] < unit[i] @ unit[src] for j in want):
+                want.append(i)
+        assert sorted(spread[src]) == sorted(want)
+    full = walk.spread_neighbours(near, rows, 6).groupBy("src").count().agg(F.min("count"), F.max("count")).first()
+    assert tuple(full) == (6, 6)
+    assert walk.nearest_neighbours(near, 3).count() == 1200
+    drawn = {r["level"]: r["n"] for r in walk.level_histogram(rows, 4).collect()}
+    assert sum(drawn.values()) == 401 and drawn[0] > drawn[1] > 0
+
+
+def test_index_reopens_grows_and_reads_only_its_lists(spark, planes, tmp_path):
+    index = ivf.build(planes.where("key < 150"), 8, path=f"file://{tmp_path}/ivf")
+    again = ivf.IvfIndex.open(spark, f"file://{tmp_path}/ivf")
+    again.insert(planes.where("key >= 150"))
+    assert again.table.count() == 180 and sum(r["n"] for r in ivf.list_histogram(again).collect()) == 180
+    for g in range(6):
+        a = [(r["key"], round(r["score"], 9)) for r in ivf.nearest(again, _query(g)).collect()]
+        assert a == [(r["key"], round(r["score"], 9)) for r in search.exact_topk(planes, _query(g)).collect()]
+    plan = ivf.probe(index, _query(0), n_probe=2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [list" in plan
+
+
 def test_graph_snapshot(planes):
     nodes, edges, truncated = graph.snapshot(planes, 100)
     nodes, edges = nodes.collect(), edges.collect()

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -113,3 +115,19 @@ def test_visibility_and_distinct_users(spark):
     cat = spark.createDataFrame([("a", "u1", ["u2"]), ("b", "u3", None)], "name string, owner string, users array<string>")
     assert [r["name"] for r in lookup.visible_databases(cat, "u2").collect()] == ["a"] and lookup.visible_databases(cat, "x", True).count() == 2
     assert lookup.distinct_users(spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (None, "c")], "id int, name string")).count() == 2
+
+
+def test_status_sampler_appends_samples(spark, tmp_path):
+    from orrery.operators.metrics import retained
+    from orrery.streaming.ingest import status_sampler
+
+    query = status_sampler(spark, lambda: spark.range(1).selectExpr("'a' AS database", "3L AS vectors"), f"file://{tmp_path}/s", "1 second")
+    try:
+        for _ in range(120):
+            if len(query.recentProgress) > 2:
+                break
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    rows = retained(spark.read.parquet(f"file://{tmp_path}/s")).collect()
+    assert rows and all(r["vectors"] == 3 and r["ts"] is not None for r in rows)
