@@ -131,3 +131,67 @@ def test_status_sampler_appends_samples(spark, tmp_path):
         query.stop()
     rows = retained(spark.read.parquet(f"file://{tmp_path}/s")).collect()
     assert rows and all(r["vectors"] == 3 and r["ts"] is not None for r in rows)
+
+
+def test_image_files_are_decoded(spark, tmp_path):
+    import struct
+    import zlib
+
+    from orrery.sources.images import images
+
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 256, (5, 7, 3)).astype(np.uint8)
+
+    def png(pixels, kind):
+        chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+        rows = b"".join(b"\0" + r.tobytes() for r in pixels)
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", pixels.shape[1], pixels.shape[0], 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+    (tmp_path / "rgb.png").write_bytes(png(x, 2))
+    (tmp_path / "clear.png").write_bytes(png(np.concatenate([x, np.full((5, 7, 1), 9, np.uint8)], 2), 6))
+    (tmp_path / "torn.png").write_bytes(png(x, 2)[:40])
+    rows = images(spark, f"file://{tmp_path}")
+    got = {r["origin"].rpartition("/")[2]: r for r in rows.collect()}
+    for name in ("rgb.png", "clear.png"):
+        r = got[name]
+        assert (r["height"], r["width"]) == (5, 7) and np.frombuffer(r["pixels"], np.uint8).reshape(5, 7, 3).tolist() == x.tolist()
+    assert got["torn.png"]["pixels"] is None and got["torn.png"]["height"] is None
+    made = rows.select("origin", image.embed_images(F.col("pixels"), F.col("height"), F.col("width"), lambda b: b.reshape(len(b), -1)[:, :6], 8).alias("v")).collect()
+    assert sorted(len(r["v"]) for r in made) == [0, 6, 6]
+
+
+def onnx_model(table):
+    """A model that looks ids up in ``table``, as the bytes of its protocol buffer."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    number = lambda field, n: varint(field << 3) + varint(n)
+    text = lambda field, data: varint(field << 3 | 2) + varint(len(data)) + data
+
+    def value(name, kind, *dims):
+        shape = b"".join(text(1, text(2, d.encode()) if isinstance(d, str) else number(1, d)) for d in dims)
+        return text(1, name.encode()) + text(2, text(1, number(1, kind) + text(2, shape)))
+
+    node = text(1, b"table") + text(1, b"input_ids") + text(2, b"states") + text(4, b"Gather")
+    tensor = number(1, table.shape[0]) + number(1, table.shape[1]) + number(2, 1) + text(8, b"table") + text(9, table.astype("<f4").tobytes())
+    graph = text(1, node) + text(2, b"g") + text(5, tensor) + text(11, value("input_ids", 7, "n", "t")) + text(12, value("states", 1, "n", "t", table.shape[1]))
+    return number(1, 8) + text(7, graph) + text(8, number(2, 13))
+
+
+def test_embedding_by_a_model_file(spark, tmp_path):
+    from orrery.functions.embed import onnx_embedder
+
+    table = np.random.default_rng(2).standard_normal((30, 4)).astype(np.float32)
+    path = str(tmp_path / "m.onnx")
+    with open(path, "wb") as f:
+        f.write(onnx_model(table))
+    embedder = onnx_embedder(path, lambda tokens: [int(t) for t in tokens], ("NoSuchProvider",))
+    rows = spark.createDataFrame([("1 2 3",), ("7",), ("",), (None,), (" ".join(str(i % 30) for i in range(50)),)], "s string")
+    got = [r[0] for r in rows.select(embed(F.col("s"), embedder, size=20, overlap=0)).collect()]
+    assert got[2] == [] and got[3] == []
+    for text, v in (("1 2 3", got[0]), ("7", got[1]), (" ".join(str(i % 30) for i in range(50)), got[4])):
+        assert v == pytest.approx(table[[int(t) for t in text.split()]].astype(float).mean(0).tolist(), abs=1e-5)
