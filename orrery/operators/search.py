@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import cosine_to, matrix, unit
+from ..session import spread
 
 DEFAULT_TOP = 10
 QUERY_BLOCK = 4096
@@ -125,7 +126,7 @@ def batch_topk(entries: DataFrame, queries: DataFrame, top: int = DEFAULT_TOP, *
     """
     kind, id_kind = entries.schema[key].dataType.simpleString(), queries.schema[qid].dataType.simpleString()
     schema = f"query_id {id_kind}, key {kind}, score double"
-    rows = entries.select(F.col(key).alias("key"), F.col(vec).alias("vec")).where(F.col(vec).isNotNull())
+    rows = spread(entries.select(F.col(key).alias("key"), F.col(vec).alias("vec"))).where(F.col("vec").isNotNull())
     asked = queries.select(F.col(qid).alias("key"), F.col(qvec).alias("vec")).where(F.col(qvec).isNotNull())
     if top <= 0:
         found = entries.sparkSession.createDataFrame([], schema)

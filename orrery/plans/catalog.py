@@ -18,7 +18,7 @@ from ..functions.embed import embed, hash_embedder
 from ..operators import graph, ivf, log, lookup, metrics, search, walk
 from ..operators.filters import field, on_struct, on_variant
 from ..operators.store import Store
-from ..session import new_path, table
+from ..session import new_path, spread, table
 from ..sources.documents import accepted
 from ..streaming.ingest import ingest, metric_stream
 
@@ -490,13 +490,13 @@ _TOKENS = r"t AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), la
     "SELECT doc_id, c::INT AS chunk_no, len(ts[c * 256 + 1 : c * 256 + 320])::INT AS n_tokens, array_to_string(ts[c * 256 + 1 : c * 256 + 320], ' ') AS text FROM c"
 )
 def chunk_tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.chunks(T.split_tokens(F.col("text")))).alias("chunk_no", "ts"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(T.chunks(T.split_tokens(F.col("text")))).alias("chunk_no", "ts"))
     return docs.select("doc_id", "chunk_no", F.size("ts").alias("n_tokens"), F.array_join("ts", " ").alias("text"))
 
 
 @query(f"WITH {_TOKENS} SELECT doc_id, array_to_string(CASE WHEN len(ts) > 384 THEN ts[1:256] || ts[len(ts) - 127 : len(ts)] ELSE ts END, ' ') AS text FROM t")
 def head_tail(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.head_tail(T.split_tokens(F.col("text"))), " ").alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.array_join(T.head_tail(T.split_tokens(F.col("text"))), " ").alias("text"))
 
 
 @query("SELECT label, i::INT AS i, round(sum(v * vec_id) / sum(vec_id), 6) AS v FROM (SELECT label, vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding::DOUBLE[]) AS v FROM embeddings) GROUP BY 1, 2")
@@ -512,7 +512,7 @@ def task_prefix(spark, sf_dir):
 
 @query()
 def embed_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", embed(F.col("text"), hash_embedder(64)).alias("embedding"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", embed(F.col("text"), hash_embedder(64)).alias("embedding"))
 
 
 _REVERSED = " || ".join(f"substr(h, {15 - 2 * i}, 2)" for i in range(8))

@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+LEAST_SPLIT = 4 << 20
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -32,6 +33,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out to all cores where its files have less than a scan's least split (4 MB) for each.
+
+    Such a table is often one row group, which is one task of a scan however costly
+    what follows is. Larger ones are left as the scan splits them.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * LEAST_SPLIT else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder all executors share: ``spark.checkpoint.dir``.
 
