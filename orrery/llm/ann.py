@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import spread
 from ._store import dropped, staged
 
 BLOCK = 4096
@@ -243,7 +244,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, eta: float = 4.0
     if top is None:
         return spark.createDataFrame([], _FOUND)
     dims = top["d"]
-    raw = staged(rows.mapInPandas(_blocks(dims), "n int, ids binary, vecs binary"), "ann-raw")
+    raw = staged(spread(rows).mapInPandas(_blocks(dims), "n int, ids binary, vecs binary"), "ann-raw")
     wanted = asked.repartition(max(1, asked.count() // BLOCK))  # full blocks of queries
     wanted = staged(wanted.mapInPandas(_blocks(dims), "n int, ids binary, vecs binary"), "ann-queries")
     if not raw.limit(1).count() or not wanted.limit(1).count():

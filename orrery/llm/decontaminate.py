@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from ._store import released
 from ._text import words
 
@@ -140,7 +141,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, id_col
     distance; other columns are ignored. An item of few characters has a budget
     of 0 and is found as it is.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    rows = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).where("doc_id IS NOT NULL AND text IS NOT NULL")
     sc, found = docs.sparkSession.sparkContext, None
     for chunk in _chunks(benchmark, item_col, item_text_col):
         shared = sc.broadcast(chunk)
@@ -162,7 +163,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, text_c
 
     NULL and wordless texts stay.
     """
-    sc, out = docs.sparkSession.sparkContext, docs
+    sc, out = docs.sparkSession.sparkContext, spread(docs)
     for chunk in _chunks(benchmark, "item_id", "text"):
         out = out.where(~_holds_item(sc.broadcast(chunk), rate)(F.col(text_col)))
     return out

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import spread
 from ._store import released
 
 BITS = 12
@@ -175,7 +176,7 @@ def identify(docs: DataFrame, model: LanguageModel, margin: float = 0.15, far: f
                 yield pd.concat([part[["doc_id"]].reset_index(drop=True), out], axis=1)
         released()
 
-    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))  # a NULL would make pandas' integers floats
+    rows = spread(docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text")))  # a NULL would make pandas' integers floats
     out = rows.mapInPandas(run, "doc_id string, predicted string, loss double, gap double, ambiguous boolean")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
@@ -196,4 +197,4 @@ def drop_ambiguous(docs: DataFrame, per_language: int = 400, text_col: str = "te
     """``docs`` without the rows whose language cannot be told; columns unchanged."""
     model = fit(docs, per_language)
     rejected: Column = is_rejected(model, docs.sparkSession)(F.col(text_col))
-    return docs.where(~rejected)
+    return spread(docs).where(~rejected)

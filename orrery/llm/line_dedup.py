@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import _sketch
 from ._store import dropped, staged
 from ._text import gram_blocks, set_ids
@@ -73,7 +74,7 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_i
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
     t = float(threshold)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    docs = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).where("id IS NOT NULL AND text IS NOT NULL")
     profile = staged(docs.mapInPandas(_profile, "id long, line int, size int, sid long, slice int, blob binary"), "line-profile")
     lines = profile.where("slice < 0").select("id", "line", "size", "sid")
     levels = _sketch.classes(profile.where("slice >= 0"))

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import _sketch
 from ._codec import framed, planes, unframed, unplaned
 from ._store import dropped, released, staged, written_bytes
@@ -436,7 +437,7 @@ def _gathered(docs: DataFrame, t: float, n: int):
 def _prepared(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    return spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).where("id IS NOT NULL AND text IS NOT NULL")
 
 
 def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.6, n: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import spread
 from ._store import dropped, new_path, released, staged
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -117,7 +118,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id
                 sink.close()
             released()
 
-    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))  # a NULL would make pandas' integers floats
+    rows = spread(docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text")))  # a NULL would make pandas' integers floats
     index = staged(rows.mapInPandas(encode, "doc_id string, file string, shard int, row long, local long, n_tokens long"), "token-index")
     totals = index.groupBy("shard", "file").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs"))
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)

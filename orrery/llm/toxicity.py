@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import spread
 from ._store import released, staged
 from ._text import words
 
@@ -391,7 +392,7 @@ def score(docs: DataFrame, net: Net | None) -> DataFrame:
             })
         released()
 
-    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
+    rows = spread(docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text"))
     out = rows.mapInPandas(run, "doc_id string, n_windows int, score double, worst_window int")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 

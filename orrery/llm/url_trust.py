@@ -23,6 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from ._store import dropped, staged
 from .ngram_join import sized
 
@@ -105,7 +106,7 @@ def filter_urls(pages: DataFrame, trusted: Sequence[str], blocked: Sequence[str]
     ignored. Hosts are compared in lower case without final dots.
     """
     spark = pages.sparkSession
-    pages = pages.select("page_id", "url", "html")
+    pages = spread(pages.select("page_id", "url", "html"))
     rows = [("trust", h.lower().rstrip(".")) for h in trusted] + [("distrust", h.lower().rstrip(".")) for h in blocked]
     seeds = spark.createDataFrame(sorted(set(rows)), "kind string, host string")
     ranks = propagate(host_edges(pages, seeds), seeds)

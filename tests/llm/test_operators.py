@@ -92,7 +92,7 @@ def test_join_equals_brute_force(spark, monkeypatch, n, t, groups):
 @pytest.mark.parametrize(("frequent", "m"), [(256, 3), (8, 6), (1, 6)])
 def test_similar_sets_share_signatures(frequent, m):
     rng = np.random.default_rng(3)
-    levels = rng.integers(0, 12, 1 << 22).astype(np.uint8)
+    levels = rng.integers(0, 12, ngram_join._sketch.WIDTH).astype(np.uint8)
     for t in (0.5, 0.6, 0.8):
         for _ in range(150):
             size = int(rng.integers(1, 200))
