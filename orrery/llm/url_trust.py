@@ -27,7 +27,7 @@ from ..session import spread
 from ._store import dropped, staged
 from .ngram_join import sized
 
-DAMPING, CUT, REST = 0.85, 4, 1e-9
+DAMPING, CUT, REST = 0.85, 6, 1e-9
 EDGES_PER_PART = 1_000_000
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+)"
 HREF = r"""(?i)<a\s[^>]*href\s*=\s*["']?([^"'\s>]*)"""

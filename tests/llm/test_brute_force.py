@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 import tiktoken
 
-from orrery.llm import _codec, chat_format, decontaminate, langid, line_dedup, mixing, ngram_join, token_files, toxicity
+from orrery.llm import _codec, chat_format, decontaminate, langid, line_dedup, mixing, ngram_join, token_files, toxicity, url_trust
 from tests.llm.test_operators import VOCAB, VOCABULARY, brute_pairs, corpus, docs_of, grams, speak
 
 
@@ -336,3 +336,34 @@ def test_ids_are_those_of_the_uncut_tokenizer(spark, tmp_path, monkeypatch):
     for r in index:
         assert files[r["doc_index"]].tolist() == plain.encode_ordinary(texts[r["doc_id"]])
     assert (out / "other.bin").read_bytes() == b"kept"
+
+
+# -- ties and very long texts
+
+
+def test_ties_go_to_the_first(spark):
+    model = langid.LanguageModel(["a", "b"], langid.codewords(2), np.zeros((langid.WIDTH, 1), np.float32), np.zeros(1, np.float32), np.ones(1))
+    got = langid.identify_texts(model, ["some words"], 0.15, 0.69)
+    assert got["predicted"][0] == "a" and got["gap"][0] == 0 and got["ambiguous"][0]
+    row = toxicity.score(docs_of(spark, [(1, "same " * 200), (1, "same " * 200)]), toxicity.Net(2)).collect()
+    assert [r["worst_window"] for r in row] == [0, 0] and row[0]["score"] == row[1]["score"]
+
+
+def test_a_page_of_many_links(spark):
+    html = "".join(f'<p>text</p><a class="x" href="https://h{i % 5000}.org/{i}">l</a>' for i in range(20_000)) + "x" * 1_000_000 + '<a href="//bad.org">b</a>'
+    pages = spark.createDataFrame([(1, "https://many.org", html), (1, "https://many.org", html), (2, "https://bad.org", "")], "page_id long, url string, html string")
+    got = url_trust.filter_urls(pages, ["many.org"], ["bad.org"]).collect()
+    assert [r["keep"] for r in sorted(got, key=lambda r: r["page_id"])] == [True, True, False]
+    edges = url_trust.host_edges(pages, spark.createDataFrame([("trust", "many.org")], "kind string, host string")).collect()
+    assert len(edges) == 5001 and all(r["n"] == 2 for r in edges)
+
+
+def test_edges_of_a_hub_in_parts(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"https://h{i % 40}.org", f'<a href="https://hub.org">a</a><a href="https://h{(i * 7 + 1) % 40}.org">b</a>') for i in range(120)] + [(500, "https://hub.org", '<a href="https://bad.org">c</a>')], "page_id long, url string, html string")
+
+    def scores():
+        return sorted(tuple(r) for r in url_trust.filter_urls(pages, ["h3.org"], ["bad.org"]).collect())
+
+    whole = scores()
+    monkeypatch.setattr(url_trust, "EDGES_PER_PART", 7)
+    assert scores() == whole and any(r[4] > 0.5 for r in whole)
