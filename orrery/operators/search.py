@@ -61,10 +61,10 @@ def _best(q: np.ndarray, x: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarra
     return i, j, score[i, j]
 
 
-def _few(rows: DataFrame, queries: DataFrame, top: int, schema: str, id_type: pa.DataType) -> DataFrame:
+def _few(rows: DataFrame, queries: list, top: int, schema: str, id_type: pa.DataType) -> DataFrame:
     """At most QUERY_BLOCK queries: sent to the tasks, one scan per vector length."""
     by_size: dict[int, list] = {}
-    for r in queries.collect():
+    for r in queries:
         by_size.setdefault(len(r[1]), []).append((r[0], r[1]))
     found: DataFrame | None = None
     for _, asked in sorted(by_size.items()):
@@ -130,8 +130,8 @@ def batch_topk(entries: DataFrame, queries: DataFrame, top: int = DEFAULT_TOP, *
     asked = queries.select(F.col(qid).alias("key"), F.col(qvec).alias("vec")).where(F.col(qvec).isNotNull())
     if top <= 0:
         found = entries.sparkSession.createDataFrame([], schema)
-    elif asked.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
-        found = _few(rows, asked, top, schema, to_arrow_type(queries.schema[qid].dataType))
+    elif len(few := asked.limit(QUERY_BLOCK + 1).collect()) <= QUERY_BLOCK:
+        found = _few(rows, few, top, schema, to_arrow_type(queries.schema[qid].dataType))
     else:
         found = _many(rows, asked, top, schema, kind, id_kind)
     by = W.partitionBy("query_id").orderBy(F.desc("score"), "key")

@@ -431,6 +431,16 @@ def store_ingest_delete(spark, sf_dir):
     return first.nearest(query).select(F.decode("key", "UTF-8").cast("long").alias("vec_id"), _score())
 
 
+@query("SELECT count(*) AS entries, count(*) FILTER (WHERE vec_id % 2 = 0) AS rejected FROM embeddings")
+def store_insert_new(spark, sf_dir):
+    """Even vectors are there; all are inserted if new."""
+    store = Store(spark, new_path(spark, "store"))
+    rows = _embeddings(spark, sf_dir).select(F.lit("v").alias("collection"), F.encode(F.format_string("%012d", "vec_id"), "UTF-8").alias("key"), F.lit(None).cast("string").alias("content"), "embedding", "vec_id")
+    store.append(rows.where("vec_id % 2 = 0").drop("vec_id"))
+    rejected = store.insert_new(rows.drop("vec_id"))
+    return store.entries().agg(F.count("*").alias("entries")).crossJoin(rejected.agg(F.count("*").alias("rejected")))  # one row each
+
+
 # -- streams and metrics
 
 
