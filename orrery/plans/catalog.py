@@ -217,14 +217,23 @@ def graph_degrees(spark, sf_dir):
     return graph.degree_histogram(graph.undirected(graph.knn_edges(_embeddings(spark, sf_dir), 8, key="vec_id")))
 
 
-@query()
+@query(
+    f"WITH k AS (SELECT query_id AS src, key AS dst FROM ({_ALL}) WHERE query_id <> key QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, key) <= 8), "
+    "u AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM k) "
+    "SELECT vec_id AS key, to_base64(encode(vec_id::VARCHAR)) AS key_base64, count(n) AS degree FROM embeddings LEFT JOIN (SELECT src AS n FROM u UNION ALL SELECT dst FROM u) ON n = vec_id GROUP BY 1"
+)
 def graph_snapshot(spark, sf_dir):
-    return graph.snapshot(_embeddings(spark, sf_dir), 200, key="vec_id")[0]
+    """Of all nodes of a small collection."""
+    return graph.snapshot(_embeddings(spark, sf_dir), graph.NODES, key="vec_id")[0].drop("coords")
 
 
-@query()
+@query("SELECT count(*) AS n, 1.0::DOUBLE AS most_1, 1.0::DOUBLE AS most_2, 1.0::DOUBLE AS most_3, 0.0::DOUBLE AS corr_12, 0.0::DOUBLE AS corr_13, 0.0::DOUBLE AS corr_23 FROM embeddings")
 def pca_projection(spark, sf_dir):
-    return graph.pca(_embeddings(spark, sf_dir), 3, key="vec_id")
+    """Axes are scaled to 1 and uncorrelated."""
+    c = [F.col("coords")[i] for i in range(3)]
+    most = [F.round(F.max(F.abs(c[i])), 6).alias(f"most_{i + 1}") for i in range(3)]
+    corr = [F.abs(F.round(F.corr(c[i], c[j]), 6)).alias(f"corr_{i + 1}{j + 1}") for i, j in ((0, 1), (0, 2), (1, 2))]
+    return graph.pca(_embeddings(spark, sf_dir), 3, key="vec_id").agg(F.count("*").alias("n"), *most, *corr)
 
 
 # -- filters
