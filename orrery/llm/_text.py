@@ -146,22 +146,40 @@ def set_ids(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(mix(grams ^ _K), starts) + sizes.astype(np.uint64) * _M).view(np.int64)
 
 
-def overlaps(grams: np.ndarray, starts: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the sets ``a[i]`` and ``b[i]``; ``a`` is sorted."""
-    uniq, dense = np.unique(grams, return_inverse=True)
-    mark = np.zeros(len(uniq), bool)
+def numbered(blocks: list[np.ndarray]) -> tuple[np.ndarray, int]:
+    """Blocks of hashes, emptied, as one array of numbers from 0, and how many there are."""
+    names = np.zeros(0, np.uint64)
+    for block in blocks:
+        names = np.union1d(names, block)
+    out = np.empty(sum(map(len, blocks)), np.int32)
+    end = len(out)
+    while blocks:
+        block = blocks.pop()
+        out[end - len(block) : end] = np.searchsorted(names, block)
+        end -= len(block)
+    return out, len(names)
+
+
+def overlaps(tokens: np.ndarray, distinct: int, starts: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, most: int = 1_000_000) -> np.ndarray:
+    """Sizes of the intersections of the sets ``a[i]`` and ``b[i]`` of ``numbered`` tokens; ``a``
+    is sorted. About ``most`` tokens are looked at a time."""
+    mark = np.zeros(distinct, bool)
     out = np.zeros(len(a), np.int64)
     if not len(a):
         return out
     cuts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1], [True])))
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        own = dense[starts[a[lo]] : starts[a[lo]] + sizes[a[lo]]]
+        own = tokens[starts[a[lo]] : starts[a[lo]] + sizes[a[lo]]]
         mark[own] = True
-        for p in range(lo, hi, 4096):
-            other = b[p : min(hi, p + 4096)]
+        total = np.cumsum(sizes[b[lo:hi]])
+        p = 0
+        while p < hi - lo:
+            q = max(p + 1, int(np.searchsorted(total, (total[p - 1] if p else 0) + most, "right")))
+            other = b[lo + p : lo + q]
             n = sizes[other]
             ends = np.cumsum(n)
-            hit = mark[dense[np.repeat(starts[other] - (ends - n), n) + np.arange(ends[-1])]]
-            out[p : p + len(other)] = np.add.reduceat(hit, ends - n, dtype=np.int64)
+            hit = mark[tokens[np.repeat(starts[other] - (ends - n), n) + np.arange(ends[-1])]]
+            out[lo + p : lo + q] = np.add.reduceat(hit, ends - n, dtype=np.int64)
+            p = q
         mark[own] = False
     return out

@@ -23,7 +23,10 @@ from ..session import spread
 from . import _sketch
 from ._store import dropped, staged
 from ._text import gram_blocks, set_ids
-from .ngram_join import PER_BUCKET, candidate_pairs, placed_pairs, sized, verify
+from .ngram_join import candidate_pairs, placed_pairs, sized, verify
+
+
+PER_BUCKET = 1_000_000
 
 
 def line_sets(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -80,7 +83,7 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_i
     levels = _sketch.classes(profile.where("slice >= 0"))
     firsts = staged(lines.groupBy("sid").agg(F.min(F.struct("id", "line")).alias("f"), F.max("size").alias("size"), F.count("*").alias("n")), "line-firsts")
     prefixes = int(firsts.agg(F.sum(F.ceil(F.col("size") * (1 - t)) + 1)).first()[0] or 0)
-    pairs = candidate_pairs(docs, line_sets, t, levels, 256, prefixes, 1, bits=True, per_bucket=PER_BUCKET // 2)
+    pairs = candidate_pairs(docs, line_sets, t, levels, 256, prefixes, 1, bits=True, per_bucket=PER_BUCKET)
     placed = placed_pairs(pairs)
     members = placed.select("slot", F.col("a").alias("sid")).union(placed.select("slot", "b")).distinct()
     wanted = members.join(firsts, "sid").groupBy(F.col("f.id").alias("id")).agg(F.collect_list(F.struct("slot", "sid", F.col("f.line").alias("line"))).alias("wanted"))

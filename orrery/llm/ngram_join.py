@@ -41,12 +41,12 @@ from ..session import spread
 from . import _sketch
 from ._codec import framed, planes, unframed, unplaned
 from ._store import dropped, released, staged, written_bytes
-from ._text import gram_blocks, mix, overlaps, set_ids
+from ._text import gram_blocks, mix, numbered, overlaps, set_ids
 
 GROUPS = 8
 SHARED_GRAMS = 6
 FOLDED = 64  # tokens of a set whose parities take one word
-PER_BUCKET, PER_FLUSH = 2_000_000, 800_000
+PER_BUCKET, PER_FLUSH = 1_500_000, 800_000
 PAIRS_PER_SLICE = 1_500_000
 PAIRS_PER_SLOT = 200_000
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
@@ -214,8 +214,8 @@ def _candidates(t: float, m: int, frequent: int, reducers: int, bits: bool):
             high[size > FOLDED] = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["high"]])
         size = size[first]
         order = np.argsort(size, kind="stable")  # ranks of sets go by size
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         size = size[order]
         if bits:
             low, high = low[first][order], high[first][order]
@@ -224,16 +224,19 @@ def _candidates(t: float, m: int, frequent: int, reducers: int, bits: bool):
         h = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["h"]])
         p = np.concatenate([unplaned(x).astype(np.int32) for x in pdf["p"]])
         del sids, doc, first, rank
-        key = (h.astype(np.uint64) << np.uint64(32)) | d.astype(np.uint64)
-        at = np.argsort(key)
+        key = h.astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= d.view(np.uint32)
+        del h, d
+        at = np.argsort(key).astype(np.int32)
         key, p = key[at], p[at]
-        del h, d, at
+        del at
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]  # equal sets are one entry
         key, p = key[new], p[new]
         d = (key & np.uint64(0xFFFFFFFF)).astype(np.int32)
         most = np.searchsorted(size, np.floor(size / t + 1e-6), "right").astype(np.uint64)  # first rank too large for each
-        end = np.searchsorted(key, (key & np.uint64(0xFFFFFFFF00000000)) + most[d])
+        end = np.searchsorted(key, (key & np.uint64(0xFFFFFFFF00000000)) + most[d]).astype(np.int32)
         small = _small(t, m, frequent)
         found, held, seen, times = [], 0, np.empty(0, np.uint64), np.empty(0, np.int64)
         del key, new, most
@@ -242,7 +245,7 @@ def _candidates(t: float, m: int, frequent: int, reducers: int, bits: bool):
             key, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
             return added(np.concatenate([seen, key]), np.concatenate([times, n]))
 
-        for i, j in _near(np.arange(1, len(d) + 1), end):
+        for i, j in _near(np.arange(1, len(d) + 1, dtype=np.int32), end):
             a, b = d[i], d[j]
             if bits:
                 apart = (size[a] + size[b]) * ((1 - t) / (1 + t)) + _EPS  # tokens that only one of two similar sets has
@@ -344,7 +347,7 @@ def verify(pairs: pd.DataFrame, sets: pd.DataFrame, blocks, t: float) -> pd.Data
     empty = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "jaccard": np.zeros(0)})
     if not len(pairs) or not sids:
         return empty
-    tokens, sizes, sids = np.concatenate(tokens), np.concatenate(sizes), np.concatenate(sids)
+    (tokens, distinct), sizes, sids = numbered(tokens), np.concatenate(sizes), np.concatenate(sids)
     starts = np.cumsum(sizes) - sizes
     uniq, at = np.unique(sids, return_index=True)
     starts, sizes = starts[at], sizes[at]
@@ -352,9 +355,11 @@ def verify(pairs: pd.DataFrame, sets: pd.DataFrame, blocks, t: float) -> pd.Data
     order = np.argsort(a, kind="stable")
     a, b = a[order], b[order]
     ia, ib = np.searchsorted(uniq, a), np.searchsorted(uniq, b)
-    both = overlaps(tokens, starts, sizes, ia, ib)
+    both = overlaps(tokens, distinct, starts, sizes, ia, ib)
     j = both / (sizes[ia] + sizes[ib] - both)
     ok = j >= t - _EPS
+    del tokens
+    released()
     return pd.DataFrame({"a": a[ok], "b": b[ok], "jaccard": j[ok]})
 
 

@@ -66,7 +66,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents"))
+    return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copies", "links")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +126,7 @@ near AS (
   SELECT rep AS x, rep AS root FROM reps UNION SELECT near.y, reach.root FROM reach JOIN near ON near.x = reach.x
 ), cl AS (SELECT x, min(root) AS root FROM reach GROUP BY x),
 deg AS (SELECT x, count(*) AS links FROM near GROUP BY x)
-SELECT d.doc_id, coalesce(cl.root, d.doc_id) AS class_id, coalesce(r.rep, d.doc_id) AS copy_of, coalesce(r.copies, 0) AS copies, coalesce(deg.links, 0) AS links
+SELECT d.doc_id, coalesce(cl.root, d.doc_id) AS class_id, coalesce(r.copies, 0) AS copies, coalesce(deg.links, 0) AS links
 FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN reps r ON r.grams = g.grams LEFT JOIN cl ON cl.x = r.rep LEFT JOIN deg ON deg.x = r.rep
 """
 
