@@ -24,6 +24,13 @@ pair. Pairs are verified where their group's candidates meet, in slices of bound
 pair count, so a set is shipped once per slice and not once per pair. Equal sets are
 one entry everywhere. ``jaccard_classes`` reports a row per document: a slice sends
 on a count of links per set and a spanning forest, never its pairs.
+
+Large groups of near copies share hundreds of signatures a pair, so they are kept out of
+the index. A *pivot* is a set of a crowded min-hash key; the sets at least
+``reach`` similar to it are its *ball*. As 1 - Jaccard is a metric, whatever is similar to one of
+the ball has Jaccard >= reach + t - 1 with the pivot. One map finds all such sets,
+and each of the ball is compared with all of them, in pairs of blocks of bounded size. This is
+exact whatever the pivots are: those that none is chosen for stay in the index.
 """
 
 from __future__ import annotations
@@ -50,6 +57,9 @@ PER_BUCKET, PER_FLUSH = 1_500_000, 800_000
 PAIRS_PER_SLICE = 1_500_000
 PAIRS_PER_SLOT = 200_000
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
+CROWD = 256  # different sets of one min-hash key that make a pivot
+PIVOTS, PIVOT_TOKENS = 256, 2_000_000  # at most, and tokens of all of them
+BLOCK_SETS, BLOCK_TOKENS = 1_000, 500_000
 _EPS = 1e-9
 
 
@@ -113,13 +123,104 @@ def _profile(n: int):
             for first, last, grams, sizes in gram_blocks(pdf["text"].tolist(), n):
                 counts.add(grams)
                 own = np.flatnonzero(sizes)
-                yield pd.DataFrame({"id": ids[first:last][own], "size": sizes[own].astype(np.int32), "sid": set_ids(grams, sizes[own]), "slice": -1, "blob": None})
+                yield pd.DataFrame({"id": ids[first:last][own], "size": sizes[own].astype(np.int32), "sid": set_ids(grams, sizes[own]), "key": min_keys(grams, sizes[own]), "slice": -1, "blob": None})
         rows = list(counts.rows())
-        yield pd.DataFrame({"id": 0, "size": 0, "sid": 0, "slice": [r[0] for r in rows], "blob": [r[1] for r in rows]})
+        yield pd.DataFrame({"id": 0, "size": 0, "sid": 0, "key": 0, "slice": [r[0] for r in rows], "blob": [r[1] for r in rows]})
+
+    return run
+
+
+def min_keys(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A number of each set of at least one token that similar sets often share: of three min-hashes."""
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros(len(sizes), np.uint64)
+    for k in (1, 2, 3):
+        least = np.minimum.reduceat(mix(tokens + np.uint64(k)), starts) if len(starts) else out
+        out = mix(out * np.uint64(3) + least)
+    return out.view(np.int64)
+
+
+class Pivots:
+    """Sets that all others are compared with, by an inverted list of their tokens."""
+
+    def __init__(self, sets: list[np.ndarray], t: float) -> None:
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        self.reach = max(t, 1.2 - t)  # so that sets without a token in common are never in question
+        self.around = self.reach + t - 1
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        at = np.argsort(tokens, kind="stable")
+        self.names, first = np.unique(tokens[at], return_index=True)
+        self.ends, self.owner = np.append(first, len(at)), owner[at]
+        self.mark = np.zeros(1 << 20, bool)
+        self.mark[self.names >> np.uint64(44)] = True
+
+    def shared(self, tokens: np.ndarray, sizes: np.ndarray, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the set, pivot, tokens in common), ordered, of all that have one."""
+        hit = np.flatnonzero(self.mark[tokens >> np.uint64(44)])
+        at = np.minimum(np.searchsorted(self.names, tokens[hit]), len(self.names) - 1)
+        ok = self.names[at] == tokens[hit]
+        at, own = at[ok], np.searchsorted(np.cumsum(sizes), hit[ok], "right")
+        n = self.ends[at + 1] - self.ends[at]
+        total = np.cumsum(n)
+        keys, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        a = 0
+        while a < len(n):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
+            own_n = n[a:b]
+            pivot = self.owner[np.repeat(self.ends[at[a:b]] - (np.cumsum(own_n) - own_n), own_n) + np.arange(own_n.sum())]
+            key, count = np.unique(np.repeat(own[a:b], own_n) * len(self.sizes) + pivot, return_counts=True)
+            keys.append(key)
+            times.append(count)
+            a = b
+        key, count = added(np.concatenate(keys), np.concatenate(times))
+        return key // len(self.sizes), key % len(self.sizes), count
+
+    def around_of(self, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ball of each set or the number of pivots; number of the set and pivot of all pairs in question)."""
+        i, pivot, both = self.shared(tokens, sizes)
+        j = both / (sizes[i] + self.sizes[pivot] - both)
+        ball = np.full(len(sizes), len(self.sizes))
+        inside = j >= self.reach - _EPS
+        np.minimum.at(ball, i[inside], pivot[inside])
+        near = j >= self.around - 1e-6
+        return ball, i[near], pivot[near]
+
+
+def _balls(n: int, shared):
+    """(pivot, sid, size, own): the sets in question for each pivot's ball, ``own`` those in it. Pairs of two balls are those of the first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivots = shared.value
+        for pdf in batches:
+            for tokens, sizes in _gram_sets(n)(pdf["text"].tolist()):
+                if len(sizes):
+                    ball, i, pivot = pivots.around_of(tokens, sizes)
+                    ok = pivot <= ball[i]
+                    i, pivot = i[ok], pivot[ok]
+                    yield pd.DataFrame({"pivot": pivot.astype(np.int32), "sid": set_ids(tokens, sizes)[i], "size": sizes[i].astype(np.int32), "own": ball[i] == pivot})
 
     return run
 
 
+def _found_pivots(docs: DataFrame, reps: DataFrame, t: float, n: int) -> Pivots | None:
+    """Of each crowded min-hash key the set that most documents have."""
+    keys = reps.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("copies")).alias("c"), "sid", "rep", "size")).alias("p"))
+    rows = keys.where(F.col("n") >= CROWD).orderBy(F.desc("n"), "key").limit(PIVOTS).select("p.sid", "p.rep", "p.size").collect()
+    total, kept = 0, {}
+    for r in rows:
+        if total + r["size"] <= PIVOT_TOKENS:
+            total += r["size"]
+            kept[r["sid"]] = r["rep"]
+    if not kept:
+        return None
+    found = {}
+    for (text,) in docs.where(F.col("id").isin(list(kept.values()))).select("text").toLocalIterator():
+        for _, _, grams, sizes in gram_blocks([text], n):
+            if sizes[0] and (sid := int(set_ids(grams, sizes)[0])) in kept:
+                found[sid] = grams
+    return Pivots([found[s] for s in kept if s in found], t)
+
+
 def parities(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two words of each set: the parities of its tokens in 128 hashed cells. Sets of at most
     FOLDED tokens have the xor of both in the first. Cells that differ between two
@@ -331,9 +432,8 @@ def _merged(m: int):
     return run
 
 
-def verify(pairs: pd.DataFrame, sets: pd.DataFrame, blocks, t: float) -> pd.DataFrame:
-    """The (a, b, jaccard) of ``pairs`` with Jaccard >= ``t``; ``sets`` has sid and
-    text, ``blocks(texts)`` gives (first, last + 1, tokens, sizes) with a set per text."""
+def _tokens(sets: pd.DataFrame, blocks) -> tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]:
+    """``numbered`` tokens of ``sets``, how many, and the start, size and sid of each different set, by sid."""
     wanted = sets["sid"].to_numpy()
     tokens, sizes, sids = [], [], []
     for first, last, grams, n in blocks(sets["text"].tolist()):
@@ -344,23 +444,52 @@ def verify(pairs: pd.DataFrame, sets: pd.DataFrame, blocks, t: float) -> pd.Data
         tokens.append(grams[np.repeat(right, n)])
         sizes.append(n[right])
         sids.append(sid[right])
-    empty = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "jaccard": np.zeros(0)})
-    if not len(pairs) or not sids:
-        return empty
     (tokens, distinct), sizes, sids = numbered(tokens), np.concatenate(sizes), np.concatenate(sids)
     starts = np.cumsum(sizes) - sizes
     uniq, at = np.unique(sids, return_index=True)
-    starts, sizes = starts[at], sizes[at]
+    return tokens, distinct, starts[at], sizes[at], uniq
+
+
+def verify(pairs: pd.DataFrame, sets: pd.DataFrame, blocks, t: float) -> pd.DataFrame:
+    """The (a, b, jaccard) of ``pairs`` with Jaccard >= ``t``; ``sets`` has sid and
+    text, ``blocks(texts)`` gives (first, last + 1, tokens, sizes) with a set per text."""
+    if not len(pairs) or not len(sets):
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "jaccard": np.zeros(0)})
+    tokens, distinct, starts, sizes, uniq = _tokens(sets, blocks)
     a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
     order = np.argsort(a, kind="stable")
-    a, b = a[order], b[order]
-    ia, ib = np.searchsorted(uniq, a), np.searchsorted(uniq, b)
+    ia, ib = np.searchsorted(uniq, a[order]), np.searchsorted(uniq, b[order])
+    return _similar(tokens, distinct, starts, sizes, uniq, ia, ib, t)
+
+
+def _similar(tokens: np.ndarray, distinct: int, starts: np.ndarray, sizes: np.ndarray, uniq: np.ndarray, ia: np.ndarray, ib: np.ndarray, t: float) -> pd.DataFrame:
     both = overlaps(tokens, distinct, starts, sizes, ia, ib)
     j = both / (sizes[ia] + sizes[ib] - both)
     ok = j >= t - _EPS
-    del tokens
+    out = pd.DataFrame({"a": uniq[ia[ok]], "b": uniq[ib[ok]], "jaccard": j[ok]})
+    del tokens, both, j, ok
     released()
-    return pd.DataFrame({"a": a[ok], "b": b[ok], "jaccard": j[ok]})
+    return out
+
+
+def _block_pairs(n: int, t: float):
+    """Sets of two blocks (``block`` and ``other`` of each; of one, if these are equal) -> their similar pairs with one in the ball at least."""
+
+    def run(sets: pd.DataFrame) -> pd.DataFrame:
+        tokens, distinct, starts, sizes, uniq = _tokens(sets, lambda texts: gram_blocks(texts, n))
+        names, first = np.unique(sets["sid"].to_numpy(), return_index=True)
+        at = first[np.searchsorted(names, uniq)]
+        own, block = sets["own"].to_numpy()[at].astype(bool), sets["block"].to_numpy()[at]
+        if sets["block"].iloc[0] == sets["other"].iloc[0]:
+            ia, ib = np.triu_indices(len(uniq), 1)
+        else:
+            first = min(sets["block"].iloc[0], sets["other"].iloc[0])
+            low, high = np.flatnonzero(block == first), np.flatnonzero(block > first)
+            ia, ib = np.repeat(low, len(high)), np.tile(high, len(low))
+        ok = own[ia] | own[ib]
+        return _similar(tokens, distinct, starts, sizes, uniq, ia[ok], ib[ok], t)
+
+    return run
 
 
 def _verify(n: int, t: float):
@@ -382,14 +511,16 @@ def linked(found: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sid": names, "links": np.bincount(ranks, minlength=len(names)), "root": names[root]})
 
 
-def _linked(n: int, t: float):
-    return lambda pairs, sets: linked(_verify(n, t)(pairs, sets))
-
+def _gram_sets(n: int, shared=None):
+    """The sets of texts, without those in a ball of the ``shared`` pivots."""
 
-def _gram_sets(n: int):
     def sets(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for _, _, grams, sizes in gram_blocks(texts, n):
-            yield grams, sizes[sizes > 0]
+            sizes = sizes[sizes > 0]
+            if shared is not None and len(sizes):
+                out = shared.value.around_of(grams, sizes)[0] == len(shared.value.sizes)
+                grams, sizes = grams[np.repeat(out, sizes)], sizes[out]
+            yield grams, sizes
 
     return sets
 
@@ -420,23 +551,51 @@ def placed_pairs(pairs: DataFrame) -> DataFrame:
     return staged(placed.select("a", "b", F.pmod(F.xxhash64("g", F.pmod(F.xxhash64("a"), slices)), F.lit(slots)).cast("int").alias("slot")), "placed")
 
 
-def _gathered(docs: DataFrame, t: float, n: int):
-    """(id, size, sid of each document; smallest id of each sid; pairs to verify by slot; texts of their sets by slot; tables to drop)"""
-    profile = staged(docs.mapInPandas(_profile(n), "id long, size int, sid long, slice int, blob binary"), "jaccard-profile")
-    known = staged(profile.where("slice < 0").select("id", "size", "sid").distinct(), "jaccard-known")
+def _ball_sets(docs: DataFrame, reps: DataFrame, shared, n: int) -> tuple[DataFrame, DataFrame]:
+    """(slot, sid, text, own, block, other): texts of the sets to compare for the balls, each slot two blocks of a ball; table to drop"""
+    balls = staged(docs.select("text").mapInPandas(_balls(n, shared), "pivot int, sid long, size int, own boolean").distinct(), "jaccard-balls")
+    rows = balls.groupBy("pivot").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"), F.sum(F.col("own").cast("long")).alias("own")).where("own > 0").orderBy("pivot").collect()
+    base, numbers = 0, []
+    for r in rows:
+        blocks = max(-(-r["n"] // BLOCK_SETS), -(-r["tokens"] // BLOCK_TOKENS))
+        numbers.append((r["pivot"], base, blocks))
+        base += blocks * blocks
+    plan = docs.sparkSession.createDataFrame(numbers, "pivot int, base long, blocks long")
+    wanted = balls.join(F.broadcast(plan), "pivot").join(reps.select("sid", F.col("rep").alias("id")), "sid")
+    wanted = staged(wanted.select("id", "sid", "own", "base", "blocks", F.pmod(F.xxhash64("sid"), F.col("blocks")).alias("block")), "jaccard-wanted")
+    dropped(balls)
+    each = docs.join(sized(wanted), "id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    slot = F.col("base") + F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
+    return each.select(slot.alias("slot"), "sid", "text", "own", "block", "other"), wanted
+
+
+def _gathered(docs: DataFrame, t: float, n: int, result, schema: str):
+    """(id, size, sid of each document; smallest id of each sid; ``result`` of the similar pairs of each slot; tables to drop)"""
+    spark = docs.sparkSession
+    profile = staged(docs.mapInPandas(_profile(n), "id long, size int, sid long, key long, slice int, blob binary"), "jaccard-profile")
+    known = staged(profile.where("slice < 0").select("id", "size", "sid", "key").distinct(), "jaccard-known")
     totals = known.agg(F.sum("size"), F.sum(F.ceil(F.col("size") * (1 - t)) + SHARED_GRAMS)).first()
     grams, prefixes = (int(x or 0) for x in totals)
     levels = _sketch.classes(profile.where("slice >= 0"))
     dropped(profile)
-    reps = staged(known.groupBy("sid").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "jaccard-reps")
+    reps = staged(known.groupBy("sid").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("key").alias("key")), "jaccard-reps")
     frequent = int(round(2 * math.log2(4 * grams / _sketch.WIDTH + 1024)))
-    pairs = candidate_pairs(docs, _gram_sets(n), t, levels, frequent, prefixes, SHARED_GRAMS)
+    pivots = _found_pivots(docs, reps, t, n)
+    shared = spark.sparkContext.broadcast(pivots) if pivots else None
+    pairs = candidate_pairs(docs, _gram_sets(n, shared), t, levels, frequent, prefixes, SHARED_GRAMS)
     placed = placed_pairs(pairs)
     dropped(pairs)
     members = placed.select("slot", F.col("a").alias("sid")).union(placed.select("slot", "b")).distinct()
     members = staged(members.join(reps, "sid").select("sid", "slot", F.col("rep").alias("id")), "jaccard-members")
     sets = docs.join(sized(members), "id").select("slot", "sid", "text")
-    return known, reps, placed, sets, (known, reps, placed, members)
+    found = placed.groupBy("slot").cogroup(sets.groupBy("slot")).applyInPandas(lambda pairs, sets: result(_verify(n, t)(pairs, sets)), schema)
+    held = [known, reps, placed, members]
+    if pivots:
+        near, wanted = _ball_sets(docs, reps, shared, n)
+        compared = _block_pairs(n, t)
+        found = found.union(near.groupBy("slot").applyInPandas(lambda sets: result(compared(sets)), schema))
+        held.append(wanted)
+    return known.select("id", "size", "sid"), reps.select("sid", "rep", "copies"), found, held
 
 
 def _prepared(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
@@ -457,8 +616,7 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.6, n: int = 2, id_c
     ``threshold`` lies in (0, 1]. Sets are told apart by 64-bit hashes.
     """
     t = float(threshold)
-    known, reps, placed, sets, held = _gathered(_prepared(docs, t, id_col, text_col), t, n)
-    checked = placed.groupBy("slot").cogroup(sets.groupBy("slot")).applyInPandas(_verify(n, t), "a long, b long, jaccard double")
+    known, reps, checked, held = _gathered(_prepared(docs, t, id_col, text_col), t, n, lambda found: found, "a long, b long, jaccard double")
     ra, rb = reps.select(F.col("sid").alias("a"), F.col("rep").alias("ra")), reps.select(F.col("sid").alias("b"), F.col("rep").alias("rb"))
     near = checked.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("doc_id_a"), F.greatest("ra", "rb").alias("doc_id_b"), "jaccard")
     same = known.join(reps, "sid").where("id <> rep").select(F.col("rep").alias("doc_id_a"), F.col("id").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
@@ -480,8 +638,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.6, n: int = 2, id_col:
     their sum. An empty table gives no rows; other columns are ignored.
     """
     t = float(threshold)
-    known, reps, placed, sets, held = _gathered(_prepared(docs, t, id_col, text_col), t, n)
-    found = placed.groupBy("slot").cogroup(sets.groupBy("slot")).applyInPandas(_linked(n, t), "sid long, links long, root long")
+    known, reps, found, held = _gathered(_prepared(docs, t, id_col, text_col), t, n, linked, "sid long, links long, root long")
     found = staged(found, "jaccard-links")
     rep = reps.select("sid", "rep")
     edges = found.where("sid <> root").select("sid", "root").distinct()

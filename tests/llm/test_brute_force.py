@@ -76,6 +76,31 @@ def test_no_link_of_a_large_group_is_lost(spark):
     assert pairs == set(brute_pairs(rows, 2, 0.6))
 
 
+@pytest.mark.parametrize("t", [0.4, 0.6, 0.8])
+def test_crowds_of_near_copies_are_compared_without_an_index(spark, monkeypatch, t):
+    for name, value in (("CROWD", 12), ("BLOCK_SETS", 25), ("BLOCK_TOKENS", 2000)):
+        monkeypatch.setattr(ngram_join, name, value, raising=False)
+    sizes, placed = [], ngram_join.placed_pairs
+    monkeypatch.setattr(ngram_join, "placed_pairs", lambda pairs: sizes.append(pairs.count()) or placed(pairs))
+    rng = random.Random(9)
+    rows = list(corpus())
+    for k, edits in enumerate((8, 30, 45)):  # the last of them are near some of the others only
+        base = [f"c{k}w{i}" for i in range(100)]
+        for _ in range(90):
+            ws = list(base)
+            for j in rng.sample(range(100), rng.randint(0, edits)):
+                ws[j] = f"x{rng.randrange(10**6)}"
+            rows.append((1000 + len(rows), " ".join(ws)))
+    rows += [(5000 + i, x) for i, (_, x) in enumerate(rows[-60:-50])]
+    got = {r["doc_id"]: (r["class_id"], r["copy_of"], r["copies"], r["links"]) for r in ngram_join.jaccard_classes(docs_of(spark, rows), t).collect()}
+    want = classes_of(rows, 2, t)
+    assert got == want
+    if t >= 0.6:  # else balls are smaller than what is similar
+        assert sizes[0] < sum(x[3] for x in want.values()) / 4  # half the links at least, were all pairs met in the index
+    pairs = {(r[0], r[1]) for r in ngram_join.ngram_jaccard_join(docs_of(spark, rows), t).collect()}
+    assert pairs == set(brute_pairs(rows, 2, t))
+
+
 def test_no_pairs_have_no_links():
     assert ngram_join.linked(pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "jaccard": []})).empty
 
