@@ -54,6 +54,7 @@ GROUPS = 8
 SHARED_GRAMS = 6
 FOLDED = 64  # tokens of a set whose parities take one word
 PER_BUCKET, PER_FLUSH = 1_500_000, 800_000
+PAIRS_AT_ONCE = 2_000_000  # of a bucket or a reducer, in memory
 PAIRS_PER_SLICE = 1_500_000
 PAIRS_PER_SLOT = 200_000
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
@@ -298,14 +299,20 @@ def _near(first: np.ndarray, end: np.ndarray, most: int = 500_000) -> Iterator[t
 
 
 def _candidates(t: float, m: int, frequent: int, reducers: int, bits: bool):
-    """A bucket's blobs -> per reducer the pairs that share a signature here and how many.
+    """A bucket's blobs -> per reducer the pairs that share a signature here and how many,
+    PAIRS_AT_ONCE or so at a time. A pair goes to the reducer of its first set by size and number.
 
     Pairs of one signature are formed within the bounds of size only. Where one
     shared signature suffices (m = 1), the positions are taken for those of the first
     common token, at which no earlier one adds to the overlap.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    most_pairs = PAIRS_AT_ONCE
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches) or [pd.DataFrame({"sids": []})])
+        if not len(pdf):
+            return
         sids = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["sids"]])
         names, first, doc = np.unique(sids, return_index=True, return_inverse=True)
         size = np.concatenate([unplaned(x) for x in pdf["sizes"]]).astype(np.int32)
@@ -324,7 +331,8 @@ def _candidates(t: float, m: int, frequent: int, reducers: int, bits: bool):
         d = np.repeat(rank[doc], np.concatenate([unplaned(x) for x in pdf["n"]]))
         h = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["h"]])
         p = np.concatenate([unplaned(x).astype(np.int32) for x in pdf["p"]])
-        del sids, doc, first, rank
+        names = names[order]
+        del sids, doc, first, rank, order, pdf
         key = h.astype(np.uint64)
         key <<= np.uint64(32)
         key |= d.view(np.uint32)
@@ -339,47 +347,55 @@ def _candidates(t: float, m: int, frequent: int, reducers: int, bits: bool):
         most = np.searchsorted(size, np.floor(size / t + 1e-6), "right").astype(np.uint64)  # first rank too large for each
         end = np.searchsorted(key, (key & np.uint64(0xFFFFFFFF00000000)) + most[d]).astype(np.int32)
         small = _small(t, m, frequent)
-        found, held, seen, times = [], 0, np.empty(0, np.uint64), np.empty(0, np.int64)
         del key, new, most
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            key, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            return added(np.concatenate([seen, key]), np.concatenate([times, n]))
-
-        for i, j in _near(np.arange(1, len(d) + 1, dtype=np.int32), end):
-            a, b = d[i], d[j]
-            if bits:
-                apart = (size[a] + size[b]) * ((1 - t) / (1 + t)) + _EPS  # tokens that only one of two similar sets has
-                ok = np.bitwise_count(fold[a] ^ fold[b]) <= apart
-                i, j, a, b, apart = i[ok], j[ok], a[ok], b[ok], apart[ok]
-                ok = (size[a] <= FOLDED) | (np.bitwise_count(low[a] ^ low[b]) + np.bitwise_count(high[a] ^ high[b]) <= apart)
-                i, j, a, b = i[ok], j[ok], a[ok], b[ok]
-            sa, sb = size[a], size[b]
-            need = np.ceil(t / (1 + t) * (sa + sb) - _EPS)
-            pi, pj = p[i], p[j]
-            ok = (np.minimum(pi, pj) if m > 1 else 0) + np.minimum(sa - pi, sb - pj) >= need
-            a, b = a[ok], b[ok]
-            found.append((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64))
-            held += len(a)
-            if held > max(1_000_000, len(seen)):
-                seen, times = merged()
-                found, held = [], 0
-        seen, times = merged()
-        found.clear()
-        ia, ib = (seen >> np.uint64(32)).astype(np.int64), (seen & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        times[size[ia] < small] = m
-        ia, ib = order[ia], order[ib]
-        ia, ib = np.minimum(ia, ib), np.maximum(ia, ib)
-        to = (mix(names.view(np.uint64)) % np.uint64(reducers)).astype(np.int64)[ia]
-        at = np.lexsort((ib, ia, to))
-        ends = np.searchsorted(to[at], np.arange(reducers + 1))
-        out = []
-        for r in np.flatnonzero(np.diff(ends)).tolist():
-            own = at[ends[r] : ends[r + 1]]
-            out.append((r, pair_blob(names, ia[own], ib[own], np.minimum(times[own], m))))
-        del seen, times, ia, ib, to, at
-        released()
-        return pd.DataFrame(out, columns=["reducer", "blob"])
+        # by reducer and first set, so that what is emitted at a time has all pairs of its first sets
+        to = (mix(names.view(np.uint64)) % np.uint64(reducers)).astype(np.int64)
+        by = np.argsort(to[d] * len(size) + d, kind="stable").astype(np.int32)
+        total = np.cumsum(np.maximum(0, end[by].astype(np.int64) - by - 1))
+        lasts = np.flatnonzero(np.append(d[by][1:] != d[by][:-1], True)) + 1  # where the entries of a set end
+        lo = 0
+        while lo < len(by):
+            fits = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most_pairs, "right"))
+            k = max(int(np.searchsorted(lasts, fits, "right")) - 1, int(np.searchsorted(lasts, lo, "right")))
+            own, lo = by[lo : lasts[k]], int(lasts[k])
+            found, held, seen, times = [], 0, np.empty(0, np.uint64), np.empty(0, np.int64)
+
+            def merged() -> tuple[np.ndarray, np.ndarray]:
+                key, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+                return added(np.concatenate([seen, key]), np.concatenate([times, n])) if len(seen) else (key, n)
+
+            for i, j in _near(own + 1, end[own]):
+                i = own[i]
+                a, b = d[i], d[j]
+                if bits:
+                    apart = (size[a] + size[b]) * ((1 - t) / (1 + t)) + _EPS  # tokens that only one of two similar sets has
+                    ok = np.bitwise_count(fold[a] ^ fold[b]) <= apart
+                    i, j, a, b, apart = i[ok], j[ok], a[ok], b[ok], apart[ok]
+                    ok = (size[a] <= FOLDED) | (np.bitwise_count(low[a] ^ low[b]) + np.bitwise_count(high[a] ^ high[b]) <= apart)
+                    i, j, a, b = i[ok], j[ok], a[ok], b[ok]
+                sa, sb = size[a], size[b]
+                need = np.ceil(t / (1 + t) * (sa + sb) - _EPS)
+                pi, pj = p[i], p[j]
+                ok = (np.minimum(pi, pj) if m > 1 else 0) + np.minimum(sa - pi, sb - pj) >= need
+                a, b = a[ok], b[ok]
+                found.append((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64))
+                held += len(a)
+                if held > max(1_000_000, len(seen)):
+                    seen, times = merged()
+                    found, held = [], 0
+            seen, times = merged()
+            ia, ib = (seen >> np.uint64(32)).astype(np.int64), (seen & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            times[size[ia] < small] = m
+            at = np.argsort(to[ia], kind="stable")
+            cuts = np.flatnonzero(np.diff(to[ia[at]], prepend=-1, append=-1))
+            out = []
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                one = at[x:y]
+                out.append((int(to[ia[one[0]]]), len(one), pair_blob(names, ia[one], ib[one], np.minimum(times[one], m))))
+            del found, seen, times, ia, ib, at
+            if out:
+                yield pd.DataFrame(out, columns=["reducer", "pairs", "blob"])
+            released()
 
     return run
 
@@ -395,7 +411,7 @@ def added(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pair_blob(names: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> bytes:
-    """Pairs of numbers a < b of sorted ``names``, ordered by (a, b): a table of the names in use and runs of ranks in it."""
+    """Pairs of numbers a < b of ``names``, ordered by (a, b): a table of the names in use and runs of ranks in it."""
     used = np.unique(np.concatenate([a, b]))
     a, b = np.searchsorted(used, a), np.searchsorted(used, b)
     first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
@@ -404,30 +420,41 @@ def pair_blob(names: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) ->
     return framed([names[used].tobytes(), planes(np.diff(a[first], prepend=0)), planes(np.diff(np.append(first, len(a)))), planes(b - before), planes(n)])
 
 
-def blob_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(names of a, names of b, n) of a ``pair_blob``."""
+def blob_pairs(blob: bytes, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names of a, names of b, n) of a ``pair_blob``, of those a that are in one of ``parts`` by hash."""
     names, a, runs, gaps, n = unframed(blob)
     names, runs, gaps = np.frombuffer(names, np.int64), unplaned(runs), unplaned(gaps)
     a = np.repeat(np.cumsum(unplaned(a)), runs)
     total = np.cumsum(gaps)
     first = np.cumsum(runs) - runs
     b = total - np.repeat(total[first] - gaps[first], runs) + a
-    return names[a], names[b], unplaned(n)
+    a, n = names[a], unplaned(n)
+    if parts == 1:
+        return a, names[b], n
+    own = mix(mix(a.view(np.uint64)) + np.uint64(1)) % np.uint64(parts) == part
+    return a[own], names[b[own]], n[own]
 
 
 def _merged(m: int):
-    """Blobs of a reducer -> its pairs that share ``m`` signatures in all."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, n = (np.concatenate(x) for x in zip(*map(blob_pairs, pdf["blob"])))
-        names, ranks = np.unique(np.concatenate([a, b]), return_inverse=True)
-        key = (ranks[: len(a)].astype(np.uint64) << np.uint64(32)) | ranks[len(a) :].astype(np.uint64)
-        key, n = added(key, n)
-        key = key[n >= m]
-        out = pd.DataFrame({"a": names[(key >> np.uint64(32)).astype(np.int64)], "b": names[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)]})
-        del a, b, n, ranks, key
-        released()
-        return out
+    """Blobs of a reducer -> its pairs a < b that share ``m`` signatures in all, PAIRS_AT_ONCE or so of the blobs' pairs at a time."""
+    most_pairs = PAIRS_AT_ONCE
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blobs, total = [], 0
+        for pdf in batches:
+            blobs += pdf["blob"].tolist()
+            total += int(pdf["pairs"].sum())
+        parts = -(-total // most_pairs)
+        for part in range(parts):
+            a, b, n = (np.concatenate(x) for x in zip(*(blob_pairs(x, part, parts) for x in blobs)))
+            names, ranks = np.unique(np.concatenate([a, b]), return_inverse=True)
+            key = (ranks[: len(a)].astype(np.uint64) << np.uint64(32)) | ranks[len(a) :].astype(np.uint64)
+            key, n = added(key, n)
+            key = key[n >= m]
+            a, b = names[(key >> np.uint64(32)).astype(np.int64)], names[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            del a, b, n, names, ranks, key
+            released()
 
     return run
 
@@ -535,8 +562,8 @@ def candidate_pairs(rows: DataFrame, sets, t: float, levels: np.ndarray, frequen
     buckets, reducers = max(1, -(-prefixes // (per_bucket or PER_BUCKET))), int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = rows.select("text").mapInPandas(_index(sets, t, shared, frequent, buckets, m, bits), "bucket int, h binary, p binary, n binary, sids binary, sizes binary, low binary, high binary")
     # a bucket is a task
-    met = index.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInPandas(_candidates(t, m, frequent, reducers, bits), "reducer int, blob binary")
-    return staged(met.repartitionById(reducers, F.col("reducer")).groupBy("reducer").applyInPandas(_merged(m), "a long, b long"), "candidates")
+    met = index.repartitionById(buckets, F.col("bucket")).mapInPandas(_candidates(t, m, frequent, reducers, bits), "reducer int, pairs long, blob binary")
+    return staged(met.repartitionById(reducers, F.col("reducer")).mapInPandas(_merged(m), "a long, b long"), "candidates")
 
 
 def placed_pairs(pairs: DataFrame) -> DataFrame:

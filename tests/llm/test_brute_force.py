@@ -101,6 +101,26 @@ def test_crowds_of_near_copies_are_compared_without_an_index(spark, monkeypatch,
     assert pairs == set(brute_pairs(rows, 2, t))
 
 
+def test_pairs_of_a_bucket_come_a_few_at_a_time(monkeypatch):
+    rng = np.random.default_rng(4)
+    sets = [np.sort(rng.choice(np.arange(1, 60, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 40, False)) for _ in range(80)]
+    tokens, sizes = np.concatenate(sets), np.array([40] * 80)
+    levels = np.zeros(ngram_join._sketch.WIDTH, np.uint8)
+    index = pd.concat(ngram_join._index(lambda texts: [(tokens, sizes)], 0.5, type("Shared", (), {"value": levels}), 256, 1, 1, False)([pd.DataFrame({"text": [""]})]))
+    seen = []
+    for most in (10**9, 100):
+        monkeypatch.setattr(ngram_join, "PAIRS_AT_ONCE", most, raising=False)
+        met = list(ngram_join._candidates(0.5, 1, 256, 3, False)(iter([index])))
+        assert most > 100 or len(met) > 20
+        blobs = pd.concat(met)
+        assert blobs["pairs"].tolist() == [len(ngram_join.blob_pairs(x)[0]) for x in blobs["blob"]]
+        out = [pd.concat(ngram_join._merged(1)(iter([own]))) for _, own in blobs.groupby("reducer")]
+        pairs = [tuple(x) for x in pd.concat(out).to_numpy().tolist()]
+        assert len(pairs) == len(set(pairs)) and all(a < b for a, b in pairs)
+        seen.append(set(pairs))
+    assert seen[0] == seen[1] and len(seen[0]) > 1000
+
+
 def test_no_pairs_have_no_links():
     assert ngram_join.linked(pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "jaccard": []})).empty
 
