@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,38 @@ def test_many_queries_meet_entries_by_blocks(spark, planes, monkeypatch):
     assert [r[:3] for r in few] == [r[:3] for r in many] and len(few) == 180 * 5 + 4
 
 
+def test_product_of_blocks_gives_few_rows_a_query(spark, planes, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 16)
+    seen = []
+    ranked = search.ranked
+    monkeypatch.setattr(search, "ranked", lambda found, top: seen.append(found.count()) or ranked(found, top))
+    search.batch_topk(planes, planes, 5, qid="key").count()
+    assert seen == [180 * 5]  # not 5 for each of some hundred pairs of blocks
+
+
+def test_best_of_a_block_is_brute_force_with_ties(monkeypatch):
+    monkeypatch.setattr(search, "QUERY_TILE", 16)
+    monkeypatch.setattr(search, "ENTRY_TILE", 32)
+    monkeypatch.setattr(search, "RESCORED", 50)
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.standard_normal((150, 7))] * 4 + [np.zeros((1, 7))])
+    keys = rng.permutation(len(x))
+    q = np.concatenate([rng.standard_normal((30, 7)), x[:20], np.zeros((1, 7))])
+    for top in (1, 10, 700):
+        best = search.Best(q, top)
+        for a in range(0, len(x), 100):
+            best.add(x[a : a + 100], pa.array([f"{k:04d}" for k in keys[a : a + 100]]))
+        got = [[] for _ in q]
+        for i, k, score in best.found():
+            for a, b, c in zip(i, k.to_pylist(), score):
+                got[a].append((b, c))
+        for a, v in enumerate(q[:-1]):
+            cos = [(round(float(v @ y / np.linalg.norm(v) / np.linalg.norm(y)), 12), f"{k:04d}") for y, k in zip(x[:-1], keys)]
+            want = [k for _, k in sorted(cos, key=lambda c: (-c[0], c[1]))[:top]]
+            assert [k for k, _ in sorted(got[a], key=lambda c: (-c[1], c[0]))] == want
+        assert got[-1] == []
+
+
 def test_min_score_applies_after_the_ranking(circle):
     assert search.exact_topk(circle, [1.0, 0.0], 5, min_score=0.9999).count() == 1
 
