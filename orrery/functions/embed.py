@@ -14,13 +14,15 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import CHUNK, HEAD, LONGEST, OVERLAP, task_prefixed
 
 BATCH = 64
+SLICE = 1 << 20
 Embedder = Callable[[list[list[str]]], np.ndarray]
 TOKEN = re.compile(r"\S+")
 
@@ -105,34 +107,44 @@ def cut(tokens: list[str], chunked: bool, size: int, overlap: int, longest: int,
 def embed(text: Column, embedder: Embedder, *, chunked: bool = True, size: int = CHUNK, overlap: int = OVERLAP, longest: int = LONGEST, head: int = HEAD) -> Column:
     """Vectors of a text column; NULL and blank texts give an empty one.
 
-    A batch's runs are embedded from the longest to the shortest, BATCH at a time,
-    so that padding is small.
+    Texts are taken SLICE characters at a time, however many a batch has. Their runs are embedded
+    from the longest to the shortest, BATCH at a time, so that padding is small.
     """
 
-    @F.pandas_udf("array<double>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            runs, owner = [], []
-            for i, t in enumerate(texts):
-                for r in cut(TOKEN.findall(t) if t else [], chunked, size, overlap, longest, head):
-                    runs.append(r)
-                    owner.append(i)
-            order = sorted(range(len(runs)), key=lambda k: (-len(runs[k]), k))
-            got: list = [None] * len(runs)
-            for a in range(0, len(order), BATCH):
-                own = order[a : a + BATCH]
-                for k, v in zip(own, embedder([runs[k] for k in own])):
-                    got[k] = v
-            total: dict[int, np.ndarray] = {}
-            weight: dict[int, float] = {}
-            for i, r, v in zip(owner, runs, got):
-                total[i] = total.get(i, 0) + np.asarray(v, np.float64) * len(r)
-                weight[i] = weight.get(i, 0) + len(r)
-            yield pd.Series([(total[i] / weight[i]).tolist() if i in total else [] for i in range(len(texts))], dtype=object)
+            yield vectors(texts, embedder, lambda t: cut(t, chunked, size, overlap, longest, head))
 
     return run(text)
 
 
+def vectors(texts: pa.Array, embedder: Embedder, runs_of: Callable[[list[str]], list[list[str]]]) -> pa.Array:
+    """The vector of each text, the mean of its runs by their token counts; tokens of a slice of the texts are held."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+    starts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // SLICE, prepend=-1)).tolist() if len(texts) else []
+    found: list = []
+    for first, last in zip(starts, [*starts[1:], len(texts)]):
+        runs, owner = [], []
+        for i, t in enumerate(texts.slice(first, last - first).to_pylist()):
+            for r in runs_of(TOKEN.findall(t) if t else []):
+                runs.append(r)
+                owner.append(i)
+        order = sorted(range(len(runs)), key=lambda k: (-len(runs[k]), k))
+        got: list = [None] * len(runs)
+        for a in range(0, len(order), BATCH):
+            own = order[a : a + BATCH]
+            for k, v in zip(own, embedder([runs[k] for k in own])):
+                got[k] = v
+        total: dict[int, np.ndarray] = {}
+        weight: dict[int, float] = {}
+        for i, r, v in zip(owner, runs, got):
+            total[i] = total.get(i, 0) + np.asarray(v, np.float64) * len(r)
+            weight[i] = weight.get(i, 0) + len(r)
+        found.append(pa.array([total[i] / weight[i] if i in total else [] for i in range(last - first)], pa.list_(pa.float64())))
+    return pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.float64()))
+
+
 def with_embeddings(rows: DataFrame, embedder: Embedder, *, sentence: str = "sentence", vec: str = "embedding", task: str = "", **how) -> DataFrame:
     """Rows whose missing vectors are those of their sentences; blank sentences leave NULL."""
     text = F.when(F.trim(F.col(sentence)) != "", task_prefixed(F.lit(task), F.col(sentence)))

@@ -1,6 +1,7 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +196,25 @@ def test_embedding_by_a_model_file(spark, tmp_path):
     assert got[2] == [] and got[3] == []
     for text, v in (("1 2 3", got[0]), ("7", got[1]), (" ".join(str(i % 30) for i in range(50)), got[4])):
         assert v == pytest.approx(table[[int(t) for t in text.split()]].astype(float).mean(0).tolist(), abs=1e-5)
+
+
+def test_embedding_holds_the_tokens_of_a_slice_of_the_texts(monkeypatch):
+    from orrery.functions import embed as E
+
+    monkeypatch.setattr(E, "SLICE", 2000)
+    cut_at, held = [], []
+
+    def runs_of(tokens):
+        cut_at.append(len(tokens))
+        return [tokens] if tokens else []
+
+    def embedder(batch):
+        held.append(sum(cut_at))
+        cut_at.clear()
+        return E.hash_embedder(8)(batch)
+
+    texts = [f"word{i} other words {i}" for i in range(500)] + ["", None, "a " * 3000]
+    got = E.vectors(pa.array(texts), embedder, runs_of).to_pylist()
+    assert max(held[:-1]) <= 500 and len(got) == 503 and got[500] == got[501] == []
+    assert np.allclose(got[:500], E.hash_embedder(8)([t.split() for t in texts[:500]]))
+    assert E.vectors(pa.array([], pa.string()), embedder, runs_of).to_pylist() == []
