@@ -16,15 +16,13 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_to, matrix, unit
 from ..session import new_path
-from .search import DEFAULT_TOP, exact_topk
+from .search import DEFAULT_TOP, exact_topk, meet, ranked
 
 THRESHOLD = 100_001
 N_PROBE = 8
@@ -183,41 +181,27 @@ def nearest(index: IvfIndex, query: Sequence[float], top: int = DEFAULT_TOP, *,
 
 
 def probe_batch(index: IvfIndex, queries: DataFrame, top: int = DEFAULT_TOP, n_probe: int = 8, *, key: str = "key", qid: str = "query_id", qvec: str = "embedding") -> DataFrame:
-    """(query_id, rank, key, score) of every query: queries meet the entries of their lists there."""
+    """(query_id, rank, key, score) of every query, which meets the entries of its lists, block by block."""
     centers, n_probe = index.centers, max(1, n_probe)
     kind, qkind = index.table.schema[key].dataType.simpleString(), queries.schema[qid].dataType.simpleString()
 
     @F.arrow_udf("array<int>")
     def lists(v: pa.Array) -> pa.Array:
         x, rows = matrix(v, centers.shape[1])
-        out: list = [None] * len(v)
-        for r, s in zip(rows, unit(x) @ centers.T):
-            if not np.isnan(s).any():
-                out[r] = np.argsort(-s, kind="stable")[:n_probe].tolist()
-        return pa.array(out, pa.list_(pa.int32()))
-
-    def meet(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(asked):
-            return pd.DataFrame({"query_id": [], "key": [], "score": []})
-        out = []
-        x = unit(np.stack(own["vec"].to_numpy()).astype(np.float64))
-        for a in range(0, len(asked), 1024):
-            part = asked.iloc[a : a + 1024]
-            score = x @ unit(np.stack(part["vec"].to_numpy()).astype(np.float64)).T
-            k = min(top, len(x))
-            cut = -np.partition(-score, k - 1, axis=0)[k - 1]
-            i, j = np.nonzero(score >= cut)
-            out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[j], "key": own["key"].to_numpy()[i], "score": score[i, j]}))
-        return pd.concat(out)
+        x = unit(x)
+        fine = ~np.isnan(x).any(1)
+        near = np.argsort(-(x[fine] @ centers.T), axis=1, kind="stable")[:, :n_probe].astype(np.int32)
+        count = np.zeros(len(v), np.int64)
+        count[rows[fine]] = near.shape[1]
+        mask = np.append(count == 0, False)
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32), mask=mask), pa.array(near.ravel()))
 
     spark = index.table.sparkSession
     if top <= 0 or not len(centers):
         return spark.createDataFrame([], f"query_id {qkind}, rank int, key {kind}, score double")
-    asked = queries.select(F.col(qid).alias("query_id"), F.col(qvec).alias("vec")).where("vec IS NOT NULL").withColumn("list", F.explode(lists("vec")))
-    own = index.table.select("list", F.col(key).alias("key"), F.col(index.vec).alias("vec")).where(F.size("vec") == centers.shape[1])
-    found = own.groupBy("list").cogroup(asked.groupBy("list")).applyInPandas(meet, f"query_id {qkind}, key {kind}, score double")
-    by = W.partitionBy("query_id").orderBy(F.desc("score"), "key")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top).select("query_id", "rank", "key", "score")
+    asked = queries.select(F.col(qid).alias("key"), F.col(qvec).alias("vec")).where("vec IS NOT NULL").withColumn("lists", lists("vec")).where("lists IS NOT NULL")
+    own = index.table.select(F.col(key).alias("key"), F.col(index.vec).alias("vec"), F.col("list").alias("lists")).where(F.size("vec") == centers.shape[1])
+    return ranked(meet(own, asked, queries.count(), top, f"query_id {qkind}, key {kind}, score double", kind, qkind, listed=True), top)
 
 
 class LazySearch:

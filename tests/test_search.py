@@ -237,3 +237,20 @@ def test_spread_neighbours_of_groups_in_one_batch_of_arrow(spark):
             if len(want) < 5 and all(unit[d] @ unit[j] < c for j in want):
                 want.append(d)
         assert got[s] == set(want)
+
+
+def test_probe_of_many_queries_is_brute_force_on_its_lists(spark, planes, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 64)
+    index = ivf.build(planes, 6)
+    found = ivf.probe_batch(index, planes, 5, 2, qid="key")
+    assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    x = np.array([v for _, v in groups()], np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own = {r["key"]: r["list"] for r in index.table.collect()}
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["score"])
+    for k in range(180):
+        lists = np.argsort(-(index.centers @ x[k]), kind="stable")[:2]
+        want = sorted((x[k] @ x[j] for j in own if own[j] in lists), reverse=True)[:5]
+        assert np.allclose(got[k], want)
